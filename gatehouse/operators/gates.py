@@ -187,7 +187,7 @@ def gate_code_static(prompt: Column, answer: Column, parses: Column) -> Column:
     ``parses`` is ``python_parses(code_to_parse(prompt, answer))``.
     """
     name = C.called_name(prompt)
-    call_at = F.locate(F.concat(name, F.lit("(")), prompt)
+    call_at = F.position(F.concat(name, F.lit("(")), prompt)
     rest = F.substr(prompt, call_at)
     return first_reason(
         (_code_shape(prompt, C.code_body(answer)).isNotNull(), _code_shape(prompt, C.code_body(answer))),
