@@ -145,7 +145,8 @@ def family_counts(rows: DataFrame, family: str = "family") -> DataFrame:
 
 def class_balance(rows: DataFrame, cache: str = "cache", label: str = "label") -> DataFrame:
     """Rows per cache and label, with totals (``(all)``) on both sides."""
-    counted = rows.cube(F.col(cache).alias("cache"), F.col(label).alias("label")).agg(
+    named = rows.select(F.col(cache).alias("cache"), F.col(label).alias("label"))
+    counted = named.cube("cache", "label").agg(
         F.grouping("cache").alias("__c"), F.grouping("label").alias("__l"), F.count(F.lit(1)).alias("rows"))
     return counted.select(
         F.when(F.col("__c") == 1, "(all)").otherwise(F.col("cache")).alias("cache"),
