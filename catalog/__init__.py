@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text_queries", "gate_queries", "report_queries", "table_queries"]
+MODULES = ["text_queries", "gate_queries", "report_queries", "table_queries", "flow_queries"]
 
 
 def all_queries():

@@ -24,6 +24,10 @@ class Context:
     def path(self, table: str) -> str:
         return f"{self.sf_dir}/{table}.parquet"
 
+    def files(self, table: str) -> str:
+        """The table's path as a glob: file streams take no single-file paths."""
+        return self.path(table) + "*"
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)

@@ -345,14 +345,14 @@ def top_labels(x):
 def _sources(x):
     t = x.view("turns")
     local = t.where(F.length("answer") > 600).select("task_id", "answer")
-    remote = t.where(F.length("prompt") > 500).select("task_id", F.when(c("turn") > 0, F.upper("prompt")).otherwise("  ").alias("answer"))
+    remote = t.where(F.length("prompt") > 200).select("task_id", F.when(c("turn") > 0, F.upper("prompt")).otherwise("  ").alias("answer"))
     rejects = t.where(F.length("answer") < 300).select("task_id", F.lit("rejected text").alias("answer"))
     return t, local, remote, rejects
 
 
 MERGED = f"""SELECT task_id, CASE WHEN r THEN upper(prompt) WHEN l THEN {D.trim('answer')} WHEN j THEN 'rejected text' ELSE 'Unable to answer.' END AS answer,
   CASE WHEN r THEN 'remote' WHEN l THEN 'local' WHEN j THEN 'rejected' ELSE 'apology' END AS source FROM (
-  SELECT *, length(prompt) > 500 AND turn > 0 AS r, length(answer) > 600 AS l, length(answer) < 300 AS j FROM {duck('turns')})"""
+  SELECT *, length(prompt) > 200 AND turn > 0 AS r, length(answer) > 600 AS l, length(answer) < 300 AS j FROM {duck('turns')})"""
 
 
 @query(f"SELECT task_id, source, length(answer) AS chars, source IN ('rejected', 'apology') AS is_fallback FROM ({MERGED})".replace(
@@ -365,13 +365,13 @@ def merge_answers(x):
     return out.select("task_id", "source", chars.cast("bigint").alias("chars"), "is_fallback")
 
 
-@query(f"SELECT task_id FROM {duck('turns')} WHERE NOT (length(prompt) > 500 AND turn > 0)")
+@query(f"SELECT task_id FROM {duck('turns')} WHERE NOT (length(prompt) > 200 AND turn > 0)")
 def missing_tasks(x):
     t, _, remote, _ = _sources(x)
     return T.missing_tasks(t, remote).select("task_id")
 
 
-@query(f"SELECT count(*) AS missing, count(*) = 0 AS complete FROM {duck('turns')} WHERE NOT (length(prompt) > 500 AND turn > 0)")
+@query(f"SELECT count(*) AS missing, count(*) = 0 AS complete FROM {duck('turns')} WHERE NOT (length(prompt) > 200 AND turn > 0)")
 def is_complete(x):
     t, _, remote, _ = _sources(x)
     return T.is_complete(t, remote)

@@ -340,7 +340,7 @@ def golden(d) -> str:
              ELSE text END AS answer,
            CASE doc_id % 7
              WHEN 0 THEN CASE WHEN doc_id % 2 = 0 THEN lower(text) ELSE 'absent words' END
-             WHEN 1 THEN CASE WHEN doc_id % 2 = 0 THEN text ELSE upper(text) || '!' END
+             WHEN 1 THEN CASE WHEN doc_id % 2 = 0 THEN text ELSE lower(text) || '!' END
              WHEN 2 THEN CASE WHEN doc_id % 2 = 0 THEN lower(text) ELSE 'other' END
              WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN {key} || '.0' ELSE '0' || {key} || '1' END
              WHEN 4 THEN CASE WHEN doc_id % 2 = 0 THEN text ELSE 'def missing' END

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,16 +25,17 @@ def stream_events(spark: SparkSession, path: str, schema, fmt: str = "parquet",
     return reader.load(path).withColumn(time, F.col(time).cast("timestamp"))
 
 
-def stream_gate(answers: DataFrame, accepted: Callable[[DataFrame], None], rejected: Callable[[DataFrame], None],
-                checkpoint: str, families: list[str] | None = None) -> StreamingQuery:
+def stream_gate(answers: DataFrame, accepted: Callable[[DataFrame, int], None],
+                rejected: Callable[[DataFrame, int], None], checkpoint: str, families: list[str] | None = None) -> StreamingQuery:
     """Gate an answer stream and hand each micro-batch to two sinks.
 
-    The batch is gated once and kept for both sinks.
+    The batch is gated once and kept for both sinks, which get the batch id so
+    that a repeated batch can replace its first copy.
     """
-    def split(batch: DataFrame, _id: int) -> None:
+    def split(batch: DataFrame, batch_id: int) -> None:
         gated = gate(batch, families=families).persist()
-        accepted(gated.where("accepted"))
-        rejected(gated.where(~F.col("accepted")))
+        accepted(gated.where("accepted"), batch_id)
+        rejected(gated.where(~F.col("accepted")), batch_id)
         gated.unpersist()
 
     return (answers.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
@@ -104,6 +105,14 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def closed_before(latest: Column, delay_seconds: int) -> Column:
-    """Time before which the final watermark has closed every window."""
-    return F.timestamp_seconds(F.unix_micros(latest) / 1e6 - delay_seconds)
+def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Parquet sink with one folder per micro-batch; a repeated batch overwrites its own."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write
+
+
+def last_batch(query: StreamingQuery) -> int:
+    """Id of the last micro-batch that read rows."""
+    return max(p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0)
