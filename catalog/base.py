@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gatehouse.session import spread
+
 from . import views
 
 TABLES = [
@@ -14,6 +16,10 @@ TABLES = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+WIDE = {"documents": "doc_id", "orders": "o_orderkey", "conversations": "conv_id", "part": "p_partkey",
+        "events": "event_id", "customer": "c_custkey"}
+"""Tables with per-row work, and the key that spreads them over the cores."""
+
 
 class Context:
     """Tables of one scale factor as attributes, derived views by ``view(name)``."""
@@ -31,11 +37,15 @@ class Context:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(self.path(name))
+        table = self.spark.read.parquet(self.path(name))
+        return spread(table, WIDE[name]) if name in WIDE else table
 
     def view(self, name: str) -> DataFrame:
-        sql = getattr(views, name)(views.SparkDialect(self.path))
-        return self.spark.sql(sql)
+        def source(table: str) -> str:
+            self.__getattr__(table).createOrReplaceTempView(f"gatehouse_{table}")
+            return f"gatehouse_{table}"
+
+        return self.spark.sql(getattr(views, name)(views.SparkDialect(source)))
 
 
 @dataclass

@@ -12,7 +12,7 @@ from gatehouse.operators import labels as L
 from gatehouse.operators import scoring as Q
 from gatehouse.operators.decontam import hash_split
 from gatehouse.plans import runs, training
-from gatehouse.session import scratch
+from gatehouse.session import materialise, scratch
 from gatehouse.sources import readers as R
 from gatehouse.sources import sinks as W
 from gatehouse.streaming import streams as S
@@ -201,17 +201,12 @@ def stream_latest(x):
     return x.spark.read.schema(rows.schema).parquet(f"{path}/v{S.last_batch(q)}").drop("ts")
 
 
-class _StreamDialect(views.SparkDialect):
-    def table(self, name):
-        return self._path(name)
-
-
 @query(f"""SELECT doc_id, CASE WHEN r = '' THEN NULL ELSE r END AS reason FROM (SELECT doc_id, coalesce(reason, '') AS r FROM (
 {SENTIMENT_SQL}))""")
 def stream_gate(x):
     docs = x.spark.readStream.schema(x.documents.schema).parquet(x.files("documents"))
     docs.createOrReplaceTempView("gatehouse_document_stream")
-    rows = x.spark.sql(views.reviews(_StreamDialect(lambda name: "gatehouse_document_stream"))).withColumn("family", F.lit("sentiment"))
+    rows = x.spark.sql(views.reviews(views.SparkDialect(lambda name: "gatehouse_document_stream"))).withColumn("family", F.lit("sentiment"))
     good, bad, state = scratch(x.spark, "accepted"), scratch(x.spark, "rejected"), scratch(x.spark, "gate-state")
     S.stream_gate(rows, S.batch_sink(good), S.batch_sink(bad), state, ["sentiment"]).awaitTermination()
     schema = "doc_id BIGINT, reason STRING, batch_id BIGINT"
@@ -248,7 +243,8 @@ def flagship(x):
     answers = x.view("summaries").select(
         "doc_id", c("lang").alias("task_id"), F.lit("summarisation").alias("family"),
         "prompt", "answer", "passage")
-    return training.preference_table(answers, x.benchmark, ["summarisation"]).select("task_id", "chosen", "rejected")
+    # The derived answers stand for a stored table, so they are computed once.
+    return training.preference_table(materialise(answers), x.benchmark, ["summarisation"]).select("task_id", "chosen", "rejected")
 
 
 @query(f"""SELECT doc_id, copy, 'system|user|assistant' AS roles FROM (

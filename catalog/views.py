@@ -11,11 +11,8 @@ from collections.abc import Callable
 
 
 class SparkDialect:
-    def __init__(self, path: Callable[[str], str]):
-        self._path = path
-
-    def table(self, name: str) -> str:
-        return f"parquet.`{self._path(name)}`"
+    def __init__(self, table: Callable[[str], str]):
+        self.table = table
 
     def join(self, items: str, sep: str) -> str:
         return f"array_join({items}, '{sep}')"

@@ -46,7 +46,24 @@ def gram_texts(items: Column, n: int) -> Column:
 
 def gram_hashes(items: Column, n: int) -> Column:
     """Distinct 64-bit hashes of the runs of ``n`` items."""
-    return F.array_distinct(F.transform(ngrams(items, n), lambda g: F.xxhash64(F.array_join(g, " "))))
+    return F.array_distinct(F.transform(ngrams(items, n), lambda g: F.xxhash64(g)))
+
+
+def shares_run(left: Column, right: Column, n: int) -> Column:
+    """Do two word arrays share a run of ``n`` words?
+
+    Hashes decide for almost every row; only where they meet are the runs
+    themselves built and compared.
+    """
+    def texts(w: Column) -> Column:
+        return F.transform(ngrams(w, n), lambda g: F.array_join(g, " "))
+
+    def hashes(w: Column) -> Column:
+        return F.transform(ngrams(w, n), lambda g: F.xxhash64(g))
+
+    return bind(F.struct(left.alias("l"), right.alias("r")), lambda s: F.when(
+        F.arrays_overlap(hashes(s["l"]), hashes(s["r"])), F.arrays_overlap(texts(s["l"]), texts(s["r"])),
+    ).otherwise(F.lit(False)))
 
 
 # --- units -------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions import text as X
 from ..functions.fixed import ECHO_RUN
+from ..session import broadcast_if_small
 from .pairs import prompt_digest
 
 
@@ -18,9 +19,9 @@ def decontaminate_exact(rows: DataFrame, evaluation: DataFrame, id_col: str = "t
     ``evaluation`` holds the same two columns.  Prompts are compared by digest, so
     no text is shuffled for the comparison.
     """
-    ids = evaluation.select(F.col(id_col).alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    digests = evaluation.select(prompt_digest(F.col(text_col)).alias("__digest")).where(
-        F.col("__digest").isNotNull()).distinct()
+    ids = broadcast_if_small(evaluation.select(id_col).where(F.col(id_col).isNotNull()).distinct())
+    digests = broadcast_if_small(evaluation.select(prompt_digest(F.col(text_col)).alias("__digest")).where(
+        F.col("__digest").isNotNull()).distinct())
     marked = rows.withColumn("__digest", prompt_digest(F.col(text_col)))
     return marked.join(ids, id_col, "left_anti").join(digests, "__digest", "left_anti").drop("__digest")
 
@@ -50,15 +51,16 @@ def decontaminate_ngram(documents: DataFrame, benchmark: DataFrame, n: int = ECH
     """Document–benchmark pairs that share runs of ``n`` words, with the run count.
 
     Pass one joins 64-bit run hashes only and keeps document ids; where the
-    benchmark is small Spark broadcasts its hashes and nothing is shuffled.  Pass
+    benchmark is small Spark broadcasts its hashes and no document is shuffled.  Pass
     two reads the few candidate documents again and joins on the run text, so a
-    hash collision cannot produce a pair.
+    hash collision cannot produce a pair.  The candidates are computed and counted
+    when the operator is called.
     """
     words = X.norm_words(F.col(text))
     bench = benchmark.select(item_id, F.explode(X.gram_texts(words, n)).alias("gram"))
-    hashes = bench.select(F.xxhash64("gram").alias("h")).distinct()
-    candidates = documents.select(doc_id, F.explode(X.gram_hashes(words, n)).alias("h")).join(
-        hashes, "h", "left_semi").select(doc_id).distinct()
+    hashes = benchmark.select(F.explode(X.gram_hashes(words, n)).alias("h")).distinct()
+    candidates = broadcast_if_small(documents.select(doc_id, F.explode(X.gram_hashes(words, n)).alias("h")).join(
+        hashes, "h", "left_semi").select(doc_id).distinct())
     grams = documents.join(candidates, doc_id, "left_semi").select(
         doc_id, F.explode(X.gram_texts(words, n)).alias("gram"))
     return grams.join(bench, "gram").groupBy(doc_id, item_id).agg(F.count(F.lit(1)).alias("shared_grams"))
@@ -67,8 +69,8 @@ def decontaminate_ngram(documents: DataFrame, benchmark: DataFrame, n: int = ECH
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = ECHO_RUN, doc_id: str = "doc_id",
                       item_id: str = "item_id", text: str = "text", min_shared: int = 1) -> DataFrame:
     """Documents that share fewer than ``min_shared`` runs with every benchmark item."""
-    hit = decontaminate_ngram(documents, benchmark, n, doc_id, item_id, text).where(
-        F.col("shared_grams") >= min_shared).select(doc_id).distinct()
+    hit = broadcast_if_small(decontaminate_ngram(documents, benchmark, n, doc_id, item_id, text).where(
+        F.col("shared_grams") >= min_shared).select(doc_id).distinct())
     return documents.join(hit, doc_id, "left_anti")
 
 

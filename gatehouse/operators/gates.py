@@ -73,10 +73,11 @@ def gate_summary_shape(prompt: Column, answer: Column) -> Column:
 
 def gate_summary_echo(prompt: Column, answer: Column) -> Column:
     """No unit may share a run of eight words with the quoted source."""
-    source = X.gram_texts(X.norm_words(X.quoted_source(prompt)), V.ECHO_RUN)
-    runs = F.flatten(F.transform(
-        summary_units(prompt, answer), lambda u: X.gram_texts(X.norm_words(u), V.ECHO_RUN)))
-    return F.when(F.arrays_overlap(source, runs), F.lit("source_echo"))
+    def judge(source: Column) -> Column:
+        units = F.transform(summary_units(prompt, answer), X.norm_words)
+        return F.when(F.exists(units, lambda u: X.shares_run(source, u, V.ECHO_RUN)), F.lit("source_echo"))
+
+    return bind(X.norm_words(X.quoted_source(prompt)), judge)
 
 
 def gate_summary_pivot(prompt: Column, answer: Column) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
-from ..functions.core import lookup, presence
+from ..functions.core import lookup, presence, trim_space
 from ..functions.text import sentiment_label
+from ..session import materialise
 from .ordering import first_rows, md5_bucket, position
 
 MAX_ANSWER_CHARS = 1400
@@ -40,7 +41,10 @@ def preference_pairs(archive: DataFrame, max_chars: int = MAX_ANSWER_CHARS, roun
     rounds 0 … m-1 together give each pair exactly once, so further pages lose
     nothing.  The join key (task, position) is unique, hence never skewed.
     """
-    answers = distinct_answers(archive, max_chars).withColumn("digest", F.md5(F.encode("answer", "UTF-8")))
+    text = trim_space(F.col("answer"))
+    clean = archive.select("task_id", "pass", text.alias("answer"), "family").where(
+        F.length("answer").between(1, max_chars))
+    answers = materialise(clean.distinct().withColumn("digest", F.md5(F.encode("answer", "UTF-8"))))
     placed = position(answers, ["task_id", "pass"], ["digest"], md5_bucket(F.col("digest")))
     counts = answers.groupBy("task_id").agg(
         F.count_if(F.col("pass")).alias("n_pass"), F.count_if(~F.col("pass")).alias("n_fail"))

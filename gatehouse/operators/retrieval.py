@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as V
 from ..functions.core import extract_all
 from ..functions.text import trim_middle
+from ..session import broadcast_if_small
 from .ordering import first_rows
 
 TOKEN = "[a-z0-9-]{%d,}" % V.MIN_TOKEN
@@ -34,7 +35,8 @@ def token_runs(documents: DataFrame, tokens: DataFrame, doc_id: str, text: str)
         lambda i: F.substr(F.col("run"), i, F.lit(V.MIN_TOKEN)))
     vocabulary = runs.select("run").distinct().select("run", F.explode(F.array_distinct(pieces)).alias("lead"))
     wanted = tokens.select("token").distinct().withColumn("lead", F.substr("token", F.lit(1), F.lit(V.MIN_TOKEN)))
-    matched = vocabulary.join(wanted, "lead").where(F.contains("run", "token")).select("run", "token").distinct()
+    matched = broadcast_if_small(
+        vocabulary.join(wanted, "lead").where(F.contains("run", "token")).select("run", "token").distinct())
     return runs.join(matched, "run").select(doc_id, "token").distinct()
 
 

@@ -167,8 +167,7 @@ def filter_summary_rows(rows: DataFrame, n: int = V.ECHO_RUN) -> DataFrame:
     ARRAY<STRING>).
     """
     sizes = F.transform("units", lambda u: F.size(X.words(u)))
-    echo = F.arrays_overlap(X.gram_texts(X.norm_words(F.col("passage")), n),
-                            X.gram_texts(X.norm_words(F.col("answer")), n))
+    echo = X.shares_run(X.norm_words(F.col("passage")), X.norm_words(F.col("answer")), n)
     low = F.lower("answer")
     return rows.where(
         (F.size("units") == F.col("count")) & F.forall(sizes, lambda k: (k >= 6) & (k <= F.col("cap")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -24,3 +25,40 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Checkpoint a frame that several branches read, so that it is computed once.
+
+    The data lives in the shared checkpoint folder and outlasts lost executors.
+    """
+    spark = df.sparkSession
+    root = checkpoint_root(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+    return df.checkpoint()
+
+
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """A freshly read table, spread over all cores when it has fewer splits than cores.
+
+    A large table has more splits than the cluster has cores and comes back as it
+    is.  Only for plain scans: the split count is then known without running a job.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, *keys)
+
+
+BROADCAST_ROWS = 2_000_000
+"""Most key rows a broadcast may hold: a few dozen megabytes of ids or digests."""
+
+
+def broadcast_if_small(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Computed key rows, marked for broadcast only when counted below the bound.
+
+    Spark plans a join from estimates, which are far too high for the few keys an
+    expensive filter lets through; it would shuffle the large side for nothing.
+    Beyond the bound the keys come back unmarked and Spark shuffles both sides.
+    """
+    stored = materialise(keys)
+    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
