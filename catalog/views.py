@@ -26,6 +26,10 @@ class SparkDialect:
     def day(self, ts: str) -> str:
         return f"date_format({ts}, 'yyyy-MM-dd')"
 
+    def once(self, source: str, expr: str, name: str) -> str:
+        # A generator is not inlined, so filters above it do not repeat the work.
+        return f"(SELECT * FROM {source} LATERAL VIEW explode(array({expr})) g AS {name})"
+
 
 class DuckDialect:
     def table(self, name: str) -> str:
@@ -43,6 +47,9 @@ class DuckDialect:
     def day(self, ts: str) -> str:
         return f"strftime({ts}, '%Y-%m-%d')"
 
+    def once(self, source: str, expr: str, name: str) -> str:
+        return f"(SELECT *, {expr} AS {name} FROM {source})"
+
 
 def _whole(expr: str) -> str:
     return f"CAST(floor({expr}) AS BIGINT)"
@@ -79,7 +86,7 @@ def summaries(d) -> str:
              WHEN 1 THEN {nl.join([bullet(1, 5), bullet(11, 15)])}
              WHEN 2 THEN {nl.join([bullet(1, 5), bullet(11, 15), bullet(21, 25)])}
              ELSE {nl.join([bullet(1, 14, True), bullet(16, 20), bullet(21, 25)])} END AS answer
-    FROM (SELECT *, regexp_extract_all(lower(text), '[a-z0-9]+', 0) AS ws FROM {d.table('documents')}) w"""
+    FROM {d.once(d.table('documents'), "regexp_extract_all(lower(text), '[a-z0-9]+', 0)", 'ws')} w"""
 
 
 def reviews(d) -> str:
