@@ -68,3 +68,9 @@ def occurrences(text: Column, needle: Column) -> Column:
     """Number of non-overlapping occurrences of ``needle``."""
     cut = F.length(text) - F.length(F.replace(text, needle, F.lit("")))
     return F.when(F.length(needle) > 0, (cut / F.length(needle)).cast("int")).otherwise(F.lit(0))
+
+
+def last_of_each(items: Column, field: str) -> Column:
+    """Items whose ``field`` value does not come again later in the array."""
+    return F.filter(items, lambda x, i: ~F.exists(
+        F.slice(items, i + 2, F.size(items)), lambda y: y[field] == x[field]))

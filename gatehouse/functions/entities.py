@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as V
-from .core import bind, extract_all, occurrences, trim_space
+from .core import bind, extract_all, last_of_each, occurrences, trim_space
 
 
 def years(text: Column) -> Column:
@@ -41,12 +41,8 @@ def labelled_spans(text: Column) -> Column:
 
 def label_spans(text: Column) -> Column:
     """MAP<span, label>; the last label given to a span wins."""
-    def keep_last(pairs: Column) -> Column:
-        return F.filter(pairs, lambda p, i: ~F.exists(
-            F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["span"] == p["span"]))
-
     return bind(labelled_spans(text), lambda pairs: F.map_from_entries(F.transform(
-        keep_last(pairs), lambda p: F.struct(p["span"], p["label"]))))
+        last_of_each(pairs, "span"), lambda p: F.struct(p["span"], p["label"]))))
 
 
 def spans_unique(sentence: Column, spans: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import extract, presence, trim_space
+from .core import bind, extract, last_of_each, presence, trim_space
 from .code import code_blocks
 
 ANSWER_ITEM = "STRUCT<task_id: STRING, answer: STRING>"
@@ -32,11 +32,15 @@ def answer_candidates(reply: Column) -> Column:
     """Texts that may hold the answers: the JSON span, the reply, and its fenced blocks."""
     blocks = F.filter(code_blocks(reply), lambda b: (b["info"] == "") | F.lower(b["info"]).rlike("json|py"))
     fenced = F.flatten(F.transform(blocks, lambda b: F.array(b["code"], json_span(b["code"]))))
-    return F.array_compact(F.concat(F.array(json_span(reply), trim_space(reply)), fenced))
+    return F.array_distinct(F.array_compact(F.concat(F.array(json_span(reply), trim_space(reply)), fenced)))
 
 
-def answers_in(candidate: Column) -> Column:
-    """ARRAY<STRUCT<task_id, answer>> of one candidate in any of the accepted forms."""
+def answers_in(candidate: Column, ids: Column) -> Column:
+    """ARRAY<STRUCT<task_id, answer>> of the known ids of one candidate, NULL if none.
+
+    Accepts ``{"answers": […]}``, a list, or an object keyed by id; the first form
+    that holds a known id counts.  The last answer given to an id wins.
+    """
     wrapped = F.from_json(candidate, f"answers ARRAY<{ANSWER_ITEM}>")["answers"]
     listed = F.when(candidate.startswith("["), F.from_json(candidate, f"ARRAY<{ANSWER_ITEM}>"))
     keyed = F.transform(
@@ -44,12 +48,25 @@ def answers_in(candidate: Column) -> Column:
         lambda e: F.struct(e["key"].alias("task_id"), e["value"].alias("answer")))
 
     def usable(items: Column) -> Column:
-        kept = F.filter(items, lambda x: x["task_id"].isNotNull() & presence(x["answer"]).isNotNull())
-        return F.when(F.size(kept) > 0, kept)
+        kept = F.filter(items, lambda x: F.array_contains(ids, x["task_id"]) & (trim_space(x["answer"]) != ""))
+        return bind(kept, lambda k: F.when(F.size(k) > 0, last_of_each(k, "task_id")))
 
     return F.coalesce(usable(wrapped), usable(listed), usable(keyed))
 
 
+def best_answers(reply: Column, ids: Column) -> Column:
+    """Answers of the candidate with most known ids, the earliest on a tie.
+
+    Without any, a lone id takes a fence-free reply as it stands.
+    """
+    found = F.transform(answer_candidates(reply), lambda text, i: bind(answers_in(text, ids), lambda a: F.struct(
+        F.coalesce(F.size(a), F.lit(0)).alias("n"), (-i).alias("early"), a.alias("answers"))))
+    prose = presence(F.regexp_replace(reply, "^[` \n\t]+|[` \n\t]+$", ""))
+    lone = F.when((F.size(ids) == 1) & ~reply.contains("```") & prose.isNotNull(), F.array(F.struct(
+        F.get(ids, F.lit(0)).alias("task_id"), prose.alias("answer"))))
+    return F.coalesce(F.array_max(F.filter(found, lambda f: f["n"] > 0))["answers"], lone)
+
+
 def usage(response: Column) -> Column:
     """Token usage and content of a chat response (JSON text).
 

@@ -5,28 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import replies as R
-from ..functions.core import presence, trim_space
+from ..functions.core import trim_space
+from ..functions.replies import best_answers
 
 
 def parse_answers(replies: DataFrame, tasks: DataFrame, key: str = "batch_id", reply: str = "reply") -> DataFrame:
     """(key, task_id, answer) of the ids a batch asked for.
 
-    ``tasks`` holds (key, task_id).  Of several candidates in a reply the one with
-    most known ids wins, the earliest on a tie.  A lone task takes fence-free prose.
+    ``tasks`` holds (key, task_id).  A batch is one prompt with one reply in one
+    row, so its ids are as bounded as that reply; they join it once as a list.
     """
-    found = replies.select(key, F.posexplode(R.answer_candidates(F.col(reply))).alias("candidate", "text")).select(
-        key, "candidate", F.posexplode(R.answers_in(F.col("text"))).alias("place", "a")).select(
-        key, "candidate", "place", "a.*")
-    known = found.join(tasks.select(key, "task_id").distinct(), [key, "task_id"], "left_semi").groupBy(
-        key, "candidate", "task_id").agg(F.max_by("answer", "place").alias("answer"))
-    best = known.groupBy(key, "candidate").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(
-        F.max_by("candidate", F.struct("n", (-F.col("candidate")).alias("early"))).alias("candidate"))
-    parsed = known.join(best, [key, "candidate"]).select(key, "task_id", trim_space(F.col("answer")).alias("answer"))
-    lone = tasks.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("task_id").alias("task_id")).where("n = 1")
-    prose = replies.where(~F.col(reply).contains("```")).join(lone, key).join(
-        parsed.select(key).distinct(), key, "left_anti").select(
-        key, "task_id", presence(F.regexp_replace(F.col(reply), "^[` \n\t]+|[` \n\t]+$", "")).alias("answer"))
-    return parsed.unionByName(prose.where(F.col("answer").isNotNull()))
-
-
+    ids = tasks.groupBy(key).agg(F.collect_set("task_id").alias("__ids"))
+    found = replies.join(ids, key).select(key, F.explode(best_answers(F.col(reply), F.col("__ids"))).alias("a"))
+    return found.select(key, "a.task_id", trim_space(F.col("a.answer")).alias("answer"))
