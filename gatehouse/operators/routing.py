@@ -12,6 +12,7 @@ from ..functions import fixed as V
 from ..functions import numbers as N
 from ..functions import text as X
 from ..functions.core import lookup, presence
+from ..session import broadcast_if_small
 from .gates import gate_meeting_time
 from .ordering import position
 
@@ -204,7 +205,10 @@ def plan_batches(tasks: DataFrame, size: int = BATCH_SIZE, code_size: int | None
     offsets = sizes.select(run, "__home", F.coalesce(F.sum("__batches").over(earlier), F.lit(0)).alias("__first"))
     # Own tasks in order, then each folded group in order of its start.
     fold_rank = F.when(F.col("__own"), F.lit(-1)).otherwise(F.col("__start"))
-    placed = grouped.join(homes.withColumn("__rank", fold_rank).join(offsets, [run, "__home"]), by_group)
+    # Computed once; where it is small the tasks keep their place and no run is shuffled whole.
+    plan = broadcast_if_small(homes.withColumn("__rank", fold_rank).join(offsets, [run, "__home"]).select(
+        *by_group, "__home", "__home_effort", "__home_code", "__rank", "__first"))
+    placed = grouped.join(plan, by_group)
     numbered = position(
         placed, [run, "__home"], ["__rank", "pos"],
         F.struct("__rank", F.floor(F.col("pos") / width)), "__place")
