@@ -358,6 +358,10 @@ def accept_retry(x):
 
 
 # --- rewards -----------------------------------------------------------------
+NAMES = """list_filter(list_distinct(list_concat(regexp_extract_all(prompt, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b', 0),
+  regexp_extract_all(prompt, '\\b[A-Z]{2,}(?:\\s+[A-Z]{2,})?\\b', 0))), lambda n: length(n) > 2)"""
+
+
 @query(f"""SELECT family, id, CAST(reward AS DOUBLE) AS reward FROM (SELECT 'sentiment' AS family, doc_id AS id, round(CASE WHEN regexp_matches(answer, '^(Positive|Negative|Neutral|Mixed)') THEN 0.4 ELSE 0 END
     + CASE WHEN answer LIKE '%.%' AND len({D.fields('answer')}) >= 6 THEN 0.2 ELSE 0 END + 0.4 * (doc_id % 2), 6) AS reward FROM {duck('reviews')}
 UNION ALL SELECT 'factual', doc_id, round(CASE WHEN len({KEPT}) = 0 THEN 0 ELSE 0.3 + CASE WHEN len({KEPT}) <= 4 THEN 0.3 ELSE 0 END
@@ -366,6 +370,10 @@ UNION ALL SELECT 'code_generation', p_partkey, round(CASE WHEN p_partkey % 5 = 4
     CASE WHEN contains(answer, 'def ' || name) THEN 0.25 ELSE 0 END
     + CASE WHEN p_partkey % 6 IN (0, 1, 3, 5) THEN 0.25 + CASE WHEN p_partkey % 5 = 3 THEN 0.25 ELSE 0 END ELSE 0 END END
     + 0.4 * (p_partkey % 2), 6) FROM {duck('code_tasks')}
+UNION ALL SELECT 'ner', o_orderkey, round(0.7 * len(list_filter({NAMES}, lambda n: contains(answer, n))) / len({NAMES})
+    + CASE WHEN regexp_matches(answer, '[A-Za-z_ ]+:\\s*[^;]+') THEN 0.3 ELSE 0 END + 0.4 * (o_orderkey % 2), 6) FROM {duck('entities')}
+UNION ALL SELECT 'code_fix', p_partkey, round(CASE p_partkey % 6 WHEN 1 THEN 0.85 WHEN 5 THEN 0 ELSE 0.5 END + 0.4 * (p_partkey % 2), 6)
+  FROM {duck('fix_tasks')}
 UNION ALL SELECT 'summarisation', doc_id, round(0.7 * CASE abs(len({UNITS}) - 3) WHEN 0 THEN 1.0 WHEN 1 THEN 0.4 ELSE 0 END
     + 0.3 * CASE WHEN len(list_intersect(list_distinct({D.fields('lower(answer)')}), list_distinct({D.fields('lower(prompt)')})))
         < greatest(8, floor(len({D.fields('prompt')}) / 2)) AND len({D.fields('answer')}) >= 9 THEN 0.5 ELSE 0.2 END + 0.4 * (doc_id % 2), 6)
@@ -373,11 +381,12 @@ UNION ALL SELECT 'summarisation', doc_id, round(0.7 * CASE abs(len({UNITS}) - 3)
 def reward(x):
     rows = None
     for family, view, key in [("sentiment", "reviews", "doc_id"), ("factual", "facts", "doc_id"),
-                              ("code_generation", "code_tasks", "p_partkey"), ("summarisation", "summaries", "doc_id")]:
+                              ("code_generation", "code_tasks", "p_partkey"), ("summarisation", "summaries", "doc_id"),
+                              ("ner", "entities", "o_orderkey"), ("code_fix", "fix_tasks", "p_partkey")]:
         v = x.view(view).select(F.lit(family).alias("family"), c(key).cast("bigint").alias("id"), "prompt", "answer")
         rows = v if rows is None else rows.unionByName(v)
     bonus = F.when(c("id") % 2 == 1, F.lit(0.9)).otherwise(F.lit(-0.5))
-    graded = W.reward(rows, judge_bonus=bonus, families=["sentiment", "factual", "code_generation", "summarisation"])
+    graded = W.reward(rows, judge_bonus=bonus)
     return graded.select("family", "id", F.round("reward", 6).alias("reward"))
 
 

@@ -25,9 +25,8 @@ def action_blocks(text: Column) -> Column:
     """Blocks meant to be run: bare, Python or marked with an ``# act`` comment."""
     def is_action(b: Column) -> Column:
         info = F.lower(b["info"])
-        named = info.isin("", "python", "python3", "py", "py3") | contains_any(
-            info, ["micropy", "micropython", "python action", "python act"])
-        return named | F.lower(F.regexp_extract(b["code"], "^([^\n]*)", 1)).contains("# act")
+        named = info.isin(*V.ACTION_INFO) | contains_any(info, V.ACTION_INFO_PARTS)
+        return named | F.lower(F.regexp_extract(b["code"], "^([^\n]*)", 1)).contains(V.ACTION_COMMENT)
 
     return F.filter(code_blocks(text), is_action)
 
@@ -58,8 +57,7 @@ def tool_argument_code(arguments: Column) -> Column:
     Arguments that are no JSON are taken as raw code when they print or assign.
     """
     bare = presence(arguments)
-    named = F.coalesce(*[presence(F.get_json_object(bare, f"$.{k}"))
-                         for k in ("code", "source", "python", "script")])
+    named = F.coalesce(*[presence(F.get_json_object(bare, f"$.{k}")) for k in V.CODE_ARGUMENTS])
     raw = F.when(~bare.rlike(r"^[{\[]") & contains_any(bare, ["print", "="]),
                  F.regexp_replace(bare, '^"+|"+$', ""))
     return F.coalesce(named, raw)

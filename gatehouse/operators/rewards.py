@@ -13,6 +13,7 @@ from ..functions import replies as R
 from ..functions import text as X
 from ..functions.core import bind, contains_any, extract_all, trim_space
 
+# Caps of the composite reward, and words that name a bug's symptom.
 JUDGE_CAP, TOTAL_CAP = 0.4, 1.4
 SYMPTOMS = ["off-by", "index", "range", "return", "none", "empty", "zero", "==", "!="]
 

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from gatehouse.functions import budgets, hashing, numbers, replies, text
+from gatehouse.functions import budgets, code, hashing, numbers, replies, text
 from gatehouse.operators import decontam, ordering, pairs, retrieval, rewards, routing, scoring
 from gatehouse.sources import readers
 
@@ -176,6 +176,23 @@ def test_small_functions(spark):
     assert row.t == 2048 and row.f == 'a-b..."c" ? ' and row.k == "logical_deductive_reasoning"
 
 
+def test_tool_arguments_and_blocks(spark):
+    row = spark.range(1).select(
+        code.tool_argument_code(F.lit('{"script": " print(1) "}')).alias("named"),
+        code.tool_argument_code(F.lit('"x = 1"')).alias("raw"),
+        code.tool_argument_code(F.lit('{"other": 1}')).alias("none"),
+        code.action_blocks(F.lit("```js\n# ACT now\n```\n```sql\nx\n```\n```\ny\n```")).alias("acts"),
+        replies.best_answers(F.lit("``` `x` ```"), F.array(F.lit("a"))).alias("fenced"),
+        replies.best_answers(F.lit("` plain `"), F.array(F.lit("a"))).alias("plain"),
+        replies.best_answers(F.lit('{"answers": [{"task_id": "z", "answer": "n"}], "a": "kept", "b": null}'),
+                             F.array(F.lit("a"), F.lit("b"))).alias("keyed"),
+    ).first()
+    assert (row.named, row.raw, row.none) == ("print(1)", "x = 1", None)
+    assert [b.code for b in row.acts] == ["# ACT now", "y"]
+    assert row.fenced is None and [tuple(a) for a in row.plain] == [("a", "plain")]
+    assert [tuple(a) for a in row.keyed] == [("a", "kept")]
+
+
 def test_rewards(spark):
     rows = [("ner", "We saw Ada Lovelace at NASA.", "PERSON: Ada Lovelace", 0.65), ("sentiment", "p", "Positive. It is a fine shop indeed.", 0.6),
             ("code_fix", "p", "The index is off by one here.\ndef f(x):\n    return x", 0.5),
