@@ -21,9 +21,9 @@ def numtok(x: str) -> str:
 
 
 def grams(x: str, n: int = 8) -> str:
-    w = norm(x)
-    return (f"list_distinct(list_transform(range(1, len({w}) - {n - 2}), "
-            f"lambda i: array_to_string(list_slice({w}, i, i + {n - 1}), ' ')))")
+    # The one-element list binds the words once; a bare expression would run per run.
+    return (f"(list_transform([{norm(x)}], lambda w: list_distinct(list_transform(range(1, len(w) - {n - 2}), "
+            f"lambda i: array_to_string(list_slice(w, i, i + {n - 1}), ' ')))))[1]")
 
 
 def quoted(x: str) -> str:
