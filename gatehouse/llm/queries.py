@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chunk_bpe, packing, prefix_counts
+from . import chunk_bpe, packing, prefix_counts, quality, signature_tree, toxicity, url_vocab
 from .common import read
 
 JSON_50K = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,10 +19,27 @@ def op2_token_counts(spark, sf_dir):
     return prefix_counts.token_counts(read(spark, sf_dir, "documents"), JSON_50K)
 
 
+def op5_quality_rules(spark, sf_dir):
+    return quality.quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_url_filters(spark, sf_dir):
+    return url_vocab.url_verdicts(read(spark, sf_dir, "pages"))
+
+
 def op8_byte_bpe(spark, sf_dir):
     return chunk_bpe.digests(read(spark, sf_dir, "documents"), RANKS_50K)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op8_byte_bpe)}
+def op9_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op10_ngram_join(spark, sf_dir):
+    return signature_tree.link_components(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op5_quality_rules, op7_url_filters, op8_byte_bpe, op9_toxicity, op10_ngram_join)}
 
 ORACLES: dict[str, str] = {}
