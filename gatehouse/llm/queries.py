@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chunk_bpe, packing, prefix_counts, quality, signature_tree, toxicity, url_vocab
+from . import ann_tree, chunk_bpe, line_suffix, oracles, packing, prefix_counts, quality, signature_tree, surrogates, toxicity, url_vocab
 from .common import read
 
 JSON_50K = public_tokenizers.path("byte_bpe_50k.json")
 RANKS_50K = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
+SECRET_KEY = "example key; a real run passes its own"
+
 
 def op1_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), JSON_50K)
@@ -19,10 +21,22 @@ def op2_token_counts(spark, sf_dir):
     return prefix_counts.token_counts(read(spark, sf_dir, "documents"), JSON_50K)
 
 
+def op3_nearest_neighbours(spark, sf_dir):
+    return ann_tree.search(read(spark, sf_dir, "embeddings"))
+
+
+def op4_line_dedup(spark, sf_dir):
+    return line_suffix.line_report(read(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality.quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_surrogates(spark, sf_dir):
+    return surrogates.surrogate_report(read(spark, sf_dir, "documents"), SECRET_KEY)
+
+
 def op7_url_filters(spark, sf_dir):
     return url_vocab.url_verdicts(read(spark, sf_dir, "pages"))
 
@@ -40,6 +54,10 @@ def op10_ngram_join(spark, sf_dir):
     return signature_tree.link_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op5_quality_rules, op7_url_filters, op8_byte_bpe, op9_toxicity, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_nearest_neighbours, op4_line_dedup, op5_quality_rules, op6_surrogates, op7_url_filters, op8_byte_bpe, op9_toxicity, op10_ngram_join)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": oracles.line_dedup(),
+    "op7_url_filters": oracles.url_filters(),
+    "op10_ngram_join": oracles.ngram_join(),
+}
