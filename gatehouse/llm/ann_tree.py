@@ -25,11 +25,12 @@ SAMPLE = 20_000
 CALIBRATION = 200
 """Sampled vectors whose exact neighbours set the number of leaf visits."""
 
-RECALL = 0.97
+RECALL = 0.95
 """Share of true neighbours that calibration asks for."""
 
 BRANCHES = 8
-LEAF_POINTS = 48
+LEAVES = 256
+"""Leaves of the tree, about: a leaf holds at most the sample's share of one, and 48 points at least."""
 
 BLOCK = 4_096
 """Vectors of a leaf that one block holds; larger leaves are split."""
@@ -59,9 +60,10 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 8) ->
     return near
 
 
-def build(x: np.ndarray, branches: int = BRANCHES, leaf_points: int = LEAF_POINTS, seed: int = 0) -> Tree:
+def build(x: np.ndarray, branches: int = BRANCHES, leaves: int = LEAVES, seed: int = 0) -> Tree:
     """A tree over the distinct rows of ``x`` (at least one)."""
     rng, x = np.random.default_rng(seed), np.unique(x, axis=0)
+    leaf_points = max(48, -(-2 * len(x) // leaves))
     centres, first, n, members = [x.mean(0)], [0], [0], [np.arange(len(x))]
     at = 0
     while at < len(members):
