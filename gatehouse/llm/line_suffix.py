@@ -1,11 +1,12 @@
 """Line deduplication by a suffix array over line-id sequences.
 
 Suffixes of documents, as sequences of lines, are named by prefix doubling: a name of
-a suffix's first 2h lines is the pair of names of its first h and the next h, and
+a suffix's first 2h lines comes from the names of its first h and the next h, and
 names are the first place in the corpus where those lines stand.  Suffixes with equal
-names form an interval of the suffix array with a longest common prefix of at least h.
-Halving steps then find, for every suffix, the longest prefix that stands anywhere
-before it.  That is a maximal repeated run; the lines of later copies are deleted.
+names form an interval of the suffix array with a longest common prefix of at least h
+lines, and all but the first of an interval start a run that stands before.  The union
+of these runs, over all intervals, is the union of the maximal repeated runs; their
+lines are deleted.
 
 Everything is DataFrame expressions, joins, windows and aggregates.  Suffixes that no
 other shares a prefix with leave the computation at once, so rounds carry only
@@ -25,16 +26,17 @@ MIN_WORDS = 3
 """Words that a repeated run has at least; shorter ones, such as a lone "Yes.", stay."""
 
 
-def number_lines(docs: DataFrame) -> DataFrame:
-    """g, doc, doc_id, th, pos, h1, h2, words: lines with a word, numbered by doc_id and place.
+def number_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """g, doc, doc_id, th, pos, h1, h2, words (counted up to ``min_words``): lines with a word, numbered by doc_id and place.
 
     ``g`` rises with doc_id (nulls first), text digest and place, and ``doc`` is the g
     of the document's first line.  Equal rows of a table are one document.
     """
     line = F.col("line")
+    at_least = [F.when(line.rlike(rf"^(?:[\x20\x09-\x0D]*+{WORD}+){{{n}}}"), n) for n in range(min_words, 0, -1)]
     lines = (docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-             .filter(line.rlike(WORD))
-             .select("doc_id", "th", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.regexp_count("line", F.lit(WORD)).alias("words")))
+             .select("doc_id", "th", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.coalesce(*at_least).alias("words"))
+             .filter(F.col("words").isNotNull()))
     sorted_lines = lines.repartitionByRange("doc_id", "th").distinct().sortWithinPartitions("doc_id", "th", "pos")
     place = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("pos"))
     return materialise(sorted_lines.withColumn("place", place).withColumn("g", F.monotonically_increasing_id())
@@ -47,34 +49,50 @@ def _named(pairs: DataFrame, *key: str) -> DataFrame:
     return pairs.join(names, list(key))
 
 
+def _followed(level: DataFrame, step: int, n: int) -> DataFrame:
+    """Names at g, g + step, ... (n of them) as n0, n1, ...; only where all are there."""
+    def at(k: int) -> Column:
+        w = Window.partitionBy("doc").orderBy("g").rangeBetween(k * step, k * step)
+        return F.max("name").over(w).alias(f"n{k}")
+
+    return level.select("doc", "g", F.col("name").alias("n0"), *map(at, range(1, n))).dropna(subset=[f"n{k}" for k in range(1, n)])
+
+
 def suffix_levels(lines: DataFrame) -> list[DataFrame]:
-    """Level h: (doc, g, name) of suffixes whose first 2**h lines stand in two places or more."""
+    """Level h: (doc, g, name) of suffixes whose first 4**h lines stand in two places or more.
+
+    A round doubles the prefix twice before it names anew, which halves the shuffles.
+    """
     level = materialise(_named(lines.select("doc", "g", "h1", "h2"), "h1", "h2").select("doc", "g", "name"))
     levels = []
     while not level.isEmpty():
         levels.append(level)
-        ahead = 1 << (len(levels) - 1)
-        w = Window.partitionBy("doc").orderBy("g").rangeBetween(ahead, ahead)
-        pairs = level.select("doc", "g", F.col("name").alias("left"), F.max("name").over(w).alias("right")).filter(F.col("right").isNotNull())
-        level = materialise(_named(pairs, "left", "right").select("doc", "g", "name"))
+        four = _followed(level, 4 ** (len(levels) - 1), 4)
+        level = materialise(_named(four, "n0", "n1", "n2", "n3").select("doc", "g", "name"))
     return levels
 
 
 def windows(levels: list[DataFrame], min_words: int) -> list[tuple[int, DataFrame]]:
     """(lines, frame) of prefixes of a fixed length with ``name`` and ``g``: all levels, and the short lengths between them.
 
-    A length L between 2**h and 2**(h+1) is named by the two windows of 2**h lines
-    that cover it.  Runs of ``min_words`` lines have that many words, so longer
-    lengths between levels are covered by their parts.
+    A length between two levels is named by windows of the lower level that cover it.
+    Runs of ``min_words`` lines have that many words, so longer lengths are covered by
+    their parts.
     """
-    found = [(1 << h, level) for h, level in enumerate(levels)]
-    for length in range(3, min_words + 1):
-        h = length.bit_length() - 1
-        if length == 1 << h or h >= len(levels):
+    found = [(4 ** h, level) for h, level in enumerate(levels)]
+    for length in range(2, min_words + 1):
+        h = next(h for h in range(len(levels) + 1) if 4 ** (h + 1) > length)
+        if h >= len(levels) or length == 4 ** h:
             continue
-        w = Window.partitionBy("doc").orderBy("g").rangeBetween(length - (1 << h), length - (1 << h))
-        pairs = levels[h].select("doc", "g", F.col("name").alias("left"), F.max("name").over(w).alias("right")).filter(F.col("right").isNotNull())
-        found.append((length, _named(pairs, "left", "right").select("doc", "g", "name")))
+        part = 4 ** h
+        n = -(-length // part)
+        if length % part:  # the last window ends with the run
+            whole = _followed(levels[h], part, n - 1)
+            last = levels[h].select((F.col("g") - (length - part)).alias("g"), F.col("name").alias("last"))
+            rows, key = whole.join(last, "g"), [*(f"n{k}" for k in range(n - 1)), "last"]
+        else:
+            rows, key = _followed(levels[h], part, n), [f"n{k}" for k in range(n)]
+        found.append((length, _named(rows, *key).select("doc", "g", "name")))
     return found
 
 
@@ -84,7 +102,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFram
     At each g the longest level or short length that repeats is given; the union of
     all runs of a document is the union of its maximal repeated runs.
     """
-    lines = number_lines(docs)
+    lines = number_lines(docs, min_words)
     levels = suffix_levels(lines)
     if not levels:
         return lines, lines.select("doc", "g", F.col("g").alias("source"), F.lit(1).alias("n_lines")).limit(0)
