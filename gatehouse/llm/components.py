@@ -11,7 +11,7 @@ from gatehouse.session import materialise
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of ``edges`` (a, b): root is the smallest vertex that links reach.
 
-    Each round points every vertex to its smallest neighbour, follows pointers twice,
+    Each round points every vertex to its smallest neighbour, follows the pointer there,
     and replaces edges by edges between the ends.  A hot vertex is one row of the
     unique side of each join.  Loops and repeated edges do no harm; without edges
     the result is empty.
@@ -22,14 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
     e, labels = ordered(edges), None
     while not e.isEmpty():
         both = e.union(e.select("b", "a"))
-        parent = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("p")).select("u", F.least("u", "p").alias("p"))
-        for _ in range(2):
-            parent = materialise(parent)
-            parent = parent.alias("x").join(parent.select(F.col("u").alias("q"), F.col("p").alias("r")), F.col("p") == F.col("q")).select("u", F.col("r").alias("p"))
-        parent = materialise(parent)
+        near = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("p")).select("u", F.least("u", "p").alias("p"))
+        parent = materialise(near.join(near.select(F.col("u").alias("q"), F.col("p").alias("r")), F.col("p") == F.col("q")).select("u", F.col("r").alias("p")))
         ends = parent.select(F.col("u").alias("root"), F.col("p").alias("next"))
         labels = (parent.select(F.col("u").alias("v"), F.col("p").alias("root")) if labels is None else
-                  materialise(labels.join(ends, "root", "left").select("v", F.coalesce("next", "root").alias("root"))))
+                  labels.join(ends, "root", "left").select("v", F.coalesce("next", "root").alias("root")))
         e = ordered(e.join(parent.select(F.col("u").alias("a"), F.col("p").alias("pa")), "a")
                     .join(parent.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b")
                     .select(F.col("pa").alias("a"), F.col("pb").alias("b")))
