@@ -9,6 +9,9 @@ budget" without encoding again.
 
 from __future__ import annotations
 
+import sys
+from array import array
+
 import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame
@@ -17,8 +20,8 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import arrow_map
 
-CACHED = 200_000
-"""Pre-tokens, and token pairs, a Python worker keeps before it starts anew."""
+CACHED = 900_000
+"""Pre-tokens, and token pairs, a Python worker keeps before it starts anew: about 200 bytes each."""
 
 PRE = regex.compile(bpe.PATTERN)
 TWO_SPACES = regex.compile(r"\s\s")
@@ -32,37 +35,42 @@ class PrefixTable:
         self.vocabulary = vocabulary
         self.ranks, special = bpe.ranks(vocabulary)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.longest = max(map(len, self.ranks))
+        # Every ending of a token: its rank, or None for an ending that is no token itself.
+        self.endings = dict.fromkeys(t[i:] for t in self.ranks for i in range(1, len(t))) | self.ranks
         self.bytes_of = {i: t for t, i in self.ranks.items()}
         self.core = bpe.encoding(vocabulary)
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, bytes]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}
 
     def follows(self, left: int, right: int) -> bool:
         """Whether ``right`` may stand behind ``left``: their bytes encode to just these two."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > 4 * CACHED:
-                self.pairs.clear()
-            known = self.pairs[key] = self.core._encode_single_piece(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        if len(self.pairs) > CACHED:
+            self.pairs.clear()
+        known = self.pairs[left << 32 | right] = self.core._encode_single_piece(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
     def piece(self, raw: bytes) -> list[int]:
         """Token counts of the first 1, 2, ... bytes of one pre-token."""
-        ranks, follows, longest = self.ranks, self.follows, self.longest
+        endings, pairs, follows = self.endings, self.pairs, self.follows
         last, count = [-1], [0]
         for end in range(1, len(raw) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(raw[start:end])
-                if token is not None and (not start or follows(last[start], token)):
-                    last.append(token)
-                    count.append(count[start] + 1)
-                    break
+            start = end
+            while True:  # one and only one token fits, so the search may stop at it
+                start -= 1
+                token = endings[raw[start:end]]
+                if token is not None:
+                    if not start:
+                        break
+                    left = last[start]
+                    fits = pairs.get(left << 32 | token)
+                    if follows(left, token) if fits is None else fits:
+                        break
+            last.append(token)
+            count.append(count[start] + 1)
         return count[1:]
 
-    def word(self, token: str) -> tuple[int, bytes]:
-        """(count of the pre-token, counts after each of its characters as 32-bit numbers)."""
+    def word(self, token: str) -> bytes:
+        """Counts after each character of a pre-token, as 32-bit numbers."""
         known = self.words.get(token)
         if known is None:
             raw = token.encode()
@@ -70,34 +78,41 @@ class PrefixTable:
             if len(raw) > len(token):
                 counts = [c for c, nxt in zip(counts, [*raw[1:], 0]) if nxt & 0xC0 != 0x80]
             if token in CONTRACTIONS:  # cut before its last letter it is no contraction
-                counts[1] = self.word(token[:1])[0] + self.word(token[1:2])[0]
+                counts[1] = self.total(token[:1]) + self.total(token[1:2])
             if len(self.words) > CACHED:
                 self.words.clear()
-            known = (counts[-1], np.asarray(counts, np.uint32).tobytes())
+            known = array("I", counts).tobytes()
             if len(token) <= 64:
                 self.words[token] = known
         return known
 
+    def total(self, token: str) -> int:
+        return int.from_bytes(self.word(token)[-4:], sys.byteorder)
+
     def _pretokens(self, text: str) -> list[str]:
-        if bpe.ODD.search(text) and self.vocabulary.endswith(".json"):
-            spans = bpe.library(self.vocabulary).pre_tokenizer.pre_tokenize_str(text)
-            return [text[a:b] for _, (a, b) in spans]
+        if bpe.plain(text):
+            return bpe.PLAIN_PATTERN.findall(text)
+        if self.vocabulary.endswith(".json"):
+            return [text[a:b] for _, (a, b) in bpe.library(self.vocabulary).pre_tokenizer.pre_tokenize_str(text)]
         return PRE.findall(text)
 
     def _ordinary(self, text: str) -> np.ndarray:
         tokens = self._pretokens(text)
         if not tokens:
             return np.zeros(0, np.int64)
-        tables = list(map(self.word, tokens))
-        totals = np.cumsum([t[0] for t in tables])
-        table = np.frombuffer(b"".join([t[1] for t in tables]), np.uint32).astype(np.int64)
+        tables = list(map(self.words.get, tokens))
+        if None in tables:
+            tables = [t or self.word(token) for t, token in zip(tables, tokens)]
+        table = np.frombuffer(b"".join(tables), np.uint32).astype(np.int64)
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        table += np.repeat(totals - [t[0] for t in tables], lengths)
+        ends = np.cumsum(lengths)
+        own = table[ends - 1]
+        totals = np.cumsum(own)
+        table += np.repeat(totals - own, lengths)
         if TWO_SPACES.search(text):  # a prefix that ends in white space has the whole run as one pre-token
-            ends = np.cumsum(lengths)
             for i, (token, nxt) in enumerate(zip(tokens, tokens[1:])):
                 if token.isspace() and nxt[:1].isspace():
-                    table[ends[i]] = (totals[i - 1] if i else 0) + self.word(token + nxt[0])[0]
+                    table[ends[i]] = (totals[i - 1] if i else 0) + self.total(token + nxt[0])
         return table
 
     def counts(self, text: str) -> np.ndarray:
