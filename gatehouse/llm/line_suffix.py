@@ -44,8 +44,11 @@ def number_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _named(pairs: DataFrame, *key: str) -> DataFrame:
-    """Rows of keys that occur twice or more, with ``name``: the smallest g of the key."""
-    names = pairs.groupBy(*key).agg(F.min("g").alias("name"), F.max("g").alias("most")).filter("name < most").drop("most")
+    """Rows of keys that occur twice or more, with ``name``: the smallest g of the key.
+
+    The names are dealt out once more before the join, so that a hot key's rows can be split.
+    """
+    names = pairs.groupBy(*key).agg(F.min("g").alias("name"), F.max("g").alias("most")).filter("name < most").drop("most").repartition("name")
     return pairs.join(names, list(key))
 
 

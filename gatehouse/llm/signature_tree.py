@@ -277,7 +277,7 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90, block_shingl
     classes = (feats.filter(F.col("v").isNotNull()).groupBy("v")
                .agg(F.min("doc_id").alias("least_id"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.first("n_shingles").alias("size"), F.first("signatures").alias("signatures")))
     dealt = classes.select("v", F.explode("signatures").alias("signature"))
-    shared = dealt.groupBy("signature").agg(F.min("v").alias("center"), F.max("v").alias("other")).filter("center < other").select("signature", "center")
+    shared = dealt.groupBy("signature").agg(F.min("v").alias("center"), F.max("v").alias("other")).filter("center < other").select("signature", "center").repartition("center")  # dealt out anew, so that the join can split a hot signature
     edges = dealt.join(shared, "signature").filter("v <> center").select(F.col("v").alias("a"), F.col("center").alias("b")).distinct()
     clusters = components(edges)
 
