@@ -4,7 +4,9 @@ A document is the set of its distinct word shingles.  Equal sets are one class.
 forest has a tree for every cluster of classes that could link at all: the shingles
 of a set are dealt into more buckets than two linked sets can differ in, so linked
 sets have a bucket in common that is equal and not empty; classes that share such a
-bucket, directly or by others, are a cluster.  A tree's leaves hold classes, its
+bucket, directly or by others, are a cluster.  Low similarities take the first
+shingles in hash order instead, of which linked sets have a certain number in common;
+sets that share fewer with all others together are left out first.  A tree's leaves hold classes, its
 nodes the OR of their bitmaps, their size range and the most shingles that a bitmap
 hides.  Dual traversal compares node with node, starting at the root, and drops a
 pair when sizes or the largest overlap that the bitmaps allow rule out every link, or
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatehouse.session import broadcast_if_small, materialise
@@ -42,6 +44,12 @@ SPARE = 2
 BLOCK_SHINGLES = 1_000_000
 """Shingles (8 bytes each) of a block that one task compares."""
 
+BUCKETS_FROM = 85
+"""Least similarity in percent with buckets; below it they hold too few shingles to tell documents apart, and prefixes are used."""
+
+PREFIX_SHARE = 5
+"""Percent of a set by which its prefix is longer than one common shingle needs."""
+
 LEAF = 16
 FANOUT = 8
 
@@ -107,17 +115,31 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def prefix(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in hash order: linked sets have at least ``in_common`` of them in common."""
+    size = len(shingles)
+    length = size - -(-size * percent // 100) + max(1, size * PREFIX_SHARE // 100)
+    return np.sort(_mix(shingles))[:length] >> np.uint64(16)
+
+
+def in_common(size: Column, percent: int) -> Column:
+    """Prefix shingles that a set shares with the prefix of every set it is linked with; that one has ``percent`` of its size or more."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(size * percent / 100) * PREFIX_SHARE / 100))
+
+
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
 def features(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, v (digest of the set, null for an empty one), check (more of it), signatures."""
+    sign = signatures if percent >= BUCKETS_FROM else prefix
+
     def run(batch):
         sets = [shingle_set(t or "", n) for t in batch.column(1).to_pylist()]
         digests = [_digest(s) if len(s) else (None, None) for s in sets]
         return {"doc_id": batch.column(0), "n_shingles": [len(s) for s in sets], "v": [d[0] for d in digests], "check": [d[1] for d in digests],
-                "signatures": [signatures(s, percent).astype(np.int64) if len(s) else [] for s in sets]}
+                "signatures": [sign(s, percent).astype(np.int64) if len(s) else [] for s in sets]}
 
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, v bigint, check bigint, signatures array<bigint>")
 
@@ -266,6 +288,27 @@ def _open_clusters(docs: DataFrame, placed: DataFrame, n: int, percent: int, blo
     return placed.select("v").join(found, "v", "left").select("v", F.coalesce("root", "v").alias("root"))
 
 
+def _shared(dealt: DataFrame) -> DataFrame:
+    """Rows (v, size, signature) of signatures that two sets or more have, with ``center``, the smallest of them.
+
+    Signatures are dealt out once more before the join, so that a hot one's rows can be split.
+    """
+    shared = dealt.groupBy("signature").agg(F.min("v").alias("center"), F.max("v").alias("other")).filter("center < other").select("signature", "center")
+    return dealt.join(shared.repartition("center"), "signature")
+
+
+def _starred(dealt: DataFrame) -> DataFrame:
+    """Edges from every set to the smallest set of each of its signatures."""
+    return _shared(dealt).filter("v <> center").select(F.col("v").alias("a"), F.col("center").alias("b")).distinct()
+
+
+def _worth_comparing(dealt: DataFrame, percent: int) -> DataFrame:
+    """Shared rows of sets that share enough of their prefix, with whatever sets, to be linked at all."""
+    rows = materialise(_shared(dealt).select("v", "size", "signature"))
+    enough = rows.groupBy("v").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter(F.col("n") >= in_common(F.col("size"), percent)).select("v")
+    return materialise(rows.join(enough, "v", "left_semi"))
+
+
 def link_components(docs: DataFrame, n: int = 3, percent: int = 90, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id that links reach) of every row of ``docs``.
 
@@ -276,10 +319,8 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90, block_shingl
     feats = materialise(features(docs, n, percent))
     classes = (feats.filter(F.col("v").isNotNull()).groupBy("v")
                .agg(F.min("doc_id").alias("least_id"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.first("n_shingles").alias("size"), F.first("signatures").alias("signatures")))
-    dealt = classes.select("v", F.explode("signatures").alias("signature"))
-    shared = dealt.groupBy("signature").agg(F.min("v").alias("center"), F.max("v").alias("other")).filter("center < other").select("signature", "center").repartition("center")  # dealt out anew, so that the join can split a hot signature
-    edges = dealt.join(shared, "signature").filter("v <> center").select(F.col("v").alias("a"), F.col("center").alias("b")).distinct()
-    clusters = components(edges)
+    dealt = classes.select("v", "size", F.explode("signatures").alias("signature"))
+    clusters = components(_starred(dealt if percent >= BUCKETS_FROM else _worth_comparing(dealt, percent)))
 
     ids = classes.select("v", "least_id", "size", (F.col("c1") != F.col("c2")).alias("clash"))
     members = materialise(clusters.join(ids, "v").select("v", F.col("root").alias("cluster"), "least_id", "size", "clash"))
