@@ -21,6 +21,7 @@ block as well.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,11 +48,13 @@ BLOCK_SHINGLES = 1_000_000
 BUCKETS_FROM = 85
 """Least similarity in percent with buckets; below it they hold too few shingles to tell documents apart, and prefixes are used."""
 
-PREFIX_SHARE = 5
+PREFIX_SHARE = 10
 """Percent of a set by which its prefix is longer than one common shingle needs."""
 
 LEAF = 16
 FANOUT = 8
+PARTS = 1 << 24
+"""Block numbers of a size band."""
 
 _WORDS: dict[bytes, int] = {}
 
@@ -259,29 +262,35 @@ def _sets(docs: DataFrame, placed: DataFrame, n: int) -> DataFrame:
         sets = [shingle_set(t or "", n) for t in batch.column(4).to_pylist()]
         same = pa.array([len(s) > 0 and _digest(s)[0] == v for s, v in zip(sets, batch.column(0).to_pylist())], pa.bool_())  # an id may have other texts too
         columns = [batch.column(i).filter(same) for i in range(4)] + [pa.array([s.tobytes() for s in sets], pa.binary()).filter(same)]
-        return dict(zip(("v", "cluster", "blocks", "block", "shingles"), columns))
+        return dict(zip(("v", "cluster", "band", "block", "shingles"), columns))
 
-    wanted = broadcast_if_small(placed.select("v", "cluster", "blocks", "block", "least_id"))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("v", "cluster", "blocks", "block", "text")
-    return arrow_map(texts, run, "v bigint, cluster bigint, blocks bigint, block bigint, shingles binary")
+    wanted = broadcast_if_small(placed.select("v", "cluster", "band", "block", "least_id"))
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("v", "cluster", "band", "block", "text")
+    return arrow_map(texts, run, "v bigint, cluster bigint, band bigint, block bigint, shingles binary")
 
 
 def _open_clusters(docs: DataFrame, placed: DataFrame, n: int, percent: int, block_shingles: int) -> DataFrame:
-    """(v, root) of clusters in several blocks.  The pivot is the class that names the cluster."""
+    """(v, root) of clusters in several blocks.  The pivot is the class that names the cluster.
+
+    Blocks hold sets of one size band, a band being a little wider than a link's size ratio, so
+    that sets meet only in neighbouring bands.
+    """
     sets = materialise(_sets(docs, placed, n))
-    every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
-    first = sets.withColumn("block", F.explode(F.when(F.col("v") == F.col("cluster"), every).otherwise(F.array("block"))))
-    inside = materialise(_joined_blocks(first.withColumn("part", F.lit(0)).withColumn("label", F.col("v")), percent).select("v", "joined").distinct())
+    slots = materialise(placed.select("cluster", "band", "block").distinct())
+    columns = ["cluster", "block", "part", "v", "label", "shingles"]
+    pivots = sets.filter("v = cluster").drop("band", "block").join(slots, "cluster")
+    first = sets.filter("v <> cluster").unionByName(pivots).withColumn("part", F.lit(0).cast("bigint")).withColumn("label", F.col("v"))
+    inside = materialise(_joined_blocks(first.select(*columns), percent).select("v", "joined").distinct())
     edges = inside.select(F.col("v").alias("a"), F.col("joined").alias("b"))
-    known = placed.select("v", "cluster", "size", "blocks", "block").join(inside.groupBy("v").agg(F.min("joined").alias("label")), "v")
+    known = placed.select("v", "cluster", "band", "size").join(inside.groupBy("v").agg(F.min("joined").alias("label")), "v")
     loose = materialise(known.filter("label <> cluster"))
     if not loose.isEmpty():
-        parts = loose.groupBy("cluster").agg(F.ceil(F.sum("size") / block_shingles).alias("parts"))
-        fixed = (sets.join(known.select("v", "label").distinct(), "v").join(parts, "cluster")
-                 .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))))
-        moved = (sets.join(loose.select("v", "label"), "v").join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
-                 .withColumn("block", F.explode(every)))
-        columns = ["cluster", "block", "part", "v", "label", "shingles"]
+        split = loose.groupBy("cluster", "band").agg(F.ceil(F.sum("size") / block_shingles).alias("split"))
+        parted = loose.join(split, ["cluster", "band"]).select("v", "label", F.col("band").alias("b"), (F.col("band") * PARTS + F.pmod(F.xxhash64("v"), F.col("split"))).alias("part"))
+        near = F.abs(F.col("band") - F.col("b")) <= 1
+        parts = parted.join(placed.select("v", "cluster"), "v").select("cluster", "b", "part").distinct()
+        fixed = sets.join(known.select("v", "label").distinct(), "v").join(parts.withColumnRenamed("cluster", "c"), (F.col("cluster") == F.col("c")) & near)
+        moved = sets.drop("band", "block").join(parted, "v").join(slots.withColumnRenamed("cluster", "c"), (F.col("cluster") == F.col("c")) & near)
         across = _joined_blocks(fixed.select(*columns).unionByName(moved.select(*columns)), percent)
         edges = edges.unionByName(across.select(F.col("label").alias("a"), F.col("joined").alias("b")))
     found = components(edges)
@@ -304,9 +313,12 @@ def _starred(dealt: DataFrame) -> DataFrame:
 
 def _worth_comparing(dealt: DataFrame, percent: int) -> DataFrame:
     """Shared rows of sets that share enough of their prefix, with whatever sets, to be linked at all."""
-    rows = materialise(_shared(dealt).select("v", "size", "signature"))
-    enough = rows.groupBy("v").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter(F.col("n") >= in_common(F.col("size"), percent)).select("v")
-    return materialise(rows.join(enough, "v", "left_semi"))
+    rows = dealt
+    for _ in range(2):  # the second time among those the first has left
+        rows = materialise(_shared(rows).select("v", "size", "signature"))
+        enough = rows.groupBy("v").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter(F.col("n") >= in_common(F.col("size"), percent)).select("v")
+        rows = rows.join(enough, "v", "left_semi")
+    return materialise(rows)
 
 
 def link_components(docs: DataFrame, n: int = 3, percent: int = 90, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -324,16 +336,18 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90, block_shingl
 
     ids = classes.select("v", "least_id", "size", (F.col("c1") != F.col("c2")).alias("clash"))
     members = materialise(clusters.join(ids, "v").select("v", F.col("root").alias("cluster"), "least_id", "size", "clash"))
-    weight = members.groupBy("cluster").agg(F.sum("size").alias("total"), F.max("clash").alias("clash"))
-    if not weight.filter("clash").isEmpty():
+    if not members.filter("clash").isEmpty():
         raise ValueError("two different sets share a 64-bit digest; change the mixing constants")
-    placed = (members.join(weight.select("cluster", "total"), "cluster").withColumn("blocks", F.ceil(F.col("total") / block_shingles))
-              .select("v", "cluster", "least_id", "size", "blocks", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block")))
-    placed = materialise(placed)
-    closed = _joined_blocks(_sets(docs, placed.filter("blocks = 1"), n).withColumn("part", F.lit(0)).withColumn("label", F.col("v")), percent)
+    total = members.groupBy("cluster").agg(F.sum("size").alias("total"))
+    banded = members.join(total, "cluster").withColumn("band", F.floor(F.log("size") / (1.001 * math.log(100 / percent))))
+    in_band = banded.groupBy("cluster", "band").agg(F.ceil(F.sum("size") / block_shingles).alias("split"))
+    block = F.col("band") * PARTS + F.pmod(F.xxhash64("v"), F.col("split"))
+    placed = materialise(banded.join(in_band, ["cluster", "band"]).withColumn("open", F.col("total") > block_shingles)
+                         .select("v", "cluster", "least_id", "size", "open", "band", F.when(F.col("open"), block).otherwise(0).alias("block")))
+    closed = _joined_blocks(_sets(docs, placed.filter("NOT open"), n).withColumn("part", F.lit(0).cast("bigint")).withColumn("label", F.col("v")), percent)
     roots = closed.select("v", F.col("joined").alias("root"))
-    if not placed.filter("blocks > 1").isEmpty():
-        roots = roots.unionByName(_open_clusters(docs, placed.filter("blocks > 1"), n, percent, block_shingles))
+    if not placed.filter("open").isEmpty():
+        roots = roots.unionByName(_open_clusters(docs, placed.filter("open"), n, percent, block_shingles))
     roots = materialise(roots.distinct())
 
     least = roots.join(members.select("v", "least_id"), "v").groupBy("root").agg(F.min("least_id").alias("component_id"))
