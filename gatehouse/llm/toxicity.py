@@ -90,10 +90,12 @@ def fit(rows: list[tuple[bytes, int]], factors: int = 4, steps: int = 150, min_z
     bias = float(np.log(mean / (1 - mean))) if 0 < mean < 1 else -30.0
     if not n or y.min() == y.max():
         return Model(bias, np.zeros(0), np.zeros((0, factors)))
-    sets = [np.frombuffer(t, np.int32) for t, _ in rows]
-    term, row = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
-    docs = np.bincount(term, minlength=1 << BITS)
-    hits = np.bincount(term, weights=y[row], minlength=1 << BITS)
+    # Two passes over the rows, one at a time: counts first, then the chosen terms of each.
+    docs, hits = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
+    for packed, label in rows:
+        found = np.frombuffer(packed, np.int32)
+        docs[found] += 1
+        hits[found] += label
     z = (hits - docs * mean - 0.5) / np.sqrt(docs * mean * (1 - mean) + 1e-9)
     chosen = np.where((docs >= min_docs) & (z > min_z))[0]
     chosen = chosen[np.argsort(-z[chosen], kind="stable")][:max_terms]
@@ -101,8 +103,8 @@ def fit(rows: list[tuple[bytes, int]], factors: int = 4, steps: int = 150, min_z
         return Model(bias, np.zeros(0), np.zeros((0, factors)))
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    inside = place[term] >= 0
-    at, row, m = place[term[inside]], row[inside], len(chosen)
+    kept = [(p := place[np.frombuffer(packed, np.int32)])[p >= 0] for packed, _ in rows]
+    at, row, m = np.concatenate(kept), np.repeat(np.arange(n), [len(k) for k in kept]), len(chosen)
     w, v, b = np.zeros(m), np.random.default_rng(seed).normal(0, 0.05, (m, factors)), np.array([bias])
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, v, b)]
     for step in range(1, steps + 1):
