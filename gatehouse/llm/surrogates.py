@@ -39,7 +39,7 @@ PATTERNS = {
     "PHONE": r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
     "IP": r"(?<![\d.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?!\.?\d)",
     "SSN": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "CARD": r"(?<![\p{N}])\d(?:[ -]?\d){12,18}(?!\p{N})",
+    "CARD": r"(?<!\p{N})(?:\d{13,19}|\d{4}[ -]\d{4}(?:[ -]\d{4}){2}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?!\p{N})",
     "NAME": r"(?<= )(?=\p{Lu}\p{Ll})(?<=\b" + _TITLE + r"\.? )\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)?",
 }
 """Entity kinds in order of preference, as Java patterns."""
@@ -66,7 +66,7 @@ def _kind(entity: Column) -> Column:
             .when(entity.rlike(r"^\d{3}-\d{2}-\d{4}$"), "SSN")
             .when(entity.rlike(r"^[+(]"), "PHONE")
             .when(entity.rlike(r"^[0-9A-Fa-f]{32,}$"), "SECRET")
-            .when(entity.rlike(r"^\d(?:[ -]?\d){12,18}$"), "CARD")
+            .when(entity.rlike(r"^\d[\d -]{12,}$"), "CARD")
             .when(entity.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{12,}$"), "IBAN")
             .when(entity.rlike(r"^\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)?$"), "NAME")
             .otherwise("SECRET"))
