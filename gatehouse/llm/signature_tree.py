@@ -298,7 +298,7 @@ def _open_clusters(docs: DataFrame, placed: DataFrame, n: int, percent: int, blo
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
-    """Rows (v, size, signature) of signatures that two sets or more have, with ``center``, the smallest of them.
+    """Rows (v, signature) of signatures that two sets or more have, with ``center``, the smallest of them.
 
     Signatures are dealt out once more before the join, so that a hot one's rows can be split.
     """
@@ -311,12 +311,12 @@ def _starred(dealt: DataFrame) -> DataFrame:
     return _shared(dealt).filter("v <> center").select(F.col("v").alias("a"), F.col("center").alias("b")).distinct()
 
 
-def _worth_comparing(dealt: DataFrame, percent: int) -> DataFrame:
+def _worth_comparing(dealt: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Shared rows of sets that share enough of their prefix, with whatever sets, to be linked at all."""
     rows = dealt
     for _ in range(2):  # the second time among those the first has left
-        rows = materialise(_shared(rows).select("v", "size", "signature"))
-        enough = rows.groupBy("v").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter(F.col("n") >= in_common(F.col("size"), percent)).select("v")
+        rows = materialise(_shared(rows).select("v", "signature"))
+        enough = rows.groupBy("v").agg(F.count("*").alias("n")).join(sizes, "v").filter(F.col("n") >= in_common(F.col("size"), percent)).select("v")
         rows = rows.join(enough, "v", "left_semi")
     return materialise(rows)
 
@@ -331,8 +331,8 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90, block_shingl
     feats = materialise(features(docs, n, percent))
     classes = (feats.filter(F.col("v").isNotNull()).groupBy("v")
                .agg(F.min("doc_id").alias("least_id"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.first("n_shingles").alias("size"), F.first("signatures").alias("signatures")))
-    dealt = classes.select("v", "size", F.explode("signatures").alias("signature"))
-    clusters = components(_starred(dealt if percent >= BUCKETS_FROM else _worth_comparing(dealt, percent)))
+    dealt = classes.select("v", F.explode("signatures").alias("signature"))
+    clusters = components(_starred(dealt if percent >= BUCKETS_FROM else _worth_comparing(dealt, classes.select("v", "size"), percent)))
 
     ids = classes.select("v", "least_id", "size", (F.col("c1") != F.col("c2")).alias("clash"))
     members = materialise(clusters.join(ids, "v").select("v", F.col("root").alias("cluster"), "least_id", "size", "clash"))
