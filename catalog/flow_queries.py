@@ -231,7 +231,7 @@ FLAG_SQL = f"""WITH g AS (SELECT s.doc_id, s.lang AS task_id, s.answer, {SHAPE.r
     FROM {duck('summaries')} s JOIN ({ECHO_SQL}) e ON s.doc_id = e.doc_id
     WHERE trim(s.answer) <> '' AND s.doc_id NOT IN (SELECT doc_id FROM ({NGRAM_SQL}))),
   a AS (SELECT task_id, pass, answer, row_number() OVER (PARTITION BY task_id, pass ORDER BY md5(answer)) - 1 AS i
-    FROM (SELECT DISTINCT task_id, pass, {D.trim('answer')} AS answer FROM g) WHERE length(answer) <= 1400),
+    FROM (SELECT DISTINCT task_id, pass, {D.trim('answer')} AS answer FROM g) WHERE length(answer) >= 1),
   n AS (SELECT task_id, count(*) FILTER (pass) AS np, count(*) FILTER (NOT pass) AS nf FROM a GROUP BY task_id)
 SELECT p.task_id, p.answer AS chosen, f.answer AS rejected FROM n JOIN a p ON p.task_id = n.task_id AND p.pass
 JOIN a f ON f.task_id = n.task_id AND NOT f.pass
@@ -243,7 +243,7 @@ def flagship(x):
     answers = x.view("summaries").select(
         "doc_id", c("lang").alias("task_id"), F.lit("summarisation").alias("family"),
         "prompt", "answer", "passage")
-    return training.preference_table(answers, x.benchmark, ["summarisation"]).select("task_id", "chosen", "rejected")
+    return training.preference_table(answers, x.benchmark, ["summarisation"], rounds=1).select("task_id", "chosen", "rejected")
 
 
 @query(f"""SELECT doc_id, copy, 'system|user|assistant' AS roles FROM (

@@ -28,7 +28,7 @@ def distinct_answers(x):
 
 
 PAIRS_SQL = f"""WITH a AS (SELECT task_id, pass, answer, row_number() OVER (PARTITION BY task_id, pass ORDER BY md5(answer)) - 1 AS i
-    FROM ({ANSWERS_SQL}) WHERE length(answer) <= 1400),
+    FROM ({ANSWERS_SQL}) WHERE length(answer) >= 1),
   n AS (SELECT task_id, count(*) FILTER (pass) AS np, count(*) FILTER (NOT pass) AS nf FROM a GROUP BY task_id)
 SELECT p.task_id, CAST(d AS BIGINT) AS round, p.answer AS chosen, f.answer AS rejected
 FROM n JOIN a p ON p.task_id = n.task_id AND p.pass JOIN a f ON f.task_id = n.task_id AND NOT f.pass
@@ -37,9 +37,9 @@ WHERE d < least(np, nf) AND p.answer <> f.answer
   AND CASE WHEN np >= nf THEN (p.i + d) % nf = f.i ELSE (f.i + d) % np = p.i END"""
 
 
-@query(PAIRS_SQL.replace("{rounds}", "3"))
+@query(PAIRS_SQL.replace("{rounds}", "(SELECT max(least(np, nf)) FROM n)"))
 def preference_pairs(x):
-    return P.preference_pairs(x.view("archive"), rounds=3).select("task_id", "round", "chosen", "rejected")
+    return P.preference_pairs(x.view("archive")).select("task_id", "round", "chosen", "rejected")
 
 
 JUDGED_SQL = f"""SELECT d.*, g.label, g.authored, v, v = label AS is_right FROM (
@@ -52,7 +52,7 @@ JOIN {duck('draw_gold')} g ON d.prompt_id = g.prompt_id"""
   wrong AS (SELECT prompt_id, answer, authored, row_number() OVER (PARTITION BY prompt_id ORDER BY pos) AS r FROM (
     SELECT prompt_id, answer, min(pos) AS pos, min(authored) AS authored FROM j WHERE v IS NOT NULL AND NOT is_right GROUP BY prompt_id, answer))
 SELECT w.prompt_id, coalesce(best, authored) AS chosen, answer AS rejected, CASE WHEN best IS NULL THEN 'never_right' ELSE 'split' END AS bucket
-FROM wrong w LEFT JOIN best ON w.prompt_id = best.prompt_id WHERE r <= 2""")
+FROM wrong w LEFT JOIN best ON w.prompt_id = best.prompt_id""")
 def on_policy_pairs(x):
     return P.on_policy_pairs(x.view("draws"), x.view("draw_gold"))
 

@@ -13,12 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fields, head_tail_tokens
 
-MAX_TOKENS, HEAD_TOKENS = 510, 128
-
-
-def truncated(text: Column, limit: int = MAX_TOKENS, head: int = HEAD_TOKENS) -> Column:
-    """Head and tail words of a text, as the classifier reads it."""
-    return F.array_join(head_tail_tokens(fields(F.lower(text)), limit, head), " ")
+def truncated(text: Column, limit: int | None = None, head: int = 128) -> Column:
+    """The lower-cased words of a text; with ``limit``, only so many of its head and tail."""
+    words = fields(F.lower(text))
+    return F.array_join(words if limit is None else head_tail_tokens(words, limit, head), " ")
 
 
 class Labeller:

@@ -9,6 +9,7 @@ row per bucket) are added.  The result equals the plain window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,20 +20,22 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     """Add ``out``: the sum of ``value`` over the rows of the key up to this row.
 
     ``bucket`` must not decrease along ``order`` and should split a hot key into
-    pieces that fit a task.  ``inclusive=False`` leaves the row itself out.  Keys
-    must not be NULL.
+    pieces that fit a task.  ``inclusive=False`` leaves the row itself out.  NULL is
+    a key and a bucket like any other.
     """
     marked = df.withColumn("__bucket", bucket).withColumn("__value", value)
     totals = marked.groupBy(*keys, "__bucket").agg(F.sum("__value").alias("__total"))
     earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__bucket", F.coalesce(
+    joined = [*keys, "__bucket"]
+    offsets = totals.select(*(F.col(c).alias(f"__at{i}") for i, c in enumerate(joined)), F.coalesce(
         F.sum("__total").over(earlier), F.lit(0)).alias("__offset"))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__at{i}")) for i, c in enumerate(joined)))
     local = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0)
-    summed = marked.join(offsets, [*keys, "__bucket"]).withColumn("__local", F.sum("__value").over(local))
+    summed = marked.join(offsets, same).withColumn("__local", F.sum("__value").over(local))
     total = F.col("__offset") + F.col("__local")
     result = total if inclusive else total - F.col("__value")
-    return summed.withColumn(out, result).drop("__bucket", "__value", "__offset", "__local")
+    return summed.withColumn(out, result).drop("__bucket", "__value", "__offset", "__local", *(f"__at{i}" for i in range(len(joined))))
 
 
 def position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column,

@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed as V
 from ..functions.core import lookup, presence, trim_space
 from ..functions.text import sentiment_label
-from ..session import materialise
+from ..session import broadcast_if_small, materialise
 from .ordering import first_rows, md5_bucket, position
 
-MAX_ANSWER_CHARS = 1400
-MAX_REJECTED = 2
-
 
 def distinct_answers(archive: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Distinct answers per task and verdict, with the place each was first seen.
@@ -30,9 +27,9 @@ def distinct_answers(archive: DataFrame, max_chars: int | None = None) -> DataFr
              F.col("seen.file").alias("first_file"), F.col("seen.pos").alias("first_pos"))
 
 
-def preference_pairs(archive: DataFrame, max_chars: int = MAX_ANSWER_CHARS, rounds: int = 1,
+def preference_pairs(archive: DataFrame, max_chars: int | None = None, rounds: int | None = None,
                      first_round: int = 0) -> DataFrame:
-    """Chosen/rejected pairs of one task, ``rounds`` diagonals at a time.
+    """Chosen/rejected pairs of one task: all, or ``rounds`` diagonals at a time.
 
     All pairs of a task are its passing answers times its failing ones, which a
     hot task makes unpayable.  The product is cut into diagonals: in round ``d``
@@ -40,18 +37,21 @@ def preference_pairs(archive: DataFrame, max_chars: int = MAX_ANSWER_CHARS, roun
     of size ``m``.  One round uses every answer and is linear in the input; the
     rounds 0 … m-1 together give each pair exactly once, so further pages lose
     nothing.  The join key (task, position) is unique, hence never skewed.
+    ``max_chars`` leaves longer answers out; by default none are.  An answer under
+    two families counts for each.
     """
     text = trim_space(F.col("answer"))
     clean = archive.select("task_id", "pass", text.alias("answer"), "family").where(
-        F.length("answer").between(1, max_chars))
+        (F.length("answer") >= 1) & (F.lit(True) if max_chars is None else F.length("answer") <= max_chars))
     answers = materialise(clean.distinct().withColumn("digest", F.md5(F.encode("answer", "UTF-8"))))
-    placed = position(answers, ["task_id", "pass"], ["digest"], md5_bucket(F.col("digest")))
+    placed = position(answers, ["task_id", "pass"], ["digest", "family"], md5_bucket(F.col("digest")))
     counts = answers.groupBy("task_id").agg(
         F.count_if(F.col("pass")).alias("n_pass"), F.count_if(~F.col("pass")).alias("n_fail"))
-    sized = placed.join(counts.where((F.col("n_pass") > 0) & (F.col("n_fail") > 0)), "task_id")
+    # One row per task: broadcast while small, so that a hot task's answers stay where they are.
+    sized = placed.join(broadcast_if_small(counts.where((F.col("n_pass") > 0) & (F.col("n_fail") > 0))), "task_id")
     shorter = F.least("n_pass", "n_fail")
     longer_side = F.col("pass") == (F.col("n_pass") >= F.col("n_fail"))
-    last = F.least(F.lit(first_round + rounds), shorter) - 1
+    last = (shorter if rounds is None else F.least(F.lit(first_round + rounds), shorter)) - 1
     turns = F.when(last >= first_round, F.sequence(F.lit(first_round).cast("bigint"), last))
     leads = sized.where(longer_side).select(
         "task_id", "family", F.col("answer").alias("lead"), F.col("pass").alias("lead_passes"),
@@ -94,7 +94,7 @@ def draw_outcome_buckets(draws: DataFrame, gold: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("prompts"), F.sum("draws").alias("draws"))
 
 
-def on_policy_pairs(draws: DataFrame, gold: DataFrame, max_rejected: int = MAX_REJECTED) -> DataFrame:
+def on_policy_pairs(draws: DataFrame, gold: DataFrame, max_rejected: int | None = None) -> DataFrame:
     """Shortest right draw (else the authored answer) against the first wrong draws.
 
     ``draws`` holds (prompt_id, pos, answer); ``gold`` (prompt_id, label, authored).
@@ -104,7 +104,7 @@ def on_policy_pairs(draws: DataFrame, gold: DataFrame, max_rejected: int = MAX_R
         F.min_by("answer", F.struct(F.length("answer"), F.col("pos"))).alias("best"))
     wrong = judged.where(F.col("verdict").isNotNull() & ~F.col("right")).groupBy("prompt_id", "answer").agg(
         F.min("pos").alias("pos"), F.min("authored").alias("authored"))
-    rejected = first_rows(wrong, ["prompt_id"], ["pos"], max_rejected)
+    rejected = wrong if max_rejected is None else first_rows(wrong, ["prompt_id"], ["pos"], max_rejected)
     return rejected.join(chosen, "prompt_id", "left").select(
         "prompt_id", F.coalesce("best", "authored").alias("chosen"), F.col("answer").alias("rejected"),
         F.when(F.col("best").isNull(), "never_right").otherwise("split").alias("bucket"))

@@ -14,11 +14,12 @@ from ..operators.gates import gate
 
 
 def preference_table(answers: DataFrame, benchmark: DataFrame, families: list[str] | None = None,
-                     min_shared: int = 1, rounds: int = 1, text: str = "passage") -> DataFrame:
+                     min_shared: int = 1, rounds: int | None = None, text: str = "passage") -> DataFrame:
     """Gate answers, drop those about contaminated texts, and pair them per task.
 
     ``answers`` holds (doc_id, task_id, family, prompt, answer, passage).  Cheap
     narrow work (the gates) runs first; the passages never enter the pair joins.
+    All pairs of a task come back; ``rounds`` pages through a hot task's.
     """
     named = answers.withColumnRenamed(text, "text")
     clean = D.drop_contaminated(named, benchmark, min_shared=min_shared)

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir`` setting.
 
-    Only where it is unset, as in tests on one machine, a new temporary folder is
-    made and set for the session.
+    Where it is unset on one machine (master ``local``), as in tests, a new temporary
+    folder is made and set for the session; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="gatehouse-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -50,15 +53,21 @@ def spread(table: DataFrame, *keys: str) -> DataFrame:
 
 
 BROADCAST_ROWS = 2_000_000
-"""Most key rows a broadcast may hold: a few dozen megabytes of ids or digests."""
+"""Most key rows a broadcast may hold."""
 
+BROADCAST_BYTES = 64_000_000
+"""Most bytes of their values, as text, that a broadcast may hold."""
 
-def broadcast_if_small(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Computed key rows, marked for broadcast only when counted below the bound.
+
+def broadcast_if_small(keys: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Computed key rows, marked for broadcast only when counted below both bounds.
 
     Spark plans a join from estimates, which are far too high for the few keys an
     expensive filter lets through; it would shuffle the large side for nothing.
-    Beyond the bound the keys come back unmarked and Spark shuffles both sides.
+    Beyond a bound the keys come back unmarked and Spark shuffles both sides.  Rows
+    and bytes are counted by an aggregate, in parallel.
     """
     stored = materialise(keys)
-    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
+    width = reduce(Column.__add__, (F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(1)) for c in stored.columns))
+    found = stored.agg(F.count("*").alias("n"), F.sum(width.cast("bigint")).alias("bytes")).first()
+    return F.broadcast(stored) if found.n <= max_rows and (found.bytes or 0) <= max_bytes else stored

@@ -57,7 +57,8 @@ def test_all_rounds_give_each_pair_once(spark):
 
 def test_one_round_uses_every_answer_of_a_hot_task(spark):
     rows = [("hot", f"g{i}", True) for i in range(400)] + [("hot", f"b{i}", False) for i in range(90)]
-    got = values(pairs.preference_pairs(archive(spark, rows)), "chosen", "rejected")
+    got = values(pairs.preference_pairs(archive(spark, rows), rounds=1), "chosen", "rejected")
+    assert pairs.preference_pairs(archive(spark, rows)).count() == 400 * 90
     assert len(got) == 400
     assert len({g for g, _ in got}) == 400 and len({b for _, b in got}) == 90
 
