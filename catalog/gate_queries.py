@@ -159,7 +159,7 @@ GROUND_SQL = f"""WITH t AS (SELECT o_orderkey, prompt, answer, stdout, {D.numtok
   n AS (SELECT *, list_transform(said, lambda s: len(list_filter(outs, lambda o: abs(CAST(o AS DOUBLE) - CAST(s AS DOUBLE)) < 1e-9
       OR ({_places('o')} > 3 AND abs(round(CAST(o AS DOUBLE), CAST({_places('s')} AS INTEGER)) - CAST(s AS DOUBLE)) < 1e-9))) > 0) AS ok FROM t),
   z AS (SELECT *, list_filter(range(1, len(said) + 1), lambda i: NOT ok[i] AND length(ltrim(said[i], '0')) >= 2) AS stray FROM n)
-SELECT o_orderkey, CASE WHEN len(said) = 0 THEN CASE WHEN NOT contains(lower(answer), lower(substr(split_part(stdout, chr(10), 1), 1, 12)))
+SELECT o_orderkey, CASE WHEN len(said) = 0 THEN CASE WHEN NOT contains(lower(answer), lower(split_part(stdout, chr(10), 1)))
       THEN 'output_not_echoed' END
   WHEN len(stray) > 0 THEN 'number_not_derivable: ' || said[stray[1]]
   WHEN NOT list_bool_or(ok) AND len(outs) > 0 THEN 'output_ignored' END AS reason FROM z"""
@@ -206,8 +206,8 @@ def gate_magnitude(x):
     return x.view("maths").select("o_orderkey", G.gate_magnitude(c("prompt"), c("answer")).alias("reason"))
 
 
-LIST_ECHO = """CASE WHEN regexp_extract(split_part(stdout, chr(10), 1), '(\\[[^\\[\\]]{1,120}\\])', 1) <> ''
-  AND NOT contains(replace(answer, ' ', ''), replace(regexp_extract(split_part(stdout, chr(10), 1), '(\\[[^\\[\\]]{1,120}\\])', 1), ' ', ''))
+LIST_ECHO = """CASE WHEN regexp_extract(split_part(stdout, chr(10), 1), '(\\[[^\\[\\]]+\\])', 1) <> ''
+  AND NOT contains(replace(answer, ' ', ''), replace(regexp_extract(split_part(stdout, chr(10), 1), '(\\[[^\\[\\]]+\\])', 1), ' ', ''))
   THEN 'list_not_echoed' END"""
 
 
@@ -250,7 +250,7 @@ def gate_min_content(x):
     return x.view("turns").select("task_id", fam.alias("family"), G.gate_min_content(fam, c("answer")).alias("reason"))
 
 
-@query("""SELECT conv_id, turn, trim(t) = '' OR length(t) > 1600 OR contains(t, repeat(chr(96), 6)) AS degenerate
+@query("""SELECT conv_id, turn, trim(t) = '' OR contains(t, repeat(chr(96), 6)) AS degenerate
 FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN text || repeat(chr(96), 6) ELSE text END AS t FROM conversations)""")
 def flag_degenerate(x):
     t = F.when(c("turn") % 3 == 2, F.concat(c("text"), F.repeat(F.lit("`"), 6))).otherwise(c("text"))
@@ -342,9 +342,10 @@ def check_behaviour(x):
 
 
 # --- retries -----------------------------------------------------------------
-@query(f"""SELECT o_orderkey AS id, CASE WHEN use THEN 2 ELSE CAST(1 AS BIGINT) END AS attempt, use OR ok1 AS ok FROM (
-  SELECT o_orderkey, ok1, NOT ok1 AND o_orderkey % 3 <> 1 AND n2 >= n1 AS use FROM (
-    SELECT o_orderkey, reason IS NULL AS ok1, len({D.numtok('stdout')}) AS n1,
+@query(f"""SELECT o_orderkey AS id, CASE WHEN use THEN 2 ELSE CAST(1 AS BIGINT) END AS attempt, use OR ok1 AS ok,
+  CASE WHEN use THEN answer || ' again' ELSE answer END AS answer FROM (
+  SELECT o_orderkey, answer, ok1, NOT ok1 AND o_orderkey % 3 <> 1 AND n2 >= n1 AS use FROM (
+    SELECT o_orderkey, answer, reason IS NULL AS ok1, len({D.numtok('stdout')}) AS n1,
            len({D.numtok("CASE WHEN o_orderkey % 2 = 0 THEN stdout ELSE 'none' END")}) AS n2
     FROM {duck('maths')} m JOIN ({GROUND_SQL}) g USING (o_orderkey)))""")
 def accept_retry(x):
@@ -354,7 +355,7 @@ def accept_retry(x):
     retry = m.select(c("o_orderkey").alias("task_id"), F.lit(2).alias("attempt"), F.concat("answer", F.lit(" again")).alias("answer"),
                      F.when(c("o_orderkey") % 2 == 0, c("stdout")).otherwise("none").alias("stdout"),
                      (c("o_orderkey") % 3 != 1).alias("ok"))
-    return T.accept_retry(first.unionByName(retry)).select(c("task_id").alias("id"), "attempt", "ok")
+    return T.accept_retry(first.unionByName(retry)).select(c("task_id").alias("id"), "attempt", "ok", "answer")
 
 
 # --- rewards -----------------------------------------------------------------

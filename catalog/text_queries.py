@@ -184,7 +184,7 @@ def label_spans(x):
 
 @query(f"""SELECT prompt_id, pos, nullif(regexp_extract(answer, '\\b(Positive|Negative|Neutral)\\b', 1), '') AS strict,
        nullif(upper(substr(m, 1, 1)) || lower(substr(m, 2)), '') AS lenient
-FROM (SELECT *, regexp_extract(substr(answer, 1, 160), '(?i)\\b(Positive|Negative|Neutral)\\b', 1) AS m FROM {duck('draws')})""")
+FROM (SELECT *, regexp_extract(answer, '(?i)\\b(Positive|Negative|Neutral)\\b', 1) AS m FROM {duck('draws')})""")
 def sentiment_label(x):
     return x.view("draws").select("prompt_id", "pos", X.sentiment_label(c("answer")).alias("strict"),
                                   X.sentiment_label(c("answer"), lenient=True).alias("lenient"))

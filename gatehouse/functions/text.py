@@ -55,14 +55,23 @@ def shares_run(left: Column, right: Column, n: int) -> Column:
     Hashes decide for almost every row; only where they meet are the runs
     themselves built and compared.
     """
+    return any_shares_run(left, F.array(right), n)
+
+
+def any_shares_run(source: Column, units: Column, n: int) -> Column:
+    """Does any of the word arrays in ``units`` share a run of ``n`` words with ``source``?
+
+    The source is hashed once, whatever the number of units.
+    """
     def texts(w: Column) -> Column:
         return F.transform(ngrams(w, n), lambda g: F.array_join(g, " "))
 
     def hashes(w: Column) -> Column:
         return F.transform(ngrams(w, n), lambda g: F.xxhash64(g))
 
-    return bind(F.struct(left.alias("l"), right.alias("r")), lambda s: F.when(
-        F.arrays_overlap(hashes(s["l"]), hashes(s["r"])), F.arrays_overlap(texts(s["l"]), texts(s["r"])),
+    return bind(F.struct(source.alias("s"), units.alias("u")), lambda x: F.when(
+        F.arrays_overlap(hashes(x["s"]), F.flatten(F.transform(x["u"], hashes))),
+        F.arrays_overlap(texts(x["s"]), F.flatten(F.transform(x["u"], texts))),
     ).otherwise(F.lit(False)))
 
 
@@ -147,11 +156,15 @@ def contrast_flags(text: Column) -> Column:
 
 
 # --- labels ------------------------------------------------------------------
-def sentiment_label(text: Column, lenient: bool = False) -> Column:
-    """First sentiment label; lenient reads 160 characters in any case."""
+def sentiment_label(text: Column, lenient: bool = False, window: int | None = None) -> Column:
+    """First sentiment label of the whole text; lenient reads it in any case.
+
+    A caller may look at the first ``window`` characters only.
+    """
+    text = text if window is None else F.substr(text, F.lit(1), F.lit(window))
     core = V.WORD_START + "(Positive|Negative|Neutral)" + V.WORD_END
     if lenient:
-        return F.initcap(extract(F.substr(text, F.lit(1), F.lit(160)), "(?i)" + core))
+        return F.initcap(extract(text, "(?i)" + core))
     return extract(text, core)
 
 

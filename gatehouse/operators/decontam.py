@@ -29,9 +29,9 @@ def decontaminate_exact(rows: DataFrame, evaluation: DataFrame, id_col: str = "t
 def contaminated_exact(rows: DataFrame, evaluation: DataFrame, id_col: str = "task_id",
                        text_col: str = "prompt") -> DataFrame:
     """The rows :func:`decontaminate_exact` drops, with what matched."""
-    ids = evaluation.select(F.col(id_col).alias(id_col)).distinct().withColumn("__id", F.lit(True))
-    digests = evaluation.select(prompt_digest(F.col(text_col)).alias("__digest")).distinct().withColumn(
-        "__text", F.lit(True))
+    ids = broadcast_if_small(evaluation.select(id_col).where(F.col(id_col).isNotNull()).distinct().withColumn("__id", F.lit(True)))
+    digests = broadcast_if_small(evaluation.select(prompt_digest(F.col(text_col)).alias("__digest")).where(
+        F.col("__digest").isNotNull()).distinct().withColumn("__text", F.lit(True)))
     marked = rows.withColumn("__digest", prompt_digest(F.col(text_col)))
     joined = marked.join(ids, id_col, "left").join(digests, "__digest", "left")
     why = F.when(F.col("__id"), "id").when(F.col("__text"), "prompt")
@@ -75,16 +75,21 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = ECHO_
 
 
 def duplicate_prompts(rows: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Texts that occur more than once: digest, copies and first id."""
-    return rows.groupBy(prompt_digest(F.col(text_col)).alias("digest")).agg(
+    """Texts that occur more than once: digest, copies and first id.  Missing texts are no copies."""
+    return rows.where(F.col(text_col).isNotNull()).groupBy(prompt_digest(F.col(text_col)).alias("digest")).agg(
         F.count(F.lit(1)).alias("copies"), F.min(id_col).alias("first_id"),
     ).where(F.col("copies") > 1)
 
 
 def first_seen(rows: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """First row of each text, by id.  An aggregate, so copies combine before the shuffle."""
-    firsts = rows.groupBy(prompt_digest(F.col(text_col)).alias("__digest")).agg(F.min(id_col).alias(id_col))
-    return rows.join(firsts.select(id_col), id_col, "left_semi")
+    """First row of each text, by id.  An aggregate, so copies combine before the shuffle.
+
+    Rows without a text are nobody's copies and stay, those without an id too.
+    """
+    given = rows.where(F.col(text_col).isNotNull())
+    firsts = given.groupBy(prompt_digest(F.col(text_col)).alias("__digest")).agg(F.min(id_col).alias("__first"))
+    kept = given.join(firsts.select("__first"), F.col(id_col).eqNullSafe(F.col("__first")), "left_semi")
+    return kept.unionByName(rows.where(F.col(text_col).isNull()))
 
 
 def hash_split(rows: DataFrame, text_col: str = "text", modulus: int = 7) -> DataFrame:

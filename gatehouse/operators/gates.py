@@ -75,7 +75,7 @@ def gate_summary_echo(prompt: Column, answer: Column) -> Column:
     """No unit may share a run of eight words with the quoted source."""
     def judge(source: Column) -> Column:
         units = F.transform(summary_units(prompt, answer), X.norm_words)
-        return F.when(F.exists(units, lambda u: X.shares_run(source, u, V.ECHO_RUN)), F.lit("source_echo"))
+        return F.when(X.any_shares_run(source, units, V.ECHO_RUN), F.lit("source_echo"))
 
     return bind(X.norm_words(X.quoted_source(prompt)), judge)
 
@@ -232,19 +232,20 @@ def gate_code_fix_static(prompt: Column, answer: Column, parses: Column) -> Colu
 def gate_value_near_name(answer: Column, truth: Column) -> Column:
     """Every recorded value must follow its name within ninety characters.
 
-    ``truth`` is ARRAY<STRUCT<name, value>>; blanks and quote style are ignored.
+    ``truth`` is ARRAY<STRUCT<name, value>>; blanks and quote style are ignored.  The
+    text is scanned once per value.
     """
+    def literal(t: Column) -> Column:
+        return F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
     def squash(t: Column) -> Column:
         return F.replace(F.replace(t, F.lit(" "), F.lit("")), F.lit("'"), F.lit('"'))
 
     def flaw(said: Column, t: Column) -> Column:
         name, value = squash(trim_space(t["name"])), squash(trim_space(t["value"]))
-        starts = F.filter(
-            F.sequence(F.lit(1), F.greatest(F.length(said), F.lit(1))),
-            lambda i: F.substr(said, i, F.length(name)) == name)
-        near = F.exists(starts, lambda i: F.substr(said, i, F.length(value) + V.VALUE_WINDOW).contains(value))
+        near = F.rlike(said, F.concat(F.lit("(?s)(?="), literal(name), F.lit(f").{{0,{V.VALUE_WINDOW}}}?"), literal(value)))
         return first_reason(
-            (F.size(starts) == 0, _detail("name_absent", t["name"])),
+            (~said.contains(name), _detail("name_absent", t["name"])),
             (~near, _detail("value_not_near", t["name"])),
         )
 
@@ -253,8 +254,12 @@ def gate_value_near_name(answer: Column, truth: Column) -> Column:
 
 
 # --- tool results ------------------------------------------------------------
-def gate_grounded(answer: Column, stdout: Column) -> Column:
-    """Every answer number must come from the tool output or round one of its values."""
+def gate_grounded(answer: Column, stdout: Column, probe_chars: int | None = None) -> Column:
+    """Every answer number must come from the tool output or round one of its values.
+
+    An answer without numbers must repeat the first output line, of which a caller may
+    ask for the first ``probe_chars`` characters only.
+    """
     def read(tokens: Column) -> Column:
         return F.transform(tokens, lambda t: F.struct(
             t.alias("text"), t.try_cast("double").alias("v"), N.decimals(t).alias("d")))
@@ -270,7 +275,8 @@ def gate_grounded(answer: Column, stdout: Column) -> Column:
         stray = F.filter(checked, lambda c: ~c["ok"] & (
             F.length(F.regexp_replace(c["text"], "^0+", "")) >= 2))
         used = F.exists(checked, lambda c: c["ok"])
-        probe = F.substr(trim_space(F.regexp_extract(trim_space(stdout), "^([^\n]*)", 1)), F.lit(1), F.lit(12))
+        line = trim_space(F.regexp_extract(trim_space(stdout), "^([^\n]*)", 1))
+        probe = line if probe_chars is None else F.substr(line, F.lit(1), F.lit(probe_chars))
         return first_reason(
             ((F.size(s["said"]) == 0) & (probe != "") & ~F.lower(answer).contains(F.lower(probe)),
              "output_not_echoed"),
@@ -370,11 +376,15 @@ def gate_min_content(family: Column, answer: Column) -> Column:
     )
 
 
-def flag_degenerate(text: Column) -> Column:
-    """Empty, over-long, fence-spamming or quote-spamming output."""
+def flag_degenerate(text: Column, max_chars: int | None = None) -> Column:
+    """Empty, fence-spamming or quote-spamming output, and such of over ``max_chars`` characters.
+
+    By default no length is too long; ``fixed.DEGENERATE_LENGTH`` suits short answers.
+    """
     fence = F.regexp_count(text, F.lit("```python"))
+    over_long = F.lit(False) if max_chars is None else F.length(text) > max_chars
     return (
-        (trim_space(text) == "") | (F.length(text) > V.DEGENERATE_LENGTH)
+        (trim_space(text) == "") | over_long
         | contains_any(text, ["``````", '"\n"\n"']) | (fence > 2)
     )
 

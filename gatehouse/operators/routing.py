@@ -80,18 +80,33 @@ def merge_answers(tasks: DataFrame, sources: Sequence[tuple[str, DataFrame]], re
     """One answer per task: the last non-empty source wins, then a rejected answer,
     then the apology.  ``source`` names the origin, ``is_fallback`` the last two.
 
-    Every source holds at most one (task_id, answer) per task.
+    Of several non-empty answers a source holds for a task the last by ``pos`` counts,
+    where it has that column, and of equal ones the greatest text.
     """
     out, found = tasks, []
     for i, (name, df) in enumerate(sources):
-        out = out.join(df.select("task_id", presence(F.col("answer")).alias(f"__a{i}")), "task_id", "left")
+        out = out.join(last_answers(df, **{f"__a{i}": F.lit(True)}), "task_id", "left")
         found.insert(0, (name, F.col(f"__a{i}")))
     if rejects is not None:
-        out = out.join(rejects.select("task_id", presence(F.col("answer")).alias("__rej")), "task_id", "left")
+        out = out.join(last_answers(rejects, __rej=F.lit(True)), "task_id", "left")
         found.append(("rejected", F.col("__rej")))
+    return choose_answer(out, tasks.columns, found, fallback)
+
+
+def last_answers(answers: DataFrame, **kinds: Column) -> DataFrame:
+    """One row per task: for each name in ``kinds`` the last non-empty answer its condition holds for."""
+    text = presence(F.col("answer"))
+    order = F.struct(*(c for c in ("pos",) if c in answers.columns), text.alias("answer"))
+    return answers.groupBy("task_id").agg(*(
+        F.max(F.when(text.isNotNull() & cond, order))["answer"].alias(name) for name, cond in kinds.items()))
+
+
+def choose_answer(rows: DataFrame, keep: Sequence[str], found: Sequence[tuple[str, Column]],
+                  fallback: str = V.FALLBACK_ANSWER) -> DataFrame:
+    """The first answer of ``found`` that is there, with its origin, else the apology."""
     origin = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in found], F.lit("apology"))
-    return out.select(
-        *tasks.columns, F.coalesce(*[c for _, c in found], F.lit(fallback)).alias("answer"),
+    return rows.select(
+        *keep, F.coalesce(*[c for _, c in found], F.lit(fallback)).alias("answer"),
         origin.alias("source"), origin.isin("rejected", "apology").alias("is_fallback"))
 
 
@@ -129,21 +144,17 @@ def screen_and_requeue(tasks: DataFrame, attempts: DataFrame) -> DataFrame:
 
 def accept_retry(attempts: DataFrame) -> DataFrame:
     """First or second attempt per task: a retry counts only when it is accepted and
-    its output holds at least as many numbers as the first one's.
+    its output holds at least as many numbers as the first one's, or is all there is.
 
     ``attempts`` holds (task_id, attempt, answer, stdout, ok).
     """
-    def side(n: int, p: str) -> DataFrame:
-        size = F.size(N.number_tokens(F.coalesce("stdout", F.lit(""))))
-        return attempts.where(F.col("attempt") == n).select(
-            "task_id", F.col("answer").alias(f"{p}_answer"), F.col("ok").alias(f"{p}_ok"), size.alias(f"{p}_n"))
-
-    both = side(1, "first").join(side(2, "retry"), "task_id", "left")
-    use = F.coalesce(~F.col("first_ok") & F.col("retry_ok") & (F.col("retry_n") >= F.col("first_n")), F.lit(False))
-    return both.select(
-        "task_id", F.when(use, 2).otherwise(1).cast("bigint").alias("attempt"),
-        F.when(use, F.col("retry_answer")).otherwise(F.col("first_answer")).alias("answer"),
-        F.when(use, F.lit(True)).otherwise(F.col("first_ok")).alias("ok"))
+    size = F.size(N.number_tokens(F.coalesce("stdout", F.lit(""))))
+    sized = attempts.where(F.col("attempt").isin(1, 2)).select("task_id", "attempt", F.struct("ok", size.alias("n"), "answer").alias("a"))
+    both = sized.groupBy("task_id").agg(*(F.max(F.when(F.col("attempt") == n, F.col("a"))).alias(p) for n, p in ((1, "first"), (2, "retry"))))
+    first, retry = F.col("first"), F.col("retry")
+    use = F.coalesce(first.isNull() | (~first["ok"] & retry["ok"] & (retry["n"] >= first["n"])), F.lit(False))
+    return both.select("task_id", F.when(use, 2).otherwise(1).cast("bigint").alias("attempt"), *(
+        F.when(use, retry[c]).otherwise(first[c]).alias(c) for c in ("answer", "ok")))
 
 
 def sweep_order(tasks: DataFrame, rejects: DataFrame) -> DataFrame:

@@ -12,17 +12,17 @@ from ..operators.gates import gate
 
 def answer_run(tasks: DataFrame, predictions: DataFrame, candidates: DataFrame, remote: DataFrame,
                families: list[str] | None = None) -> DataFrame:
-    """Route tasks, gate local candidates, and merge them with remote answers.
+    """Route tasks, gate local candidates, and merge them with remote answers: one row per task.
 
     ``candidates`` holds (task_id, family, answer).  Candidates count only for
     tasks in a local lane.  Columns: task_id, lane, answer, source, is_fallback.
     """
     routed = R.route(tasks, predictions, remote=True)
     local = routed.where(F.col("lane") != "remote").select("task_id", "prompt").join(candidates, "task_id")
-    gated = gate(local, families=families)
-    accepted = gated.where("accepted").select("task_id", "answer")
-    rejected = gated.where(~F.col("accepted")).select("task_id", "answer")
-    return R.merge_answers(routed.select("task_id", "lane"), [("local", accepted), ("remote", remote)], rejected)
+    judged = R.last_answers(gate(local, families=families), __local=F.col("accepted"), __rejected=~F.col("accepted"))
+    found = (routed.select("task_id", "lane").join(judged, "task_id", "left")
+             .join(R.last_answers(remote, __remote=F.lit(True)), "task_id", "left"))
+    return R.choose_answer(found, ["task_id", "lane"], [(n, F.col(f"__{n}")) for n in ("remote", "local", "rejected")])
 
 
 def evaluate(golden: DataFrame, results: DataFrame) -> DataFrame:
