@@ -315,7 +315,9 @@ def _worth_comparing(dealt: DataFrame, sizes: DataFrame, percent: int) -> DataFr
     """Shared rows of sets that share enough of their prefix, with whatever sets, to be linked at all."""
     rows = dealt
     for _ in range(2):  # the second time among those the first has left
-        rows = materialise(_shared(rows).select("v", "signature"))
+        # Only counts, not names, go with the signatures; they are dealt out once more so that a hot one's rows can be split.
+        shared = rows.groupBy("signature").agg(F.count("*").alias("n")).filter("n > 1").select("signature").repartition(F.xxhash64("signature"))
+        rows = materialise(rows.join(shared, "signature").select("v", "signature"))
         enough = rows.groupBy("v").agg(F.count("*").alias("n")).join(sizes, "v").filter(F.col("n") >= in_common(F.col("size"), percent)).select("v")
         rows = rows.join(enough, "v", "left_semi")
     return materialise(rows)
