@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gatehouse.functions.fixed import FAMILY_SYSTEM_PROMPTS
 from gatehouse.operators import labels as L
 from gatehouse.operators import scoring as Q
 from gatehouse.operators.decontam import hash_split
@@ -20,7 +21,7 @@ from gatehouse.streaming import streams as S
 from . import duck as D
 from . import views
 from .base import duck, query
-from .gate_queries import ECHO_SQL, SENTIMENT_SQL, SHAPE
+from .gate_queries import ECHO_SQL, RUNS, SENTIMENT_SQL, SHAPE
 from .report_queries import CATEGORY, GOLDEN_PASS, _report_sql
 from .table_queries import EVAL_SQL, HELD, KEYWORD, NGRAM_SQL, ROUTE_TASKS, _evaluation
 from .text_queries import joined
@@ -227,23 +228,21 @@ def fit_labeller(x):
 
 
 # --- plans -------------------------------------------------------------------
-FLAG_SQL = f"""WITH g AS (SELECT s.doc_id, s.lang AS task_id, s.answer, {SHAPE.replace('answer', 's.answer')} IS NULL AND e.reason IS NULL AS pass
-    FROM {duck('summaries')} s JOIN ({ECHO_SQL}) e ON s.doc_id = e.doc_id
-    WHERE trim(s.answer) <> '' AND s.doc_id NOT IN (SELECT doc_id FROM ({NGRAM_SQL}))),
-  a AS (SELECT task_id, pass, answer, row_number() OVER (PARTITION BY task_id, pass ORDER BY md5(answer)) - 1 AS i
-    FROM (SELECT DISTINCT task_id, pass, {D.trim('answer')} AS answer FROM g) WHERE length(answer) >= 1),
-  n AS (SELECT task_id, count(*) FILTER (pass) AS np, count(*) FILTER (NOT pass) AS nf FROM a GROUP BY task_id)
-SELECT p.task_id, p.answer AS chosen, f.answer AS rejected FROM n JOIN a p ON p.task_id = n.task_id AND p.pass
-JOIN a f ON f.task_id = n.task_id AND NOT f.pass
-WHERE p.answer <> f.answer AND CASE WHEN np >= nf THEN p.i % nf = f.i ELSE f.i % np = p.i END"""
+FLAG_SQL = f"""WITH d AS (SELECT * FROM {duck('drafts')} s WHERE doc_id NOT IN (SELECT doc_id FROM ({NGRAM_SQL}))
+    AND NOT EXISTS (SELECT 1 FROM ({EVAL_SQL}) e WHERE e.doc_id = s.doc_id) AND NOT EXISTS (SELECT 1 FROM ({EVAL_SQL}) e WHERE e.text = s.passage)),
+  r AS (SELECT task_id, prompt, passage, unnest([a0, a1, a2, a3]) AS answer FROM d),
+  a AS (SELECT DISTINCT task_id, prompt, {D.trim('answer')} AS answer, {SHAPE} IS NULL AND NOT list_has_any({D.grams('passage')}, {RUNS}) AS pass FROM r WHERE trim(answer) <> '')
+SELECT p.task_id, p.prompt, '{FAMILY_SYSTEM_PROMPTS['summarisation'].replace("'", "''")}' AS system, p.answer AS chosen, f.answer AS rejected
+FROM a p JOIN a f ON f.task_id = p.task_id WHERE p.pass AND NOT f.pass AND p.answer <> f.answer"""
 
 
 @query(FLAG_SQL)
 def flagship(x):
-    answers = x.view("summaries").select(
-        "doc_id", c("lang").alias("task_id"), F.lit("summarisation").alias("family"),
-        "prompt", "answer", "passage")
-    return training.preference_table(answers, x.benchmark, ["summarisation"], rounds=1).select("task_id", "chosen", "rejected")
+    drafts = x.view("drafts")
+    answers = drafts.select("doc_id", "task_id", F.lit("summarisation").alias("family"), "prompt", F.explode(F.array("a0", "a1", "a2", "a3")).alias("answer"))
+    forbidden = drafts.join(_evaluation(x).select("doc_id"), "doc_id").select("task_id", "prompt")
+    table = training.preference_table(answers, x.documents.select("doc_id", "text"), x.benchmark, ["summarisation"], forbidden)
+    return table.select("task_id", "prompt", "system", "chosen", "rejected")
 
 
 @query(f"""SELECT doc_id, copy, 'system|user|assistant' AS roles FROM (

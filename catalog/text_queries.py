@@ -254,7 +254,7 @@ def backtick_idents(x):
 
 
 @query(f"""SELECT p_partkey, CASE WHEN regexp_matches(prompt, 'def \\w+\\([^)]*=\\s*(?:\\[\\]|\\{{\\}})')
-  THEN 'shared mutable default argument: one default object persists across calls' END AS hint FROM {duck('fix_tasks')}""")
+  THEN 'shared mutable default argument - the same default object persists across calls' END AS hint FROM {duck('fix_tasks')}""")
 def mechanism_hint(x):
     return x.view("fix_tasks").select("p_partkey", C.mechanism_hint(c("prompt")).alias("hint"))
 

@@ -89,6 +89,24 @@ def summaries(d) -> str:
     FROM {d.once(d.table('documents'), "regexp_extract_all(lower(text), '[a-z0-9]+', 0)", 'ws')} w"""
 
 
+def drafts(d) -> str:
+    """Summary prompts that quote a whole document, each with four candidate answers."""
+    def bullet(a: int, b: int, flip: bool = False) -> str:
+        words = d.span("ws", a, b)
+        return f"'- ' || {d.join(d.backwards(words) if flip else words, ' ')}"
+
+    nl = " || chr(10) || "
+    return f"""
+    SELECT doc_id, 'su' || CAST(doc_id AS STRING) AS task_id,
+           'Summarize the following passage in exactly three bullet points, each at most 12 words: '
+             || chr(39) || text || chr(39) AS prompt, text AS passage,
+           {nl.join([bullet(1, 10), bullet(11, 20), bullet(21, 30)])} AS a0,
+           {nl.join([bullet(1, 5), bullet(11, 15)])} AS a1,
+           {nl.join([bullet(1, 5), bullet(11, 15), bullet(21, 25)])} AS a2,
+           {nl.join([bullet(1, 14, True), bullet(16, 20), bullet(21, 25)])} AS a3
+    FROM {d.once(d.table('documents'), "regexp_extract_all(lower(text), '[a-z0-9]+', 0)", 'ws')} w"""
+
+
 def reviews(d) -> str:
     """Sentiment prompts over whole documents, some resolving into praise."""
     return f"""

@@ -69,9 +69,14 @@ def decontaminate_ngram(documents: DataFrame, benchmark: DataFrame, n: int = ECH
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = ECHO_RUN, doc_id: str = "doc_id",
                       item_id: str = "item_id", text: str = "text", min_shared: int = 1) -> DataFrame:
     """Documents that share fewer than ``min_shared`` runs with every benchmark item."""
-    hit = broadcast_if_small(decontaminate_ngram(documents, benchmark, n, doc_id, item_id, text).where(
+    return documents.join(contaminated_ids(documents, benchmark, n, doc_id, item_id, text, min_shared), doc_id, "left_anti")
+
+
+def contaminated_ids(documents: DataFrame, benchmark: DataFrame, n: int = ECHO_RUN, doc_id: str = "doc_id",
+                     item_id: str = "item_id", text: str = "text", min_shared: int = 1) -> DataFrame:
+    """Ids of documents that share ``min_shared`` runs or more with a benchmark item; broadcast when few."""
+    return broadcast_if_small(decontaminate_ngram(documents, benchmark, n, doc_id, item_id, text).where(
         F.col("shared_grams") >= min_shared).select(doc_id).distinct())
-    return documents.join(hit, doc_id, "left_anti")
 
 
 def duplicate_prompts(rows: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -44,14 +44,30 @@ def position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return running_sum(df, keys, order, bucket, F.lit(1).cast("bigint"), out)
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
-    """The first ``k`` rows of each key.
+GROUP_LIMIT = 1000
+"""Largest ``k`` for which Spark limits each key before the shuffle, by default."""
+
+SPLITS = 64
+"""Pieces a key is cut into where Spark does not limit it before the shuffle."""
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int,
+               rank: str | None = None) -> DataFrame:
+    """The first ``k`` rows of each key; ``rank`` names a column for their position from 1.
 
     Spark limits each key before the shuffle (WindowGroupLimit), so a hot key
-    sends at most ``k`` rows per input partition.
+    sends at most ``k`` rows per input partition.  It does so up to ``GROUP_LIMIT``
+    only; for a larger ``k`` each key is cut into pieces by a hash of the row, the
+    first ``k`` of each piece are taken, and the first ``k`` of those are the result.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k).drop("__rn")
+    if k > GROUP_LIMIT:
+        hashed = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+        pieces = df.withColumn("__piece", F.pmod(F.xxhash64(*hashed), F.lit(SPLITS)))
+        local = Window.partitionBy(*keys, "__piece").orderBy(*order)
+        df = pieces.withColumn("__rn", F.row_number().over(local)).where(F.col("__rn") <= k).drop("__rn", "__piece")
+    name = rank or "__rn"
+    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
+    return ranked if rank else ranked.drop(name)
 
 
 def md5_bucket(digest: Column, digits: int = 3) -> Column:

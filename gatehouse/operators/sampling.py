@@ -33,12 +33,8 @@ def quota_sample(rows: DataFrame, stratum: str, quotas: Mapping[str, int], seed:
     """Keyed sample with a fixed number of rows per stratum; other strata yield none."""
     quota = lookup(F.col(stratum), quotas)
     known = rows.where(quota.isNotNull()).withColumn("__order", H.seeded_md5(seed, F.col(key)))
-    from pyspark.sql import Window
-    rn = F.row_number().over(Window.partitionBy(stratum).orderBy("__order", key))
-    largest = max(quotas.values())
-    # The constant bound lets Spark limit each stratum before the shuffle.
-    return known.withColumn("__rn", rn).where(F.col("__rn") <= largest).where(
-        F.col("__rn") <= quota).drop("__rn", "__order")
+    top = first_rows(known, [stratum], ["__order", key], max(quotas.values()), rank="__rank")
+    return top.where(F.col("__rank") <= quota).drop("__rank", "__order")
 
 
 def weight_rows(rows: DataFrame, weight: Column) -> DataFrame:

@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import presence
+from ..session import broadcast_if_small
 from .ordering import position
 
+NAME_HEAD = 4
+"""Characters of a name that cut rows of equal rank and measure."""
+
 COUNTERS = ["calls", "total_tokens", "tool_runs", "errors"]
 
 
@@ -40,11 +44,15 @@ def run_totals(runs: DataFrame, keys: Sequence[str], counters: Sequence[str] = C
 
 
 def leaderboard_rank(entries: DataFrame, board: str = "board", mode: str = "auto",
-                     score_step: float = 100.0, rank_step: int = 1000) -> DataFrame:
+                     edges: int = 64) -> DataFrame:
     """Add ``computed_rank`` per board: given rank first, then the mode's measure.
 
     Entries with a given rank lead; others follow by tokens (fewest first) or by
-    score or accuracy (highest first), missing values last, ties by name.
+    score or accuracy (highest first), missing values last, ties by name.  A board is
+    cut at about ``edges`` approximate percentiles of its ranks and measures, and a value
+    common enough to be one at the head of the name, so that no board is ranked in one
+    task, whatever its range.
+    The percentiles are computed when the operator is called.
     """
     tokens_first = F.lower(F.coalesce("rank_by", F.lit(""))).contains("tokens")
     measure = {
@@ -57,12 +65,19 @@ def leaderboard_rank(entries: DataFrame, board: str = "board", mode: str = "auto
     keyed = entries.withColumn("__given", F.col("rank").isNull()).withColumn(
         "__measure", F.when(F.col("rank").isNull(), measure)).withColumn("__none", F.col("__measure").isNull())
     order = ["__given", "rank", "__none", "__measure", "name"]
-    # The bucket follows the order: given ranks by the thousand, then measure steps.
+    keyed = keyed.withColumn("__value", F.coalesce(F.col("rank").cast("double"), "__measure"))
+    shares = [i / edges for i in range(1, edges)]
+    cuts = broadcast_if_small(keyed.groupBy(F.col(board).alias("__board"), F.col("__given").alias("__free")).agg(
+        F.percentile_approx("__value", shares, 10 * edges).alias("__cuts")))
+    keyed = keyed.join(cuts, F.col(board).eqNullSafe(F.col("__board")) & (F.col("__given") == F.col("__free")))
+    below = F.size(F.filter("__cuts", lambda cut: cut < F.col("__value")))
+    common = F.array_contains("__cuts", F.col("__value"))
+    # The bucket follows the order: values between two cuts, or one common value cut further by name.
     bucket = F.struct(
-        F.col("__given").alias("a"), F.coalesce(F.floor(F.col("rank") / rank_step), F.lit(0)).alias("b"),
-        F.col("__none").alias("c"), F.coalesce(F.floor(F.col("__measure") / score_step), F.lit(0)).alias("d"))
+        F.col("__given").alias("a"), F.col("__none").alias("b"), F.coalesce(below, F.lit(0)).alias("c"),
+        F.coalesce(common, F.lit(False)).alias("d"), F.when(common, F.substring("name", 1, NAME_HEAD)).alias("e"))
     ranked = position(keyed, [board], order, bucket, "computed_rank")
-    return ranked.drop("__given", "__measure", "__none")
+    return ranked.drop("__given", "__measure", "__none", "__board", "__free", "__cuts", "__value")
 
 
 def leaders(entries: DataFrame, k: int, *order: Column) -> DataFrame:

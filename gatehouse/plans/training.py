@@ -13,20 +13,26 @@ from ..operators import sampling as S
 from ..operators.gates import gate
 
 
-def preference_table(answers: DataFrame, benchmark: DataFrame, families: list[str] | None = None,
-                     min_shared: int = 1, rounds: int | None = None, text: str = "passage") -> DataFrame:
-    """Gate answers, drop those about contaminated texts, and pair them per task.
-
-    ``answers`` holds (doc_id, task_id, family, prompt, answer, passage).  Cheap
-    narrow work (the gates) runs first; the passages never enter the pair joins.
-    All pairs of a task come back; ``rounds`` pages through a hot task's.
+def preference_table(answers: DataFrame, passages: DataFrame, benchmark: DataFrame, families: list[str] | None = None,
+                     forbidden: DataFrame | None = None, min_shared: int = 1, rounds: int | None = None) -> DataFrame:
+    """Gate answers, drop those about contaminated passages, and pair them per task.
+
+    ``answers`` holds (doc_id, task_id, family, prompt, answer), ``passages`` (doc_id, text).
+    Passages are read once, however many answers they have, and never enter the pair
+    joins.  ``forbidden`` holds evaluation tasks (task_id, prompt): tasks with such an id
+    or prompt are left out, and the pairs are checked for both.  All pairs of a task
+    come back, with its prompt (the first, if it has several); ``rounds`` pages through
+    a hot task's.
     """
-    named = answers.withColumnRenamed(text, "text")
-    clean = D.drop_contaminated(named, benchmark, min_shared=min_shared)
+    clean = answers.join(D.contaminated_ids(passages, benchmark, min_shared=min_shared), "doc_id", "left_anti")
+    if forbidden is not None:
+        clean = D.decontaminate_exact(clean, forbidden)
     gated = gate(clean, families=families)
     archive = gated.select("task_id", "family", "answer", F.col("accepted").alias("pass"),
                            F.lit("gated").alias("file"), F.col("doc_id").alias("pos"))
-    return P.with_system_prompt(P.preference_pairs(archive, rounds=rounds))
+    prompts = clean.groupBy("task_id").agg(F.min("prompt").alias("prompt"))
+    pairs = P.with_system_prompt(P.preference_pairs(archive, rounds=rounds)).join(prompts, "task_id")
+    return pairs if forbidden is None else D.require_clean(pairs, forbidden)
 
 
 def chat_table(caches: Mapping[str, DataFrame | None], evaluation: DataFrame, weight: Column | None = None,

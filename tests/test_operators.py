@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatehouse.functions import budgets, code, hashing, numbers, replies, text
-from gatehouse.operators import decontam, ordering, pairs, retrieval, rewards, routing, scoring
+from gatehouse.operators import decontam, ordering, pairs, retrieval, rewards, routing, scoring, telemetry
+from gatehouse.plans import training
 from gatehouse.sources import readers
 
 c = F.col
@@ -218,3 +219,41 @@ def test_leaderboard_inherits_context(spark):
     payload = '{"tracks":[{"name":"T1","rank_by":"tokens","entries":[{"submission":{"name":"S"},"tokens":5,"rank":"2"}]}]}'
     row = readers.flatten_leaderboard(spark.createDataFrame([(payload,)], "payload STRING")).first()
     assert (row["name"], row.track_name, row.rank_by, row.tokens, row["rank"], row.id) == ("S", "T1", "tokens", 5, 2, "tracks.entries-0")
+
+
+def test_first_rows_beyond_the_group_limit_with_a_hot_key(spark):
+    df = spark.range(9000).select(F.when(c("id") < 8000, "hot").otherwise("cold").alias("k"), F.pmod(c("id") * 7919, F.lit(9001)).alias("v"))
+    got = defaultdict(list)
+    for k, v, at in values(ordering.first_rows(df, ["k"], [c("v").desc()], 5000, rank="at"), "k", "v", "at"):
+        got[k].append((at, v))
+    want = defaultdict(list)
+    for k, v in values(df, "k", "v"):
+        want[k].append(v)
+    for k, vs in want.items():
+        assert sorted(got[k]) == list(enumerate(sorted(vs, reverse=True)[:5000], 1))
+
+
+def test_leaderboard_ranks_equal_scores_by_name_and_a_null_board(spark):
+    rng = random.Random(3)
+    rows = [(None if i % 5 == 0 else "b", f"n{i:04d}", 0.5 if i % 2 else rng.random(), 1 + i % 4 if i % 50 == 0 else None) for i in range(1500)]
+    rows += [("b", "none", None, None)]
+    df = spark.createDataFrame(rows, "board STRING, name STRING, score DOUBLE, rank INT").selectExpr(
+        "*", "CAST(NULL AS BIGINT) AS tokens", "CAST(NULL AS DOUBLE) AS accuracy", "CAST(NULL AS STRING) AS rank_by")
+    got = {(b, n): r for b, n, r in values(telemetry.leaderboard_rank(df, mode="score"), "board", "name", "computed_rank")}
+    for board in (None, "b"):
+        own = sorted((r for r in rows if r[0] == board), key=lambda r: (r[3] is None, r[3] or 0, r[2] is None, -(r[2] or 0) if r[3] is None else 0, r[1]))
+        assert [got[(board, r[1])] for r in own] == list(range(1, len(own) + 1))
+
+
+def test_preference_table_has_prompts_and_leaves_forbidden_tasks_out(spark):
+    passage = "'one two three four five six seven eight nine ten'"
+    prompts = {t: f"Summarize {t} in exactly three bullet points, each at most 12 words: {passage}" for t in ("a", "b", "c")}
+    good, bad = "- x one\n- y two\n- z three", ["- x one", "- x one\n- y two"]
+    rows = [(i, t, "summarisation", prompts[t], a) for i, t in enumerate("abc") for a in [good, *bad]]
+    answers = spark.createDataFrame(rows, "doc_id BIGINT, task_id STRING, family STRING, prompt STRING, answer STRING")
+    passages = spark.createDataFrame([(i, passage) for i in range(3)], "doc_id BIGINT, text STRING")
+    bench = spark.createDataFrame([(1, "nothing alike")], "item_id BIGINT, text STRING")
+    forbidden = spark.createDataFrame([("b", "another"), ("other", prompts["c"])], "task_id STRING, prompt STRING")
+    table = training.preference_table(answers, passages, bench, ["summarisation"], forbidden)
+    assert sorted(values(table, "task_id", "prompt", "chosen", "rejected")) == sorted(("a", prompts["a"], good, b) for b in bad)
+    assert table.where("system IS NULL").isEmpty()
