@@ -55,8 +55,12 @@ def entities(text: Column) -> Column:
 
 
 def may_hold(text: Column) -> Column:
-    """A quick test that every text with an entity passes: a digit, an at sign or a title."""
-    return text.rlike("[0-9@]") | reduce(Column.__or__, (text.contains(t) for t in (*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES)))
+    """A quick test that every text with an entity passes: a digit, an at sign, a title, or what a secret of letters has."""
+    return text.rlike("[0-9@]") | _titled(text) | text.rlike("(?i:token|secret|password|api.?key)|[A-Fa-f]{32}")
+
+
+def _titled(text: Column) -> Column:
+    return reduce(Column.__or__, (text.contains(t) for t in (*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES)))
 
 
 def _kind(entity: Column) -> Column:

@@ -225,6 +225,14 @@ def test_surrogates(spark, no_docs):
     assert surrogates.surrogate_report(no_docs, "k").count() == 0
 
 
+def test_secrets_of_letters_only(spark):
+    secrets = ["correct-horse-battery", "abcdefghijklmnop", "QwertyQwertyQwerty", "deadbeefcafedeadbeefcafedeadbeefca"]
+    texts = [f"the password: {secrets[0]} is kept", f"api_key = '{secrets[1]}' here", f"TOKEN={secrets[2]}", f"a run {secrets[3]} of hex", "plain words, nothing else"]
+    got = {r.doc_id: r for r in surrogates.surrogate_report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "k").collect()}
+    assert [got[i].n_entities for i in range(5)] == [1, 1, 1, 1, 0] and got[4].text == texts[4]
+    assert all(s not in r.text for s in secrets for r in got.values())
+
+
 def test_surrogates_stay_distinct(spark):
     found = spark.createDataFrame([("NAME", f"smith{chr(97 + i // 26)}{chr(97 + i % 26)}", None) for i in range(600)], "kind string, value string, gender string")
     table = surrogates.surrogate_table(found, "k").collect()
