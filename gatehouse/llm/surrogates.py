@@ -6,6 +6,10 @@ same script and case, octets for octets, given names of the same gender and scri
 So an entity reads the same wherever it stands.  Surrogates that two entities share,
 or that are an entity of the corpus, are drawn again until none is left.
 
+A name is found after a title.  Where a document has titled names, those full names
+and their family names are replaced in that document without a title too.  The family
+name of a full name gets the surrogate that it has alone.
+
 Everything is SQL expressions, joins and aggregates on the DataFrame.
 """
 
@@ -45,13 +49,29 @@ PATTERNS = {
 """Entity kinds in order of preference, as Java patterns."""
 
 ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+TITLED = rf"\b({_TITLE})\.? (\p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?)"
+"""A title and the name after it."""
 
 MAX_ROUNDS = 20
 
 
+def pattern(text: Column) -> Column:
+    """What to look for in a text: ``ANY``, and without a title the full and family names that stand after titles there."""
+    full = F.regexp_extract_all(text, F.lit(TITLED), F.lit(2))
+    names = F.array_distinct(F.concat(full, F.transform(full, _family)))
+    # In descending order a longer name comes before its own beginning.
+    mentions = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?=\p{Lu})(?:"), F.array_join(F.sort_array(names, asc=False), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    return F.when(_titled(text) & (F.size(full) > 0), mentions).otherwise(ANY)
+
+
 def entities(text: Column) -> Column:
     """All entities of a text in order; of a name, its title stays outside."""
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    return F.regexp_extract_all(text, pattern(text), F.lit(0))
+
+
+def _family(name: Column) -> Column:
+    """The family name: what stands after the space, or all of the name."""
+    return F.substring_index(name, " ", -1)
 
 
 def may_hold(text: Column) -> Column:
@@ -106,7 +126,7 @@ def _letter(c: Column, b: Column, hex_only: Column) -> Column:
 
 
 def draw(entities: DataFrame, key: str) -> DataFrame:
-    """Adds ``surrogate`` to rows of kind, value, gender, attempt."""
+    """Adds ``surrogate`` to rows of kind, value, gender, attempt, and family, the surrogate of a full name's family name."""
     seed = F.concat_ws("|", F.lit(key), "kind", "value", F.col("attempt").cast("string"))
     stream = F.concat(*(F.sha2(F.concat(seed, F.lit(f"|{n}")), 512) for n in range(4)))
     value, n = F.col("value"), F.length("value")
@@ -118,9 +138,15 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(i) % 254 + 1).cast("string")), ".")
 
     def name(script: str) -> Column:
-        family = F.array_join(F.transform(F.sequence(F.lit(0), F.col("attempt") + 2), lambda i: _pick(SYLLABLES[script], _byte(i + 8))), "")
-        given = F.when(F.col("gender") == "f", _pick(GIVEN["f", script], _byte(F.lit(0)))).otherwise(_pick(GIVEN["m", script], _byte(F.lit(0))))
-        return F.when(value.rlike("[ -]"), F.concat(given, F.regexp_extract("value", "[ -]", 0), family)).otherwise(family)
+        def syllables(at: int) -> Column:
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.col("attempt") + 2), lambda i: _pick(SYLLABLES[script], _byte(i + at))), "")
+
+        def given(gender: str) -> Column:  # one given name, and one more for each further attempt
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.col("attempt")), lambda i: _pick(GIVEN[gender, script], _byte(i))), "")
+
+        first = F.when(F.col("gender") == "f", given("f")).otherwise(given("m"))
+        return (F.when(value.contains(" "), F.concat(first, F.lit(" "), F.col("family")))
+                .when(value.contains("-"), F.concat(syllables(8), F.lit("-"), syllables(108))).otherwise(syllables(8)))
 
     names = F.when(value.rlike(r"\p{IsCyrillic}"), name("Cyrillic")).otherwise(name("Latin"))
     return entities.withColumn("stream", stream).withColumn(
@@ -131,12 +157,28 @@ def surrogate_table(found: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate) of distinct entities; no two of a kind share a surrogate and none is an entity of the corpus.
 
     Of entities that draw the same, the smallest keeps it.  ``found`` has kind, value, gender.
+    Full names come last, as they take over the surrogates of their family names.
     """
     known = materialise(found.groupBy("kind", "value").agg(F.max("gender").alias("gender")))
-    good, todo = None, known.withColumn("attempt", F.lit(0))
+    is_full = (F.col("kind") == "NAME") & F.col("value").contains(" ")
+    full = known.filter(is_full)
+    family = full.select("kind", _family(F.col("value")).alias("value")).distinct()
+    alone = known.filter(~is_full).select("kind", "value").unionByName(family).distinct()
+    unlike = known.select("kind", "value").unionByName(family).distinct()
+    good = _distinct(alone.withColumn("gender", F.lit(None).cast("string")).withColumn("family", F.lit(None).cast("string")), unlike, None, key)
+    if not full.isEmpty():
+        families = good.filter("kind = 'NAME'").select(F.col("value").alias("last"), F.col("surrogate").alias("family"))
+        named = full.join(families, _family(F.col("value")) == F.col("last")).drop("last")
+        good = _distinct(named, unlike, good, key)
+    return good.join(known.select("kind", "value"), ["kind", "value"], "left_semi")
+
+
+def _distinct(todo: DataFrame, unlike: DataFrame, good: DataFrame | None, key: str) -> DataFrame:
+    """``good`` and a surrogate of its own for every row of ``todo``, none of them a value of ``unlike``."""
+    todo = todo.withColumn("attempt", F.lit(0))
     for _ in range(MAX_ROUNDS):
         drawn = materialise(draw(todo, key))
-        taken = [known.select("kind", F.col("value").alias("surrogate"))] + ([] if good is None else [good.select("kind", "surrogate")])
+        taken = [unlike.select("kind", F.col("value").alias("surrogate"))] + ([] if good is None else [good.select("kind", "surrogate")])
         free = drawn.join(reduce(DataFrame.union, taken), ["kind", "surrogate"], "left_anti")
         winners = free.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).select("kind", "value", "surrogate")
         good = materialise(winners if good is None else good.unionByName(winners))
@@ -167,25 +209,28 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with surrogates in ``text`` and ``__entities``, how many were replaced.
 
     Null and empty texts and texts without entities stay as they are.  Repeated rows
-    are rewritten alike.  A name is looked for after a title only; its gender is the
-    title's.  One entity with titles of both genders counts as male.
+    are rewritten alike.  A name is found after a title; the full names found in a text
+    and their family names, in the same case, are replaced there without a title too.  A
+    given name alone, or a name that no title introduces in its text, stays.  The gender of
+    a full name is its title's.  One entity with titles of both genders counts as male.
     """
-    marked = docs.withColumn("__found", F.when(may_hold(F.col("text")), entities(F.col("text"))))
+    marked = docs.withColumn("__pattern", F.when(may_hold(F.col("text")), pattern(F.col("text"))))
+    marked = marked.withColumn("__found", F.regexp_extract_all(F.col("text"), F.col("__pattern"), F.lit(0)))
     has = F.coalesce(F.size("__found") > 0, F.lit(False))
     digest = F.xxhash64("text")
-    before = F.regexp_extract_all(F.col("text"), F.lit(rf"\b({_TITLE})\.? (?=\p{{Lu}}\p{{Ll}})"), F.lit(1))
-    keyed = marked.filter(has).select(F.col("doc_id").alias("__id"), digest.alias("__digest"), "__found", before.alias("__titles")).distinct()
-    mention = keyed.select("__id", "__digest", F.posexplode("__found").alias("__at", "__entity"), "__titles")
+    titles, names = (F.when(_titled(F.col("text")), F.regexp_extract_all(F.col("text"), F.lit(TITLED), F.lit(n))) for n in (1, 2))
+    titled = F.arrays_zip(titles.alias("title"), names.alias("name"))
+    keyed = marked.filter(has).select(F.col("doc_id").alias("__id"), digest.alias("__digest"), "__found", titled.alias("__titled")).distinct()
+    mention = keyed.select("__id", "__digest", F.posexplode("__found").alias("__at", "__entity"))
     kind = _kind(F.col("__entity"))
-    # The n-th name of a text stands after its n-th title.
     mention = mention.withColumn("kind", kind).withColumn("value", _canonical(F.col("kind"), F.col("__entity")))
-    genders = keyed.select(F.posexplode(F.filter("__found", lambda e: _kind(e) == "NAME")).alias("n", "name"), "__titles").select(
-        F.lit("NAME").alias("kind"), F.lower("name").alias("value"), _gender(F.get("__titles", F.col("n"))).alias("gender"))
+    genders = keyed.select(F.explode("__titled").alias("t")).select(
+        F.lit("NAME").alias("kind"), F.lower("t.name").alias("value"), _gender(F.col("t.title")).alias("gender"))
     found = mention.select("kind", "value", F.lit(None).cast("string").alias("gender")).unionByName(genders)
     table = surrogate_table(found, key)
     new = (mention.join(table, ["kind", "value"]).select("__id", "__digest", "__at", _rendered(F.col("kind"), F.col("__entity"), F.col("surrogate")).alias("new"))
            .groupBy("__id", "__digest").agg(F.transform(F.sort_array(F.collect_list(F.struct("__at", "new"))), lambda s: s.new).alias("__new")))
-    between = F.split("text", ANY, -1)
+    between = F.split("text", F.col("__pattern"), -1)
     text = F.array_join(F.flatten(F.zip_with(between, F.concat("__new", F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
     changed = (marked.filter(has).join(new, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")))
                .withColumn("text", text).withColumn("__entities", F.size("__new").cast("bigint")))

@@ -225,6 +225,26 @@ def test_surrogates(spark, no_docs):
     assert surrogates.surrogate_report(no_docs, "k").count() == 0
 
 
+def test_names_keep_their_references(spark):
+    texts = ["Mrs Clara Smith came. Clara Smith left, and Smith's bag stayed; Smithson too.", "Mr Jones met Mr Bruno Jones. Bruno Jones and Jones spoke.",
+             "Clara Smith without a title", "Dr Jean Smith-Jones, then Smith-Jones and Jean Smith-Jones"]
+    got = {r.doc_id: r for r in surrogates.surrogate_report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "k").collect()}
+    words = [got[i].text.replace(".", "").replace(",", "").split() for i in range(4)]
+    full, family = words[0][1:3], words[0][2]
+    assert full[0].lower() in surrogates.GIVEN["f", "Latin"] and family != "Smith"
+    assert words[0][4:6] == full and f"{family}'s bag stayed; Smithson too" in got[0].text and got[0].n_entities == 3
+    jones = words[1][1]
+    assert words[1][5] == jones and words[1][6:8] == words[1][4:6] and words[1][9] == jones and "Jones" not in got[1].text and got[1].n_entities == 4
+    assert got[2].text == texts[2] and got[2].n_entities == 0
+    assert words[3][1:3] == words[3][-2:] and "Smith" not in got[3].text and got[3].n_entities == 3
+
+
+def test_many_given_names_of_one_family(spark):
+    found = spark.createDataFrame([("NAME", f"given{chr(97 + i // 26)}{chr(97 + i % 26)} smith", "f") for i in range(300)], "kind string, value string, gender string")
+    table = surrogates.surrogate_table(found, "k").collect()
+    assert len(table) == 300 and len({r.surrogate for r in table}) == 300 and len({r.surrogate.split()[1] for r in table}) == 1
+
+
 def test_secrets_of_letters_only(spark):
     secrets = ["correct-horse-battery", "abcdefghijklmnop", "QwertyQwertyQwerty", "deadbeefcafedeadbeefcafedeadbeefca"]
     texts = [f"the password: {secrets[0]} is kept", f"api_key = '{secrets[1]}' here", f"TOKEN={secrets[2]}", f"a run {secrets[3]} of hex", "plain words, nothing else"]
