@@ -330,6 +330,48 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90, block_shingl
     nothing links with.  Repeated rows and copies are one class and share a component.
     A null doc_id counts as the smallest of no component with another id.
     """
+    feats, roots = _linked(docs, n, percent, block_shingles)
+    own = feats.filter(F.col("v").isNotNull()).groupBy("v").agg(F.min("doc_id").alias("least_id"))
+    least = roots.join(own, "v").groupBy("root").agg(F.min("least_id").alias("component_id"))
+    found = own.join(roots, "v", "left").join(least, "root", "left").select("v", F.coalesce("component_id", "least_id").alias("component_id"))
+    return (feats.select("doc_id", "n_shingles", "v").join(found, "v", "left")
+            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def keep_one_of_each(docs: DataFrame, n: int, percent: int, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``docs`` with one row of each component, and all rows without words.
+
+    The row kept is one of the smallest doc_id, which null follows, and of its smallest
+    digest; of rows equal in both the smallest one.  Ids alone decide where all rows of
+    an id go or all stay; only rows of other ids, null among them, are digested again.
+    """
+    feats, roots = _linked(docs, n, percent, block_shingles)
+    own = feats.filter(F.col("v").isNotNull()).groupBy("v").agg(F.min("doc_id").alias("least_id"))
+    reached = own.join(roots, "v", "left").select("v", "least_id", F.coalesce("root", "v").alias("root"))
+    first = F.min(F.struct(F.col("least_id").isNull(), F.col("least_id").alias("id"), F.col("v").alias("v"))).alias("w")
+    chosen = materialise(reached.groupBy("root").agg(first).select(F.col("w.v").alias("__v"), F.col("w.id").alias("__least"), F.lit(True).alias("__chosen")))
+    rows = feats.select("doc_id", F.col("v").alias("__v")).join(chosen, "__v", "left")
+    won = F.coalesce(F.col("__chosen") & F.col("doc_id").eqNullSafe(F.col("__least")), F.lit(False))
+    ids = rows.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n"), F.count_if(won).alias("won"), F.count_if(F.col("__v").isNull()).alias("blank"))
+    ids = materialise(ids.filter("won > 1 OR won + blank < n").select("__id", (F.col("won") + F.col("blank") > 0).alias("mixed")))
+    same_id = docs["doc_id"].eqNullSafe(ids["__id"])
+    whole = docs.join(ids, same_id, "left_anti")
+    if ids.filter("mixed").isEmpty():
+        return whole
+
+    @F.arrow_udf("bigint")
+    def digest(texts: pa.Array) -> pa.Array:
+        sets = (shingle_set(t or "", n) for t in texts.to_pylist())
+        return pa.array([_digest(s)[0] if len(s) else None for s in sets], pa.int64())
+
+    some = materialise(docs.join(ids.filter("mixed"), same_id, "left_semi").withColumn("__v", digest("text")))
+    hit = (some["__v"] == chosen["__v"]) & some["doc_id"].eqNullSafe(chosen["__least"])
+    one = some.join(chosen, hit, "left_semi").groupBy("__v").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return whole.unionByName(one).unionByName(some.filter("__v IS NULL").select(*docs.columns))
+
+
+def _linked(docs: DataFrame, n: int, percent: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """Features of all rows, and (v, root) of the classes that could link at all."""
     feats = materialise(features(docs, n, percent))
     classes = (feats.filter(F.col("v").isNotNull()).groupBy("v")
                .agg(F.min("doc_id").alias("least_id"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.first("n_shingles").alias("size"), F.first("signatures").alias("signatures")))
@@ -350,10 +392,4 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90, block_shingl
     roots = closed.select("v", F.col("joined").alias("root"))
     if not placed.filter("open").isEmpty():
         roots = roots.unionByName(_open_clusters(docs, placed.filter("open"), n, percent, block_shingles))
-    roots = materialise(roots.distinct())
-
-    least = roots.join(members.select("v", "least_id"), "v").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    own = feats.filter(F.col("v").isNotNull()).groupBy("v").agg(F.min("doc_id").alias("least_id"))
-    found = own.join(roots, "v", "left").join(least, "root", "left").select("v", F.coalesce("component_id", "least_id").alias("component_id"))
-    return (feats.select("doc_id", "n_shingles", "v").join(found, "v", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    return feats, materialise(roots.distinct())

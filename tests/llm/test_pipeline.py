@@ -25,6 +25,25 @@ def test_stages(spark):
         assert stage.columns == docs.columns and stage.dtypes == docs.dtypes
 
 
+def test_one_row_of_each_group_stays(spark):
+    texts = {name: " ".join(f"{name}{i}" for i in range(40)) for name in "abcde"}
+    near = {name: t + " more" for name, t in texts.items()}
+    rows = [(1, texts["a"]), (5, near["a"]), (5, texts["b"]),  # an id with a near copy of a smaller id and a text of its own
+            (2, texts["c"]), (2, texts["c"]), (2, near["c"]), (7, texts["c"]),  # repeated rows of the smallest id
+            (None, texts["d"]), (None, near["d"]), (None, near["d"]), (None, near["a"]),  # near copies without an id
+            (9, texts["e"]), (9, ""), (9, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("v", F.lit("v"))
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, SF)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    blank = [(9, ""), (9, None), (None, "")]
+    worded = [r for r in got if r not in blank]
+    assert sorted(map(str, [r for r in got if r in blank])) == sorted(map(str, blank))
+    assert len(worded) == 5 and {(1, texts["a"]), (5, texts["b"]), (9, texts["e"])} <= set(worded)
+    assert len([r for r in worded if r[0] == 2 and r[1] in (texts["c"], near["c"])]) == 1
+    assert len([r for r in worded if r[0] is None and r[1] in (texts["d"], near["d"])]) == 1
+
+
 def test_run_packs_every_document(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     used = {}
