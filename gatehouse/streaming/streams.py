@@ -68,6 +68,19 @@ def sessions(events: DataFrame, gap: str = "2 hours", delay: str = "1 hour",
 stream_sessions = sessions
 
 
+def close_out(written: DataFrame, rows: DataFrame, windows: Callable[[DataFrame], DataFrame], end: str = "window_end",
+              delay: str = "1 hour", time: str = "ts") -> DataFrame:
+    """What an append stream has written, and the windows or sessions still open when its input ended.
+
+    ``rows`` are the stream's rows as a batch and ``windows`` is its operator with the same
+    ``delay``.  Append mode writes what ends at the last watermark or before, so the tail is
+    what ends later.  Late rows that the stream dropped count in the tail where it spans them.
+    """
+    mark = rows.agg((F.date_trunc("millisecond", F.max(time)) - F.expr(f"INTERVAL '{delay}'")).alias("__mark"))
+    tail = windows(rows).crossJoin(F.broadcast(mark)).where(F.col(end) > F.col("__mark")).drop("__mark")
+    return written.unionByName(tail)
+
+
 def stream_dedup(events: DataFrame, keys: Sequence[str], delay: str = "1 hour") -> DataFrame:
     """Drop records uploaded again within the watermark."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))

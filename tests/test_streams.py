@@ -38,6 +38,22 @@ def test_usage_equals_batch_for_closed_windows(spark, tmp_path):
     assert got.count() > 0
 
 
+def test_close_out_leaves_no_row_behind(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = calls(300)
+    for k in range(3):
+        write(spark, src, rows[k * 100:(k + 1) * 100], k)
+    batch = spark.createDataFrame(rows, SCHEMA)
+    cases = {"usage": (S.usage_windows, "window_end", "calls", 300), "sliding": (lambda r: S.usage_windows(r, slide="15 minutes"), "window_end", "calls", 1200),
+             "sessions": (lambda r: S.sessions(r, keys=["model"]), "session_end", "events", 300)}
+    for name, (windows, end, count, total) in cases.items():
+        stream = windows(S.stream_events(spark, src + "/*", SCHEMA, files_per_trigger=1))
+        written = run(spark, stream, tmp_path, name)
+        whole = S.close_out(written, batch, windows, end)
+        assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, windows(batch).collect()))
+        assert whole.agg(F.sum(count)).first()[0] == total and written.count() < whole.count()
+
+
 def test_latest_over_batches(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = calls(90)
