@@ -224,7 +224,7 @@ def linked_groups(sets: list[np.ndarray], percent: int, start: np.ndarray | None
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
-    """Consecutive rows with equal first columns, as (key, columns)."""
+    """Consecutive rows with equal first columns, as (key, columns); of rows equal in the next column too, the first."""
     key, columns = None, []
     for batch in batches:
         rows = [c.to_pylist() for c in batch.columns]
@@ -233,6 +233,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
                 if key is not None:
                     yield key, columns
                 key, columns = row[:keys], [[] for _ in row[keys:]]
+            elif columns[0][-1] == row[keys]:
+                continue
             for c, value in zip(columns, row[keys:]):
                 c.append(value)
     if key is not None:
@@ -257,10 +259,18 @@ def _joined_blocks(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, placed: DataFrame, n: int) -> DataFrame:
-    """The shingles of placed classes, made again from the texts of their smallest ids."""
+    """The shingles of placed classes, made again from the texts of their smallest ids; a class has one row a task at most."""
+    seen = set()  # of the task, which unpickles its own
+
     def run(batch):
-        sets = [shingle_set(t or "", n) for t in batch.column(4).to_pylist()]
-        same = pa.array([len(s) > 0 and _digest(s)[0] == v for s, v in zip(sets, batch.column(0).to_pylist())], pa.bool_())  # an id may have other texts too
+        sets, same = [], []
+        for t, v in zip(batch.column(4).to_pylist(), batch.column(0).to_pylist()):
+            s = shingle_set("" if v in seen else t or "", n)
+            same.append(len(s) > 0 and _digest(s)[0] == v)  # an id may have other texts too
+            sets.append(s if same[-1] else s[:0])
+            if same[-1]:
+                seen.add(v)
+        same = pa.array(same, pa.bool_())
         columns = [batch.column(i).filter(same) for i in range(4)] + [pa.array([s.tobytes() for s in sets], pa.binary()).filter(same)]
         return dict(zip(("v", "cluster", "band", "block", "shingles"), columns))
 

@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -310,6 +311,20 @@ def test_signatures_miss_no_link():
     assert links > 300
 
 
+def test_repeated_rows_are_one_class_in_a_block(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(words))] * 400 + [(1, " ".join([*words, "more"]))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    feats = signature_tree.features(frame, 3, 90).groupBy("v").agg(F.min("doc_id").alias("least_id"))
+    zero = F.lit(0).cast("bigint")
+    placed = feats.select("v", zero.alias("cluster"), zero.alias("band"), zero.alias("block"), "least_id")
+    assert signature_tree._sets(frame.coalesce(1), placed, 3).count() == 2
+    assert signature_tree._sets(frame.repartition(4), placed, 3).count() <= 2 * 8
+    batch = pa.RecordBatch.from_pylist([{"block": 1, "v": v, "shingles": b"x"} for v in (1, 1, 1, 2, 2)])
+    assert list(signature_tree._grouped(iter([batch, batch.slice(3)]), 1)) == [((1,), [[1, 2], [b"x", b"x"]])]
+    assert {r.component_id for r in signature_tree.link_components(frame, 3, 90).collect()} == {0}
+
+
 def test_ngram_join_edges(docs, no_docs):
     got = {r.doc_id: r for r in signature_tree.link_components(docs).collect()}
     assert got[0].n_shingles == 0 and got[0].component_id == 0 and got[3].n_shingles == 1 and got[None].component_id is None
