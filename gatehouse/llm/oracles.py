@@ -75,3 +75,68 @@ reach(a, b) AS (SELECT rep, rep FROM classes UNION SELECT r.a, e.b FROM reach r
 roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(r.root, s.doc_id) AS component_id
 FROM sets s LEFT JOIN classes c ON s.s = c.s LEFT JOIN roots r ON r.a = c.rep"""
+
+
+def merkle_proofs(table: str = "documents") -> str:
+    """Trees level by level; crc32 is folded bit by bit."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+    def field(x: str) -> str:
+        return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x} END"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    # An id's decimal digits are ASCII, so its characters are its bytes.
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    crc = (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), "
+           f"lambda c, b: {bits}), 4294967295)")
+    return f"""
+WITH RECURSIVE leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf('text')} AS leaf, {leaf(f"translate(text, '{upper}', '{lower}')")} AS changed,
+           coalesce({crc} % 3 = 0, false) AS tampered FROM {table}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS size FROM leaves),
+low(tree, level, i, h, size) AS (SELECT tree, 0, pos, leaf, size FROM placed
+  UNION ALL SELECT tree, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (size + 7) // 8 FROM low WHERE size > 1 GROUP BY tree, level, i // 8, size),
+tops AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS langs FROM low WHERE size = 1),
+high(level, i, h, size) AS (SELECT 0, place, subroot, langs FROM tops
+  UNION ALL SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (size + 7) // 8 FROM high WHERE size > 1 GROUP BY level, i // 8, size),
+nodes AS (SELECT tree, level, i, h FROM low WHERE size > 1 UNION ALL
+          SELECT t.tree, 100 + h.level, h.i, h.h FROM high h, (SELECT DISTINCT tree FROM tops) t WHERE h.size > 1),
+steps AS (SELECT p.tree, p.pos, n.level, p.pos // (8 ** n.level)::BIGINT AS i FROM placed p JOIN (SELECT DISTINCT tree, level FROM nodes WHERE level < 100) n ON p.tree = n.tree
+  UNION ALL SELECT p.tree, p.pos, n.level, t.place // (8 ** (n.level - 100))::BIGINT FROM placed p JOIN tops t ON p.tree = t.tree
+            JOIN (SELECT DISTINCT tree, level FROM nodes WHERE level >= 100) n ON p.tree = n.tree),
+sides AS (SELECT s.tree, s.pos, s.level, coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i < s.i), '') AS l, coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i > s.i), '') AS r
+          FROM steps s JOIN nodes n ON n.tree = s.tree AND n.level = s.level AND n.i // 8 = s.i // 8 GROUP BY s.tree, s.pos, s.level),
+ways AS (SELECT tree, pos, list({{'l': l, 'r': r}} ORDER BY level) AS w, string_agg(l || r, '' ORDER BY level) AS way FROM sides GROUP BY tree, pos),
+folded AS (SELECT p.*, w.way, list_reduce(list_prepend({{'l': CASE WHEN p.tampered THEN p.changed ELSE p.leaf END, 'r': ''}}, coalesce(w.w, [])),
+           lambda a, s: {{'l': sha256(s.l || a.l || s.r), 'r': ''}}).l AS folded_root FROM placed p LEFT JOIN ways w ON p.tree = w.tree AND p.pos = w.pos)
+SELECT f.doc_id, f.leaf, t.subroot, r.h AS root, sha256(coalesce(f.way, '')) AS proof_sha256, f.folded_root, f.folded_root = r.h AS verified
+FROM folded f JOIN tops t ON f.tree = t.tree, (SELECT h FROM high WHERE size = 1) r"""
+
+
+def source_audit(table: str = "documents", min_docs: int = 10, top: int = 10) -> str:
+    def share(n: str, total: str, kept: str) -> str:
+        return f"1 + (1000000000::HUGEINT * ({n} + 2)) // ({total} + 2 * {kept})"
+
+    def f(p: str, q: str) -> str:
+        return f"(({p} - {q}) * ({p} - {q})) // ({p} + {q})"
+
+    words = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+             r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+')")
+    return f"""
+WITH base AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM {table}),
+used AS (SELECT row, lang, source, w, count(*) AS n FROM (SELECT row, lang, source, unnest({words}) AS w FROM base) GROUP BY row, lang, source, w),
+vocab AS (SELECT lang, w, sum(n) AS n FROM used GROUP BY lang, w HAVING count(*) >= {min_docs}),
+langs AS (SELECT lang, count(*) AS kept, sum(n) AS total FROM vocab GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM base),
+cell AS (SELECT lang, source, w, sum(n) AS n FROM used SEMI JOIN vocab USING (lang, w) GROUP BY lang, source, w),
+total AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM grp g LEFT JOIN cell c USING (lang, source) GROUP BY g.lang, g.source),
+p AS (SELECT t.lang, t.source, v.w, coalesce(c.n, 0) AS n, {share('coalesce(c.n, 0)', 't.total', 'l.kept')} AS p, {share('v.n', 'l.total', 'l.kept')} AS q
+      FROM total t JOIN vocab v USING (lang) JOIN langs l USING (lang) LEFT JOIN cell c ON c.lang = t.lang AND c.source = t.source AND c.w = v.w),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum({f('x.p', 'y.p')}) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.w = y.w AND x.source <> y.source
+                     GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, w AS item, {f('p', 'q')} AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM ranked
+QUALIFY part = 'pair' OR rank <= {top}"""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import ann_tree, chunk_bpe, line_suffix, oracles, packing, prefix_counts, quality, signature_tree, surrogates, toxicity, url_vocab
+from . import (
+    ann_tree, chunk_bpe, line_suffix, merkle, mixture_lang, oracles, packing, prefix_counts, quality, signature_tree, source_audit, surrogates, toxicity, url_vocab,
+)
 from .common import read
 
 JSON_50K = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,10 +56,26 @@ def op10_ngram_join(spark, sf_dir):
     return signature_tree.link_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_nearest_neighbours, op4_line_dedup, op5_quality_rules, op6_surrogates, op7_url_filters, op8_byte_bpe, op9_toxicity, op10_ngram_join)}
+def op11_language_mixture(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return mixture_lang.predict(docs, mixture_lang.train(docs))
+
+
+def op12_merkle_proofs(spark, sf_dir):
+    return merkle.verify(read(spark, sf_dir, "documents"))
+
+
+def op13_source_audit(spark, sf_dir):
+    return source_audit.audit(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_nearest_neighbours, op4_line_dedup, op5_quality_rules, op6_surrogates, op7_url_filters, op8_byte_bpe, op9_toxicity, op10_ngram_join,
+                                   op11_language_mixture, op12_merkle_proofs, op13_source_audit)}
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": oracles.line_dedup(),
     "op7_url_filters": oracles.url_filters(),
     "op10_ngram_join": oracles.ngram_join(),
+    "op12_merkle_proofs": oracles.merkle_proofs(),
+    "op13_source_audit": oracles.source_audit(),
 }
