@@ -9,6 +9,7 @@ from gatehouse.operators import pairs as P
 from gatehouse.operators import retrieval as R
 from gatehouse.operators import routing as T
 from gatehouse.operators import sampling as S
+from gatehouse.operators import search as Z
 
 from . import duck as D
 from .base import duck, query
@@ -143,8 +144,8 @@ def _tokens(x: str) -> str:
 
 def _score_sql(points: str, floor: int) -> str:
     return f"""SELECT item_id, doc_id, {points} AS score FROM (
-  SELECT item_id, token, count(*) AS n FROM (SELECT item_id, unnest({_tokens('text')}) AS token FROM benchmark) GROUP BY ALL) q
-JOIN documents d ON contains(lower(d.text), token) GROUP BY item_id, doc_id HAVING {points} >= {floor}"""
+  SELECT item_id, token, count(*) AS n FROM (SELECT item_id, unnest({_tokens("text || ' src' || item_id % 20")}) AS token FROM benchmark) GROUP BY ALL) q
+JOIN documents d ON contains(lower(d.source || chr(10) || d.text), token) GROUP BY item_id, doc_id HAVING {points} >= {floor}"""
 
 
 SCORES = _score_sql("count(*)", 1)
@@ -152,8 +153,13 @@ BOOSTED = f"""SELECT item_id, doc_id, CAST(sum(score) AS BIGINT) AS score FROM (
   SELECT item_id, doc_id, 5 FROM benchmark CROSS JOIN (SELECT unnest([3, 7]) AS doc_id)) GROUP BY item_id, doc_id"""
 
 
+def _asked(x):
+    """Benchmark items as queries, each of which also names a source."""
+    return x.benchmark.select("item_id", F.concat("text", F.lit(" src"), c("item_id") % 20).alias("query"))
+
+
 def _scored(x, **options):
-    return R.relevance_join(x.benchmark.withColumnRenamed("text", "query"), x.documents, "item_id", "doc_id", **options)
+    return R.relevance_join(_asked(x), x.documents, "item_id", "doc_id", name="source", **options)
 
 
 @query(BOOSTED)
@@ -173,8 +179,14 @@ CONTEXT_SQL = f"""SELECT item_id, doc_id, rank, prior, least(n_chars, 6000 - pri
 
 
 def _context(x):
-    sized = _scored(x).join(x.documents.select("doc_id", "n_chars"), "doc_id")
-    return R.select_context(sized, 6000, "item_id")
+    top = Z.top_documents(_asked(x), x.documents, 6, "item_id", name="source", size="n_chars")
+    return R.select_context(top, 6000, "item_id")
+
+
+@query(f"""SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r
+  FROM ({BOOSTED})) WHERE r <= 10""")
+def top_documents(x):
+    return Z.top_documents(_asked(x), x.documents, 10, "item_id", name="source", preferred=[3, 7])
 
 
 @query(f"SELECT item_id, doc_id, rank, prior, taken FROM ({CONTEXT_SQL})")
@@ -189,8 +201,7 @@ def select_context(x):
   two AS (SELECT s.item_id, min(s.r) AS r FROM s JOIN a ON s.item_id = a.item_id AND s.r > a.r AND s.n_chars <= 900 - a.n_chars GROUP BY s.item_id)
 SELECT item_id, doc_id, n_chars, CAST(1 AS INTEGER) AS turn FROM a UNION ALL SELECT item_id, doc_id, n_chars, 2 FROM s JOIN two USING (item_id, r)""")
 def select_skip_over(x):
-    sized = _scored(x).join(x.documents.select("doc_id", "n_chars"), "doc_id")
-    return R.select_skip_over(sized, 900, "item_id").select("item_id", "doc_id", "n_chars", "turn")
+    return Z.skip_over(_asked(x), x.documents, 900, query_id="item_id", name="source").select("item_id", "doc_id", "n_chars", "turn")
 
 
 @query(f"""SELECT item_id, doc_id, CASE WHEN length(text) <= room THEN text ELSE substr(text, 1, CAST(floor(room * 2 / 3) AS BIGINT)) || chr(10)

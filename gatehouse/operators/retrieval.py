@@ -8,51 +8,74 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
-from ..functions.core import extract_all
 from ..functions.text import trim_middle
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialise
 from .ordering import first_rows
 
-TOKEN = "[a-z0-9-]{%d,}" % V.MIN_TOKEN
+BETWEEN = "[^a-z0-9-]+"
 
 
 def query_tokens(text: Column) -> Column:
     """Tokens of a query, of four characters or more, in order."""
-    return extract_all(F.lower(text), TOKEN)
+    return F.filter(F.split(F.lower(text), BETWEEN), lambda t: F.length(t) >= V.MIN_TOKEN)
 
 
-def token_runs(documents: DataFrame, tokens: DataFrame, doc_id: str, text: str) -> DataFrame:
+def grams(word: Column) -> Column:
+    """Distinct pieces of ``MIN_TOKEN`` characters of a word that is at least as long."""
+    return F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(word) - (V.MIN_TOKEN - 1)),
+        lambda i: F.substr(word, i, F.lit(V.MIN_TOKEN))))
+
+
+def rarest_grams(tokens: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(token, gram): the piece of each token that the fewest ``pieces`` rows hold.
+
+    A token with a piece that no word has occurs nowhere and is left out.
+    """
+    wanted = tokens.select("token").distinct().select("token", F.explode(grams(F.col("token"))).alias("gram"))
+    held = pieces.join(broadcast_if_small(wanted.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return wanted.join(held, "gram", "left").groupBy("token").agg(
+        F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("lacking"),
+    ).where(F.col("lacking") == 0).drop("lacking")
+
+
+def token_runs(documents: DataFrame, tokens: DataFrame, doc_id: str, text: str, name: str | None = None) -> DataFrame:
     """(doc_id, token) for every token that occurs inside a document, as substring.
 
-    A token holds only ``[a-z0-9-]``, so it can only lie within one run of such
-    characters.  The distinct runs of the corpus are matched to the tokens through
-    the token's first four characters (an equi-join), checked for containment, and
-    joined back to the documents that hold the run: no nested loop over texts.
+    With ``name`` that column is searched as well, as a line of its own.  A token holds
+    only ``[a-z0-9-]``, so it can only lie within one run of such characters.  The
+    distinct runs of the corpus are matched to the tokens through the token's rarest
+    four-character piece (an equi-join), checked for containment, and joined back to the
+    documents that hold the run: no nested loop over texts, and no hot piece such as the
+    start of every address as a key.
     """
-    runs = documents.select(doc_id, F.explode(F.array_distinct(query_tokens(F.col(text)))).alias("run"))
-    pieces = F.transform(
-        F.sequence(F.lit(1), F.length("run") - (V.MIN_TOKEN - 1)),
-        lambda i: F.substr(F.col("run"), i, F.lit(V.MIN_TOKEN)))
-    vocabulary = runs.select("run").distinct().select("run", F.explode(F.array_distinct(pieces)).alias("lead"))
-    wanted = tokens.select("token").distinct().withColumn("lead", F.substr("token", F.lit(1), F.lit(V.MIN_TOKEN)))
-    matched = broadcast_if_small(
-        vocabulary.join(wanted, "lead").where(F.contains("run", "token")).select("run", "token").distinct())
+    searched = F.col(text) if name is None else F.concat_ws("\n", F.col(name).cast("string"), F.col(text))
+    runs = documents.select(doc_id, F.explode(F.array_distinct(query_tokens(searched))).alias("run"))
+    vocabulary = materialise(runs.select("run").distinct())
+    pieces = vocabulary.select("run", F.explode(grams(F.col("run"))).alias("gram"))
+    keys = broadcast_if_small(rarest_grams(tokens, pieces))
+    matched = broadcast_if_small(pieces.join(keys, "gram").where(F.contains("run", "token")).select("run", "token"))
     return runs.join(matched, "run").select(doc_id, "token").distinct()
 
 
+def token_counts(queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
+    """(query_id, token, repeats) of every query."""
+    listed = queries.select(query_id, F.explode(query_tokens(F.col(text))).alias("token"))
+    return listed.groupBy(query_id, "token").agg(F.count(F.lit(1)).alias("repeats"))
+
+
 def relevance_join(queries: DataFrame, documents: DataFrame, query_id: str = "query_id",
                    doc_id: str = "doc_id", query_text: str = "query", text: str = "text",
                    preferred: Sequence = (), count_repeats: bool = False,
-                   min_score: int = 1) -> DataFrame:
+                   min_score: int = 1, name: str | None = None) -> DataFrame:
     """Score of each document for each query: how many of its tokens it contains.
 
-    ``preferred`` names the few documents that get five points for every query, even
+    This is every pair that shares a token.  For the best few documents of each query
+    :func:`gatehouse.operators.search.top_documents` gets by without them.  ``preferred`` names the few documents that get five points for every query, even
     without a token.  ``count_repeats`` counts a repeated query token each time.
     """
-    listed = query_tokens(F.col(query_text))
-    exploded = queries.select(query_id, F.explode(listed).alias("token"))
-    tokens = exploded.groupBy(query_id, "token").agg(F.count(F.lit(1)).alias("repeats"))
-    hits = token_runs(documents, tokens, doc_id, text)
+    tokens = token_counts(queries, query_id, query_text)
+    hits = token_runs(documents, tokens, doc_id, text, name)
     points = F.sum("repeats") if count_repeats else F.count(F.lit(1))
     scored = hits.join(tokens, "token").groupBy(query_id, doc_id).agg(points.alias("score"))
     if preferred:
