@@ -110,9 +110,15 @@ def duplicate_prompts(x):
     return C.duplicate_prompts(x.documents)
 
 
-@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+@query("""SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id, source, lang) AS r FROM (
+  SELECT doc_id, text, source, lang FROM documents UNION ALL SELECT doc_id, text, source, 'again' FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id - doc_id % 5, text, source, 'moved' FROM documents)) WHERE r = 1""")
 def first_seen(x):
-    return C.first_seen(x.documents).select("doc_id")
+    """Ids repeat here, with the same text and with others."""
+    d = x.documents.select("doc_id", "source", "lang", "text")
+    again = d.where(c("doc_id") % 3 == 0).withColumn("lang", F.lit("again"))
+    moved = d.withColumn("doc_id", c("doc_id") - c("doc_id") % 5).withColumn("lang", F.lit("moved"))
+    return C.first_seen(d.unionByName(again).unionByName(moved)).select("doc_id", "source", "lang")
 
 
 @query("""SELECT doc_id, CASE WHEN (2 * (CAST('0x' || substr(md5(text), 1, 16) AS UBIGINT)::HUGEINT % 7)
@@ -407,13 +413,13 @@ def sweep_order(x):
     return T.sweep_order(t.withColumn("pos", c("conv_id") * 1000 + c("turn")), rejects).select("task_id", "has_reject")
 
 
-@query(f"""SELECT call_id, trace FROM (SELECT *, row_number() OVER (PARTITION BY run_id, error ORDER BY call_id DESC) AS r FROM {duck('calls')}) c
-LEFT JOIN (SELECT run_id AS tr, error AS te, max('trace of ' || run_id) AS trace FROM {duck('calls')} WHERE tool GROUP BY ALL) t
+@query(f"""SELECT call_id, traces FROM (SELECT *, row_number() OVER (PARTITION BY run_id, error ORDER BY call_id DESC) AS r FROM {duck('calls')}) c
+LEFT JOIN (SELECT run_id AS tr, error AS te, string_agg('trace of ' || call_id, '|' ORDER BY call_id) AS traces FROM {duck('calls')} WHERE tool GROUP BY ALL) t
 ON c.run_id = t.tr AND c.error = t.te AND c.r = 1""")
 def attach_tool_traces(x):
     calls = x.view("calls").select("call_id", c("error").cast("int").alias("turn"), F.array("run_id").alias("task_ids"), "tool")
-    traces = calls.where("tool").select("turn", "task_ids", F.concat(F.lit("trace of "), c("task_ids")[0]).alias("trace")).distinct()
-    return T.attach_tool_traces(calls.drop("tool"), traces).select("call_id", "trace")
+    traces = calls.where("tool").select("turn", "task_ids", c("call_id").alias("index"), F.concat(F.lit("trace of "), "call_id").alias("trace"))
+    return T.attach_tool_traces(calls.drop("tool"), traces).select("call_id", joined(c("traces")).alias("traces"))
 
 
 # --- batches -----------------------------------------------------------------

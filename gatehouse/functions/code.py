@@ -116,7 +116,7 @@ def mechanism_hint(code: Column) -> Column:
     """Name of the Python pitfall a snippet shows, NULL when none is visible."""
     return first_reason(
         (code.contains("lambda") & contains_any(code, ["for ", " in range"]), V.PITFALLS["late_binding"]),
-        (code.rlike(r"def [0-9A-Za-z_]+\([^)]*=[\t\n\f\r ]*(?:\[\]|\{\})"), V.PITFALLS["mutable_default"]),
+        (code.rlike(r"def \w+\([^)]*=[\t\n\f\r ]*(?:\[\]|\{\})"), V.PITFALLS["mutable_default"]),
         (contains_any(code, ["(n for", "(x for"]) | code.rlike(r"=[\t\n\f\r ]*\(.+for .+in .+\)"),
          V.PITFALLS["spent_generator"]),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions import text as X
 from ..functions.fixed import ECHO_RUN
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialise
 from .pairs import prompt_digest
 
 
@@ -87,14 +87,30 @@ def duplicate_prompts(rows: DataFrame, text_col: str = "text", id_col: str = "do
 
 
 def first_seen(rows: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """First row of each text, by id.  An aggregate, so copies combine before the shuffle.
+    """One row of each text: that of the smallest id, and of its repeats the smallest row.
 
-    Rows without a text are nobody's copies and stay, those without an id too.
+    Copies combine before the shuffle, where only digests and ids go; the rows themselves are
+    met again by (digest, id).  An id may come with several texts.  Rows without a text are
+    nobody's copies and stay; an id that is missing counts only where a text has no other.
     """
-    given = rows.where(F.col(text_col).isNotNull())
-    firsts = given.groupBy(prompt_digest(F.col(text_col)).alias("__digest")).agg(F.min(id_col).alias("__first"))
-    kept = given.join(firsts.select("__first"), F.col(id_col).eqNullSafe(F.col("__first")), "left_semi")
-    return kept.unionByName(rows.where(F.col(text_col).isNull()))
+    digest, first = unused(rows, "digest"), unused(rows, "first")
+    given = rows.where(F.col(text_col).isNotNull()).withColumn(digest, prompt_digest(F.col(text_col)))
+    firsts = materialise(given.groupBy(F.col(digest).alias(first + "_of")).agg(F.min(id_col).alias(first), F.count(F.lit(1)).alias(first + "_n")))
+
+    def met(some: DataFrame) -> DataFrame:
+        return given.join(some, (F.col(digest) == F.col(first + "_of")) & F.col(id_col).eqNullSafe(F.col(first)), "left_semi")
+
+    single, copied = met(firsts.where(F.col(first + "_n") == 1)).drop(digest), met(firsts.where(F.col(first + "_n") > 1))
+    # Only texts with copies are reduced: where an id repeats with the same text, the smallest row stays.
+    one = copied.groupBy(digest).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in rows.columns))).alias(first))
+    return single.unionByName(one.select(f"{first}.*")).unionByName(rows.where(F.col(text_col).isNull()))
+
+
+def unused(rows: DataFrame, name: str) -> str:
+    """A helper column name that ``rows`` does not have."""
+    while any(c.startswith(f"__{name}") for c in rows.columns):
+        name += "_"
+    return f"__{name}"
 
 
 def hash_split(rows: DataFrame, text_col: str = "text", modulus: int = 7) -> DataFrame:

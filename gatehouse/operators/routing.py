@@ -166,13 +166,16 @@ def sweep_order(tasks: DataFrame, rejects: DataFrame) -> DataFrame:
 
 
 def attach_tool_traces(calls: DataFrame, traces: DataFrame) -> DataFrame:
-    """Traces go to the latest call of the same turn and the same ordered task ids.
+    """Traces go, as an ordered list, to the latest call of the same turn and the same ordered task ids.
 
-    ``calls`` holds (call_id, turn, task_ids, …), ``traces`` (turn, task_ids, trace).
+    ``calls`` holds (call_id, turn, task_ids, …), ``traces`` (turn, task_ids, index, trace).
+    Every call comes back once; ``traces`` is NULL where it has none.  A call runs its code
+    a few times, so its list is short.
     """
+    listed = traces.groupBy("turn", "task_ids").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("index", "trace"))), lambda t: t["trace"]).alias("traces"))
     latest = calls.groupBy("turn", "task_ids").agg(F.max("call_id").alias("call_id"))
-    hit = traces.join(latest, ["turn", "task_ids"]).select("call_id", "trace")
-    return calls.join(hit, "call_id", "left")
+    return calls.join(listed.join(latest, ["turn", "task_ids"]).select("call_id", "traces"), "call_id", "left")
 
 
 # --- batches -----------------------------------------------------------------

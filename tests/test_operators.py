@@ -257,3 +257,10 @@ def test_preference_table_has_prompts_and_leaves_forbidden_tasks_out(spark):
     table = training.preference_table(answers, passages, bench, ["summarisation"], forbidden)
     assert sorted(values(table, "task_id", "prompt", "chosen", "rejected")) == sorted(("a", prompts["a"], good, b) for b in bad)
     assert table.where("system IS NULL").isEmpty()
+
+
+def test_tool_traces_are_a_list_on_the_latest_call(spark):
+    calls = spark.createDataFrame([(1, 0, ["a", "b"]), (2, 0, ["a", "b"]), (3, 1, ["a"]), (4, 0, ["b", "a"])], "call_id INT, turn INT, task_ids ARRAY<STRING>")
+    traces = spark.createDataFrame([(0, ["a", "b"], 1, "second"), (0, ["a", "b"], 0, "first"), (5, ["a"], 0, "nobody's")], "turn INT, task_ids ARRAY<STRING>, index INT, trace STRING")
+    got = {r.call_id: r.traces for r in routing.attach_tool_traces(calls, traces).collect()}
+    assert got == {1: None, 2: ["first", "second"], 3: None, 4: None}

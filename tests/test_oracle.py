@@ -43,5 +43,5 @@ def test_gates_accept_and_reject(spark, name):
 
 def test_entry_has_rows(spark):
     df = entry.entry(spark)
-    assert df.columns == ["task_id", "chosen", "rejected"]
+    assert df.columns == ["task_id", "prompt", "system", "chosen", "rejected"]
     assert df.count() > 0

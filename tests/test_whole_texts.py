@@ -70,3 +70,12 @@ def test_missing_texts_are_no_copies(spark):
     assert sorted(r.doc_id for r in decontam.first_seen(rows).collect()) == [1, 2, 3]
     assert [(r.copies, r.first_id) for r in decontam.duplicate_prompts(rows).collect()] == [(2, 3)]
     assert sorted(r.doc_id for r in decontam.first_seen(rows.where("text IS NOT NULL")).collect()) == [3]
+
+
+def test_first_seen_with_repeated_ids(spark):
+    rows = spark.createDataFrame([(1, "A"), (2, "B"), (2, "A"), (1, "A"), (2, "C"), (None, "B"), (None, "D"), (None, "D"), (3, None), (3, None)],
+                                 "doc_id BIGINT, text STRING").withColumn("__digest", F.lit("own"))
+    got = decontam.first_seen(rows)
+    assert got.columns == rows.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [
+        ("1", "A"), ("2", "B"), ("2", "C"), ("3", "None"), ("3", "None"), ("None", "D")]
