@@ -17,6 +17,7 @@ from gatehouse.session import scratch
 from gatehouse.sources import readers as R
 from gatehouse.sources import sinks as W
 from gatehouse.streaming import streams as S
+from gatehouse.streaming.keyed import KeyedTable, upsert_stream
 
 from . import duck as D
 from . import views
@@ -150,6 +151,13 @@ def _run(x, stream, name):
     return x.spark.read.schema(stream.schema).parquet(out)
 
 
+def _upserted(x, stream, keys, name):
+    """Every window, also those open at the end of the input: the stream hands over each change."""
+    table = KeyedTable(scratch(x.spark, name), stream.schema, keys)
+    upsert_stream(stream, table, scratch(x.spark, name + "-state"), "update").awaitTermination()
+    return table.read(x.spark)
+
+
 def _stamp(name):
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
 
@@ -163,27 +171,26 @@ def _windows(slides: int, step: str) -> str:
     return f"""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, model, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens,
   count(*) FILTER (error) AS errors FROM (
   SELECT *, time_bucket(INTERVAL '{step}', ts) - k * INTERVAL '{step}' AS w FROM {duck('calls')} CROSS JOIN (SELECT unnest(range(0, {slides})) AS k))
-WHERE w + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events) GROUP BY w, model"""
+GROUP BY w, model"""
 
 
 @query(_windows(1, "1 hour"))
 def stream_usage(x):
-    out = _run(x, S.usage_windows(_calls(x)), "usage")
-    return out.select(_stamp("window_start"), "model", "calls", "tokens", "errors")
+    return _upserted(x, S.usage_windows(_calls(x)), ["window_start", "model"], "usage").select(_stamp("window_start"), "model", "calls", "tokens", "errors")
 
 
 @query(_windows(4, "15 minutes"))
 def stream_usage_sliding(x):
-    out = _run(x, S.usage_windows(_calls(x), slide="15 minutes"), "sliding")
-    return out.select(_stamp("window_start"), "model", "calls", "tokens", "errors")
+    return _upserted(x, S.usage_windows(_calls(x), slide="15 minutes"), ["window_start", "model"], "sliding").select(_stamp("window_start"), "model", "calls", "tokens", "errors")
 
 
 @query("""SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS events FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
     SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '2 hours' THEN 1 ELSE 0 END AS fresh FROM events))
-GROUP BY user_id, s HAVING max(ts) + INTERVAL '2 hours' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)""")
+GROUP BY user_id, s""")
 def stream_sessions(x):
-    out = _run(x, S.sessions(_events(x)), "sessions")
+    batch = x.events.withColumn("ts", c("ts").cast("timestamp"))
+    out = S.close_out(_run(x, S.sessions(_events(x)), "sessions"), batch, S.sessions, "session_end")
     return out.select("user_id", _stamp("session_start"), "events")
 
 
@@ -197,9 +204,19 @@ def stream_dedup(x):
 def stream_latest(x):
     rows = _events(x).select("user_id", "event_id", "event_type", "ts")
     path, state = scratch(x.spark, "latest"), scratch(x.spark, "latest-state")
-    q = S.stream_latest(rows, ["user_id"], ["ts", "event_id"], path, state)
+    q, table = S.stream_latest(rows, ["user_id"], ["ts", "event_id"], path, state)
+    q.awaitTermination()
+    return table.read(x.spark).drop("ts")
+
+
+@query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
+WHERE r = 1 AND ts >= (SELECT max(ts) - INTERVAL '6 hours' FROM events)""")
+def stream_latest_expiring(x):
+    rows = _events(x).select("user_id", "event_id", "ts")
+    path, state = scratch(x.spark, "latest"), scratch(x.spark, "latest-state")
+    q, table = S.stream_latest(rows, ["user_id"], ["ts", "event_id"], path, state, "ts", "6 hours")
     q.awaitTermination()
-    return x.spark.read.schema(rows.schema).parquet(f"{path}/v{S.last_batch(q)}").drop("ts")
+    return table.read(x.spark).drop("ts")
 
 
 @query(f"""SELECT doc_id, CASE WHEN r = '' THEN NULL ELSE r END AS reason FROM (SELECT doc_id, coalesce(reason, '') AS r FROM (

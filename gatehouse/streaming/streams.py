@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.gates import gate
+from .keyed import KeyedTable, upsert_stream
 
 
 def stream_events(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int | None = None,
@@ -93,23 +94,15 @@ def latest_of(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return newest.select(*keys, "r.*")
 
 
-def stream_latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Latest row per key, kept as a table of numbered versions.
+def stream_latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str,
+                  time: str | None = None, ttl: str | None = None) -> tuple[StreamingQuery, KeyedTable]:
+    """Latest row per key, kept in a :class:`~gatehouse.streaming.keyed.KeyedTable`.
 
-    Each micro-batch is reduced to its newest rows, merged with the previous
-    version and written as the next one, so a batch that runs again after a
-    failure writes the same version.  State lives in the table, not in the stream.
+    A micro-batch writes about as much as it brings.  Keys whose ``time`` lies more than
+    ``ttl`` behind the latest one leave the table.
     """
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = latest_of(batch, keys, order)
-        if batch_id > 0:
-            fresh = latest_of(spark.read.schema(batch.schema).parquet(f"{path}/v{batch_id - 1}").unionByName(fresh),
-                              keys, order)
-        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-
-    return (rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    table = KeyedTable(path, rows.schema, keys, order, time, ttl)
+    return upsert_stream(rows, table, checkpoint), table
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -124,8 +117,3 @@ def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
         df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return write
-
-
-def last_batch(query: StreamingQuery) -> int:
-    """Id of the last micro-batch that read rows."""
-    return max(p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0)

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from gatehouse.streaming import streams as S
+from gatehouse.streaming.keyed import KeyedTable, upsert_stream
 
 SCHEMA = "call_id BIGINT, ts TIMESTAMP, model STRING, tokens BIGINT, error BOOLEAN"
 
@@ -60,11 +61,80 @@ def test_latest_over_batches(spark, tmp_path):
     for k in range(3):
         write(spark, src, rows[k * 30:(k + 1) * 30], k)
     stream = S.stream_events(spark, src + "/*", SCHEMA, files_per_trigger=1).select("model", "call_id", "ts")
-    path = str(tmp_path / "latest")
-    q = S.stream_latest(stream, ["model"], ["ts", "call_id"], path, str(tmp_path / "state"))
+    q, table = S.stream_latest(stream, ["model"], ["ts", "call_id"], str(tmp_path / "latest"), str(tmp_path / "state"))
     q.awaitTermination()
-    got = {r.model: r.call_id for r in spark.read.parquet(f"{path}/v{S.last_batch(q)}").collect()}
-    assert got == {"a": 88, "b": 89}
+    assert {r.model: r.call_id for r in table.read(spark).collect()} == {"a": 88, "b": 89}
+
+
+def test_open_windows_are_in_the_table(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = calls(300)
+    for k in range(3):
+        write(spark, src, rows[k * 100:(k + 1) * 100], k)
+    stream = S.usage_windows(S.stream_events(spark, src + "/*", SCHEMA, files_per_trigger=1))
+    table = KeyedTable(str(tmp_path / "usage"), stream.schema, ["window_start", "model"])
+    upsert_stream(stream, table, str(tmp_path / "state"), "update").awaitTermination()
+    assert sorted(map(tuple, table.read(spark).collect())) == sorted(map(tuple, S.usage_windows(spark.createDataFrame(rows, SCHEMA)).collect()))
+
+
+def keyed_batches(spark, n):
+    """Each batch brings a new key and a new row of an old one."""
+    t0 = dt.datetime(2024, 1, 1)
+    return [spark.createDataFrame([(k, t0 + dt.timedelta(days=k), k), (k // 2, t0 + dt.timedelta(days=k), 1000 + k)], "key INT, ts TIMESTAMP, value INT") for k in range(n)]
+
+
+def size(table, level, batch):
+    import pathlib
+    return sum(f.stat().st_size for f in pathlib.Path(f"{table.path}/level={level}/batch={batch}").glob("*.parquet"))
+
+
+def test_keyed_table_merges_removes_and_survives_restarts(spark, tmp_path):
+    batches = keyed_batches(spark, 20)
+    table = KeyedTable(str(tmp_path / "t"), batches[0].schema, ["key"], ["ts"])
+    again = KeyedTable(str(tmp_path / "again"), batches[0].schema, ["key"], ["ts"])
+    for k, b in enumerate(batches):
+        table.write(b, k)
+        again.write(b, k)
+        if k in (7, 8, 15, 16):  # the batch runs once more, as after a failure
+            again.write(b, k)
+    want = {}
+    for k, b in enumerate(batches):
+        for r in b.collect():
+            if r.key not in want or (r.ts, k) >= want[r.key][:2]:
+                want[r.key] = (r.ts, k, r.value)
+    for t in (table, again):
+        assert {r.key: r.value for r in t.read(spark).collect()} == {key: v[2] for key, v in want.items()}
+        assert t.folders(spark) == [(0, 16), (0, 17), (0, 18), (0, 19), (1, 7), (1, 15)]
+    assert size(table, 0, 19) <= 1.2 * size(table, 0, 16)  # what a batch writes does not follow the table
+
+
+def test_keyed_table_finishes_a_merge_it_had_begun(spark, tmp_path):
+    batches = keyed_batches(spark, 9)
+    table = KeyedTable(str(tmp_path / "t"), batches[0].schema, ["key"], ["ts"])
+    for k, b in enumerate(batches[:8]):
+        table.write(b, k)
+    whole = sorted(map(tuple, table.read(spark).collect()))
+    (tmp_path / "t" / "level=1" / "batch=7" / "_SUCCESS").unlink()  # as if the merge had not ended
+    assert sorted(map(tuple, table.read(spark).collect())) == whole
+    table.write(batches[7], 7)
+    assert sorted(map(tuple, table.read(spark).collect())) == whole and (1, 7) in table.folders(spark)
+    table.write(batches[8], 8)
+    assert table.folders(spark) == [(0, 8), (1, 7)]
+
+
+def test_keyed_table_forgets_what_is_old(spark, tmp_path):
+    batches = keyed_batches(spark, 9)
+    table = KeyedTable(str(tmp_path / "t"), batches[0].schema, ["key"], ["ts"], "ts", "3 days")
+    for k, b in enumerate(batches):
+        table.write(b, k)
+    latest = {}
+    for b in batches:
+        for r in b.collect():
+            latest[r.key] = max(latest.get(r.key, (r.ts, 0)), (r.ts, r.value))
+    end = max(t for t, _ in latest.values())
+    assert {r.key for r in table.read(spark).collect()} == {k for k, (t, _) in latest.items() if t >= end - dt.timedelta(days=3)}
+    assert spark.read.parquet(f"{table.path}/level=1").count() < len(latest)
+    assert KeyedTable(str(tmp_path / "none"), batches[0].schema, ["key"]).read(spark).count() == 0
 
 
 def test_dedup_drops_reuploads(spark, tmp_path):
