@@ -6,6 +6,7 @@ the shared scratch folder.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gatehouse.functions.fixed import FAMILY_SYSTEM_PROMPTS
@@ -51,13 +52,20 @@ def read_golden(x):
     return R.read_golden(x.spark, path).select("task_id", "expected", "validate")
 
 
-@query(f"SELECT task_id, answer, pass, doc_id AS gen_ms FROM {duck('archive')}")
+@query(f"""SELECT task_id, family AS category, answer, 'local' AS via, CASE WHEN pass THEN NULL ELSE 'quality' END AS reason, pass,
+  doc_id * 2 AS gen_tokens, doc_id AS gen_ms, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS place FROM {duck('archive')}""")
 def read_archive(x):
+    """``place`` counts over all files in the order of their names, so it holds file and position to account."""
     path = scratch(x.spark, "archive")
-    W.write_table(x.view("archive").select(
-        c("task_id").alias("ID"), c("family").alias("Cat"), c("answer").alias("Answer"), c("pass").alias("Pass"),
-        c("doc_id").alias("GenMS")), path, "json")
-    return R.read_archive(x.spark, path).select("task_id", "answer", "pass", "gen_ms")
+    digest = F.md5(c("doc_id").cast("string").cast("binary"))
+    W.write_table(x.view("archive").orderBy(digest, "doc_id").select(
+        c("task_id").alias("ID"), c("family").alias("Cat"), c("answer").alias("Answer"), F.lit("local").alias("Via"), F.when(~c("pass"), "quality").alias("Reason"),
+        c("pass").alias("Pass"), (c("doc_id") * 2).alias("GenTokens"), c("doc_id").alias("GenMS")), path, "json")
+    rows = R.read_archive(x.spark, path)
+    files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = files.alias("a").join(files.alias("b"), c("b.file") < c("a.file"), "left").groupBy(c("a.file").alias("file")).agg(
+        F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    return rows.join(before, "file").select("task_id", "category", "answer", "via", "reason", "pass", "gen_tokens", "gen_ms", (c("before") + c("pos")).alias("place"))
 
 
 @query(f"""SELECT 'factual' AS family, 'system|user|assistant' AS roles, prompt AS "user", answer AS assistant FROM {duck('turns')}""")
@@ -71,45 +79,99 @@ def chat_rows(x):
         m[1]["content"].alias("user"), m[2]["content"].alias("assistant"))
 
 
-@query(f"""SELECT 'calls' AS part, run_id AS task_id, model, tokens AS total_tokens, day AS label FROM {duck('calls')}
-UNION ALL SELECT 'answers', run_id, model, NULL, day FROM {duck('calls')} UNION ALL SELECT 'tasks', run_id, 'Day ' || day, NULL, day FROM {duck('calls')}""")
+CALLS_OF_RUN = f"""SELECT run_id, model, max(day) AS day, count(*) AS n, sum(tokens) AS tokens FROM {duck('calls')} GROUP BY run_id, model"""
+
+
+@query(f"""WITH u AS (SELECT *, run_id || '/' || model AS up FROM ({CALLS_OF_RUN})),
+k AS (SELECT c.*, c.run_id || '/' || c.model AS up, row_number() OVER (PARTITION BY c.run_id, c.model ORDER BY call_id) - 1 AS call FROM {duck('calls')} c),
+r AS (SELECT *, up NOT IN (SELECT up FROM u WHERE n % 4 = 3) AS whole FROM k)
+SELECT 'calls' AS part, up AS label, CAST(call AS INTEGER) AS call, concat_ws('|', call, strftime(ts, '%Y-%m-%d %H:%M:%S'), call_id % 97, tokens, tokens + 1, 2 * tokens + 1, call_id % 5,
+  call_id % 3, 2, length(model), run_id, call_id, model, 'low', 400, '[{{"content":"' || call_id || '","role":"user"}}]', 'said ' || call_id, 'thought', CASE WHEN tool THEN 1 ELSE 0 END,
+  CASE WHEN error THEN 'failed' ELSE 'none' END) AS row FROM r WHERE whole
+UNION ALL SELECT 'traces', up, CAST(call AS INTEGER), concat_ws('|', 0, 'print(' || call_id || ')', call_id, '{{}}', 'none') FROM r WHERE whole AND tool
+UNION ALL SELECT 'tasks', up, NULL, run_id || '|' || 'Day ' || day FROM r WHERE whole
+UNION ALL SELECT 'answers', up, NULL, run_id || '|' || model FROM r WHERE whole
+UNION ALL SELECT 'broken', NULL, NULL, CAST(count(*) AS VARCHAR) FROM u WHERE n % 4 = 3""")
 def read_telemetry(x):
+    """Uploads with several calls and tasks each; every fourth kind of them is cut off and must come back as broken."""
     path = scratch(x.spark, "telemetry")
-    call = F.struct(F.lit(0).alias("turn"), c("tokens").alias("total_tokens"), F.array("run_id").alias("task_ids"), c("model").alias("model"))
-    W.write_table(x.view("calls").select(
-        F.array(F.struct(c("run_id").alias("task_id"), F.concat(F.lit("Day "), "day").alias("prompt"))).alias("tasks"),
-        F.array(F.struct(c("run_id").alias("task_id"), c("model").alias("answer"))).alias("results"),
-        F.struct(c("model").alias("model"), F.array(call).alias("call_records")).alias("metrics"), c("day").alias("label")), path, "json")
+    calls, none = x.view("calls"), F.lit(None).cast("string")
+    number, text = c("call_id"), c("call_id").cast("string")
+    place = F.row_number().over(Window.partitionBy("run_id", "model").orderBy("call_id")) - 1
+    trace = F.struct(F.lit(0).alias("index"), F.concat(F.lit("print("), text, F.lit(")")).alias("code"), text.alias("stdout"), F.lit("{}").alias("json"))
+    record = F.struct(
+        place.alias("turn"), c("ts").alias("timestamp"), (number % 97).alias("latency_ms"), c("tokens").alias("prompt_tokens"), (c("tokens") + 1).alias("completion_tokens"),
+        (2 * c("tokens") + 1).alias("total_tokens"), (number % 5).alias("cached_tokens"), (number % 3).alias("reasoning_tokens"), F.lit(2).alias("batch_size"),
+        F.length("model").alias("output_chars"), F.array("run_id", text).alias("task_ids"), "model", F.lit("low").alias("effort"), F.lit(400).alias("max_tokens"),
+        F.array(F.struct(text.alias("content"), F.lit("user").alias("role"))).alias("messages"), F.concat(F.lit("said "), text).alias("assistant_message"),
+        F.lit("thought").alias("reasoning_content"), F.when(c("tool"), F.array(trace)).alias("tool_traces"), F.when(c("error"), "failed").alias("error"))
+    # A run is one user's day, so its lists are short.
+    uploads = calls.select("run_id", "model", "day", record.alias("r")).groupBy("run_id", "model").agg(
+        F.array_sort(F.collect_list("r")).alias("records"), F.max("day").alias("day"))
+    lines = F.to_json(F.struct(
+        F.transform("records", lambda r: F.struct(c("run_id").alias("task_id"), F.concat(F.lit("Day "), "day").alias("prompt"))).alias("tasks"),
+        F.transform("records", lambda r: F.struct(c("run_id").alias("task_id"), c("model").alias("answer"))).alias("results"),
+        F.struct("model", F.col("records").alias("call_records")).alias("metrics"), F.concat("run_id", F.lit("/"), "model").alias("label")),
+        {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    cut = F.when(F.size("records") % 4 == 3, F.substr(lines, F.lit(1), F.length(lines) - 9)).otherwise(lines)
+    uploads.select(cut.alias("value")).write.text(path)
     t = R.read_telemetry(x.spark, path)
-    none = F.lit(None).cast("bigint").alias("total_tokens")
-    return t["calls"].select(F.lit("calls").alias("part"), c("task_ids")[0].alias("task_id"), "model", "total_tokens", "label").unionByName(
-        t["answers"].select(F.lit("answers").alias("part"), "task_id", c("answer").alias("model"), none, "label")).unionByName(
-        t["tasks"].select(F.lit("tasks").alias("part"), "task_id", c("prompt").alias("model"), none, "label"))
 
-
-@query("""SELECT c_custkey, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey + 1 END AS rank,
-  c_acctbal AS score, CASE WHEN c_custkey % 3 = 1 THEN CAST(c_custkey AS BIGINT) END AS tokens,
-  CASE c_custkey % 3 WHEN 0 THEN 'tracks.entries' WHEN 1 THEN 'leaderboard' ELSE 'data.submissions' END AS source_path,
-  CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS track_name FROM customer""".replace(
-    "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey + 1 END", "CAST(CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey + 1 END AS BIGINT)"))
+    def rows(part, table, call, *fields):
+        return t[table].select(F.lit(part).alias("part"), "label", call.cast("int").alias("call"), F.concat_ws("|", *(F.coalesce(f.cast("string"), F.lit("none")) for f in fields)).alias("row"))
+
+    stamp = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
+    of_call = [c("turn"), stamp, *map(c, ("latency_ms", "prompt_tokens", "completion_tokens", "total_tokens", "cached_tokens", "reasoning_tokens", "batch_size", "output_chars")),
+               joined(c("task_ids")), *map(c, ("model", "effort", "max_tokens")), F.to_json("messages"), c("assistant_message"), c("reasoning_content"),
+               F.coalesce(F.size("tool_traces"), F.lit(0)), c("error")]
+    return rows("calls", "calls", c("call"), *of_call).unionByName(
+        rows("traces", "traces", c("call"), *map(c, ("index", "code", "stdout", "json", "error")))).unionByName(
+        rows("tasks", "tasks", none, c("task_id"), c("prompt"))).unionByName(rows("answers", "answers", none, c("task_id"), c("answer"))).unionByName(
+        t["broken"].agg(F.count(F.lit(1)).cast("string").alias("row")).select(F.lit("broken").alias("part"), none.alias("label"), none.cast("int").alias("call"), "row"))
+
+
+@query("""WITH k AS (SELECT *, c_custkey % 5 AS k FROM customer)
+SELECT c_custkey, c_name AS name, CAST(CASE WHEN k IN (0, 3) THEN NULL ELSE c_nationkey + 1 END AS BIGINT) AS rank,
+  CASE WHEN k = 3 THEN NULL ELSE c_acctbal END AS score, CAST(CASE WHEN k = 1 THEN c_custkey WHEN k = 3 THEN c_nationkey END AS BIGINT) AS tokens,
+  CASE k WHEN 0 THEN 'tracks.entries' WHEN 1 THEN 'leaderboard' WHEN 2 THEN 'data.submissions' WHEN 3 THEN 'season.league.region.FAILEDENTRIES' ELSE 'board.rows' END AS source_path,
+  CASE k WHEN 0 THEN c_mktsegment WHEN 3 THEN 'Region ' || c_nationkey WHEN 4 THEN 'Board' END AS track_name, CASE k WHEN 3 THEN 'tokens' END AS rank_by,
+  CASE k WHEN 3 THEN 'T' || c_nationkey END AS track, CASE k WHEN 3 THEN c_mktsegment END AS "user", CASE k WHEN 3 THEN c_nationkey || ' tokens' END AS score_label,
+  CASE k WHEN 3 THEN 'failed' END AS status,
+  CASE k WHEN 0 THEN 'tracks.entries-0' WHEN 1 THEN 'leaderboard-0' WHEN 2 THEN 'data.submissions-0' WHEN 3 THEN 'x' || c_custkey ELSE 'board.rows-0' END AS id FROM k""")
 def flatten_leaderboard(x):
-    name, score = c("c_name").alias("name"), c("c_acctbal").alias("finalScore")
-    tracks = F.to_json(F.struct(F.array(F.struct(c("c_mktsegment").alias("name"), F.array(F.struct(
-        F.struct(name).alias("submission"), score)).alias("entries"))).alias("tracks")))
-    flat = F.to_json(F.struct(F.array(F.struct(
-        c("c_name").alias("title"), c("c_acctbal").alias("score"), (c("c_nationkey") + 1).alias("place"),
-        c("c_custkey").alias("tokenCount"))).alias("leaderboard")))
-    nested = F.to_json(F.struct(F.struct(F.array(F.struct(
-        c("c_name").alias("submission_name"), c("c_acctbal").alias("total_score"), (c("c_nationkey") + 1).alias("rank"))).alias("submissions")).alias("data")))
-    payload = F.when(c("c_custkey") % 3 == 0, tracks).when(c("c_custkey") % 3 == 1, flat).otherwise(nested)
+    name, place = c("c_name").alias("name"), (c("c_nationkey") + 1)
+    nation = c("c_nationkey").cast("string")
+    one = F.struct
+
+    def listed(*fields):
+        return F.array(one(*fields))
+
+    tracks = one(listed(c("c_mktsegment").alias("name"), listed(one(name).alias("submission"), c("c_acctbal").alias("finalScore")).alias("entries")).alias("tracks"))
+    flat = one(listed(c("c_name").alias("title"), c("c_acctbal").alias("score"), place.alias("place"), c("c_custkey").alias("tokenCount")).alias("leaderboard"))
+    nested = one(one(listed(c("c_name").alias("submission_name"), c("c_acctbal").alias("total_score"), place.alias("rank")).alias("submissions")).alias("data"))
+    entry = listed(c("c_name").alias("projectName"), F.concat(F.lit("x"), "c_custkey").alias("_id"), one(c("c_mktsegment").alias("displayName")).alias("owner"),
+                   F.concat(nation, F.lit(" tokens")).alias("scoreLabel"), F.lit("failed").alias("failure_reason"), listed(F.lit("deeper").alias("name")).alias("results"))
+    deep = one(one(one(F.lit("tokens").alias("rankBy"), F.lit("outer").alias("track"), one(
+        F.concat(F.lit("Region "), nation).alias("name"), F.concat(F.lit("T"), nation).alias("trackId"), entry.alias("FAILEDENTRIES"), F.array(F.lit(1)).alias("results")).alias("region"),
+    ).alias("league")).alias("season"))
+    other = one(one(F.lit("Board").alias("name"), listed(name, c("c_acctbal").alias("score"), place.alias("position")).alias("rows")).alias("board"), F.array(F.lit(1)).alias("results"))
+    payload, k = F.to_json(other), c("c_custkey") % 5
+    for i, shape in enumerate((tracks, flat, nested, deep)):
+        payload = F.when(k == i, F.to_json(shape)).otherwise(payload)
     return R.flatten_leaderboard(x.customer.select("c_custkey", payload.alias("payload"))).select(
-        "c_custkey", "name", "rank", "score", "tokens", "source_path", "track_name")
+        "c_custkey", "name", "rank", "score", "tokens", "source_path", "track_name", "rank_by", "track", "user", "score_label", "status", "id")
+
 
+SETS = f"""SELECT set_name, task_id, CASE WHEN quality = 1 THEN expected END AS expected FROM {duck('golden')} WHERE set_name <> 'src3'"""
 
-@query(f"""SELECT set_name || '.json' AS file, count(*) AS "count", bool_or(quality = 1) AS has_expected, set_name AS name FROM {duck('golden')} GROUP BY set_name""")
+
+@query(f"""SELECT set_name AS file, count(*) AS "count", arg_min(expected IS NOT NULL, task_id) AS has_expected, set_name AS name FROM ({SETS}) GROUP BY set_name""")
 def catalog_task_sets(x):
-    return R.catalog_rows(x.view("golden").select(F.concat("set_name", F.lit(".json")).alias("file"),
-                                                  F.when(c("quality") == 1, c("expected")).alias("expected")))
+    """Task files by set, in several parts each, one set excluded."""
+    path = scratch(x.spark, "sets")
+    W.write_table(x.view("golden").select("set_name", "task_id", F.when(c("quality") == 1, c("expected")).alias("expected")).repartitionByRange("set_name", "task_id")
+                  .sortWithinPartitions("set_name", "task_id"), path, "json", ["set_name"])
+    return R.catalog_task_sets(x.spark, path, exclude=("src3",), file=F.regexp_extract("__path", "set_name=([^/]+)/", 1))
 
 
 @query(f"SELECT task_id, answer, 'c' || conv_id AS run_id FROM {duck('turns')}")
@@ -167,6 +229,30 @@ def stream_events(x):
     return _run(x, _events(x), "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
+good AS (SELECT * FROM e WHERE event_id % 50 <> 7),
+steps AS (SELECT user_id, seq, lead(seq) OVER (PARTITION BY user_id ORDER BY seq) AS next FROM good)
+SELECT 'event' AS part, CAST(user_id AS VARCHAR) AS run, seq, event_type AS type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM good
+UNION ALL SELECT 'broken', NULL, NULL, NULL, NULL, count(*) FROM e WHERE event_id % 50 = 7
+UNION ALL SELECT 'gap', CAST(user_id AS VARCHAR), seq, NULL, NULL, next - seq - 1 FROM steps WHERE next > seq + 1""")
+def stream_event_rows(x):
+    """Event lines with untyped data; one in fifty is cut off, so its number is missing in its run."""
+    src, good, dead, state = (scratch(x.spark, n) for n in ("event-lines", "event-rows", "event-dead", "event-state"))
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    line = F.to_json(F.struct(c("user_id").cast("string").alias("run"), seq.alias("seq"), c("event_type").alias("type"), c("ts").alias("timestamp"),
+                              F.parse_json("props").alias("data")))
+    cut = F.when(c("event_id") % 50 == 7, F.substr(line, F.lit(1), F.length(line) - 5)).otherwise(line)
+    x.events.select(cut.alias("value")).write.text(src)
+    S.stream_event_rows(x.spark, src, S.batch_sink(good), S.batch_sink(dead), state).awaitTermination()
+    events = x.spark.read.schema("run STRING, seq BIGINT, type STRING, timestamp TIMESTAMP, data STRING, batch_id BIGINT").parquet(good)
+    none = F.lit(None).cast("string")
+    return events.select(F.lit("event").alias("part"), "run", "seq", "type", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"),
+                         F.get_json_object("data", "$.k").cast("bigint").alias("k")).unionByName(
+        x.spark.read.schema("broken STRING, batch_id BIGINT").parquet(dead).agg(F.count(F.lit(1)).alias("k")).select(
+            F.lit("broken").alias("part"), none.alias("run"), none.cast("bigint").alias("seq"), none.alias("type"), none.alias("at"), "k")).unionByName(
+        S.event_gaps(events).select(F.lit("gap").alias("part"), "run", c("after").alias("seq"), none.alias("type"), none.alias("at"), c("missing").alias("k")))
+
+
 def _windows(slides: int, step: str) -> str:
     return f"""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, model, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens,
   count(*) FILTER (error) AS errors FROM (

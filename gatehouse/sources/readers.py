@@ -6,11 +6,13 @@ reads whole-file JSON arrays, one file per task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import presence
+from ..session import broadcast_if_small, materialise
 from . import schemas as S
+from .leaderboard import flatten_leaderboard  # noqa: F401
 
 
 def _json(spark: SparkSession, path: str | list[str], schema: str, array: bool) -> DataFrame:
@@ -43,105 +45,82 @@ def read_golden(spark: SparkSession, path: str | list[str], array: bool = False,
     return rows.where(F.col("task_id").isNotNull() & presence(F.col("expected")).isNotNull())
 
 
+def in_file_order(rows: DataFrame, file: str = "file", start: str = "__start", out: str = "pos") -> DataFrame:
+    """Add ``out``, the place of each row in its file from 0, whatever splits the file was read in.
+
+    ``rows`` are the unfiltered rows of a scan with the file and the start of the block they
+    were read from.  Rows of a block come in order and together, so a row's place in the block
+    is its distance from the block's first row; the counts of earlier blocks of the file,
+    one row per block, are added.
+    """
+    numbered = materialise(rows.withColumn("__at", F.monotonically_increasing_id()))
+    blocks = numbered.groupBy(file, start).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(file).orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = broadcast_if_small(blocks.select(file, start, "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")))
+    return numbered.join(offsets, [file, start]).withColumn(out, F.col("__before") + F.col("__at") - F.col("__first")).drop(
+        start, "__at", "__first", "__before")
+
+
 def read_archive(spark: SparkSession, path: str | list[str], array: bool = False) -> DataFrame:
     """Verdict archive rows with the file they came from and their place in it."""
     rows = _json(spark, path, S.PROBE, array)
-    # The read position orders rows within a file; it follows the physical layout.
-    place = F.monotonically_increasing_id()
-    return rows.select(
+    return in_file_order(rows.select(
         F.col("ID").alias("task_id"), F.col("Cat").alias("category"), F.col("Answer").alias("answer"),
         F.col("Via").alias("via"), F.col("Reason").alias("reason"), F.col("Pass").alias("pass"),
         F.col("GenTokens").alias("gen_tokens"), F.col("GenMS").alias("gen_ms"),
-        F.col("_metadata.file_name").alias("file"), place.alias("pos"))
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__start")))
 
 
 def read_chat_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _json(spark, path, S.CHAT, False)
 
 
+CORRUPT = "_corrupt"
+
+
 def read_telemetry(spark: SparkSession, path: str | list[str], array: bool = False) -> dict[str, DataFrame]:
-    """Uploads as three tables: tasks, answers and calls, each with its upload file."""
-    raw = _json(spark, path, S.UPLOAD, array).withColumn("upload", F.col("_metadata.file_name"))
-    return telemetry_tables(raw)
+    """Uploads as tables: tasks, answers, calls, traces, and what could not be read, each with its upload file.
+
+    A broken upload costs no other: it goes to ``broken`` with its text.
+    """
+    text = spark.read.text(path, wholetext=array).select(F.col("_metadata.file_name").alias("upload"), "value")
+    if array:
+        parsed = text.withColumn("all", F.from_json("value", f"ARRAY<STRUCT<{S.UPLOAD}>>"))
+        rows = parsed.select("upload", F.when(F.col("all").isNull(), F.col("value")).alias(CORRUPT), F.explode_outer("all").alias("u"))
+    else:
+        rows = text.select("upload", F.from_json("value", f"{S.UPLOAD}, {CORRUPT} STRING", {"columnNameOfCorruptRecord": CORRUPT}).alias("u")).withColumn(
+            CORRUPT, F.col(f"u.{CORRUPT}"))
+    return telemetry_tables(rows.select("upload", CORRUPT, "u.tasks", "u.results", "u.metrics", "u.label"))
 
 
 def telemetry_tables(uploads: DataFrame) -> dict[str, DataFrame]:
-    """The three projections of (tasks, results, metrics, label, upload) rows."""
-    task = uploads.select("upload", "label", F.explode("tasks").alias("t")).select("upload", "label", "t.*")
-    answer = uploads.select("upload", "label", F.explode("results").alias("r")).select("upload", "label", "r.*")
-    call = uploads.select("upload", "label", F.explode("metrics.call_records").alias("c")).select(
-        "upload", "label", "c.*")
-    return {"tasks": task, "answers": answer, "calls": call}
+    """The projections of (tasks, results, metrics, label, upload) rows.  ``call`` numbers the calls of an upload."""
+    own = ["upload", "label"]
+    good = uploads.where(F.col(CORRUPT).isNull()) if CORRUPT in uploads.columns else uploads
+    task = good.select(*own, F.explode("tasks").alias("t")).select(*own, "t.*")
+    answer = good.select(*own, F.explode("results").alias("r")).select(*own, "r.*")
+    call = good.select(*own, F.posexplode("metrics.call_records").alias("call", "c")).select(*own, "call", "c.*")
+    trace = call.select(*own, "call", "turn", "task_ids", F.explode("tool_traces").alias("t")).select(*own, "call", "turn", "task_ids", "t.*")
+    tables = {"tasks": task, "answers": answer, "calls": call, "traces": trace}
+    return tables | {"broken": uploads.where(F.col(CORRUPT).isNotNull()).select("upload", F.col(CORRUPT).alias("text"))} if CORRUPT in uploads.columns else tables
 
 
 def catalog_task_sets(spark: SparkSession, path: str | list[str], array: bool = False,
-                      exclude: tuple[str, ...] = ("golden.json",)) -> DataFrame:
-    """Per file: task count and whether any task states an expected answer."""
-    rows = _json(spark, path, S.GOLDEN, array).withColumn("file", F.col("_metadata.file_name"))
-    return catalog_rows(rows.where(~F.col("file").isin(*exclude)))
+                      exclude: tuple[str, ...] = ("golden.json",), file: Column | None = None) -> DataFrame:
+    """Per file: task count and whether its first task states an expected answer.
+
+    ``file`` names a set from the file's path, by default its last part; sets named in
+    ``exclude`` are left out.
+    """
+    name = F.regexp_extract("__path", "([^/]+)$", 1) if file is None else file
+    rows = _json(spark, path, S.GOLDEN, array).select("expected", F.col("_metadata.file_path").alias("__path"), F.struct(
+        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
+    named = rows.withColumn("file", name).drop("__path")
+    return catalog_rows(named.where(~F.col("file").isin(*exclude)))
 
 
 def catalog_rows(rows: DataFrame) -> DataFrame:
+    """Task sets of (file, place, expected) rows."""
     return rows.groupBy("file").agg(
-        F.count(F.lit(1)).alias("count"), F.bool_or(F.col("expected").isNotNull()).alias("has_expected")
+        F.count(F.lit(1)).alias("count"), F.min_by(F.col("expected").isNotNull(), "place").alias("has_expected")
     ).withColumn("name", F.regexp_replace("file", r"\.json$", ""))
-
-
-# --- leaderboard payloads ----------------------------------------------------
-ENTRY_LISTS = ["entries", "failedEntries", "submissions", "results", "leaderboard"]
-"""The list names that hold entries, at the top or one level down."""
-
-ALIASES = {
-    "id": ["id", "_id", "submissionId", "submission_id", "submission.id"],
-    "rank": ["rank", "position", "place"],
-    "name": ["submission.name", "submission.title", "name", "title", "submissionName", "submission_name",
-             "projectName", "project_name"],
-    "team": ["team.name", "team.title", "teamName", "team_name", "submission.teamName"],
-    "score": ["score", "finalScore", "final_score", "totalScore", "total_score", "tokens", "totalTokens",
-              "total_tokens", "submission.score"],
-    "tokens": ["tokens", "totalTokens", "total_tokens", "token_count", "tokenCount", "submission.tokens"],
-    "accuracy": ["accuracy", "accuracyScore", "accuracy_score", "submission.accuracy"],
-    "status": ["status", "resultStatus", "result_status", "failureReason", "failure_reason"],
-    "created_at": ["createdAt", "created_at", "submittedAt", "submitted_at", "updatedAt", "updated_at"],
-}
-"""Accepted field names of each column, first non-empty one wins."""
-
-NUMERIC = {"rank": "bigint", "score": "double", "tokens": "bigint", "accuracy": "double"}
-
-
-def _pick(entry: Column, column: str) -> Column:
-    values = [presence(F.get_json_object(entry, f"$.{a}")) for a in ALIASES[column]]
-    value = F.coalesce(*values)
-    return value.try_cast("double").cast(NUMERIC[column]) if column in NUMERIC else value
-
-
-def flatten_leaderboard(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """Entries of JSON payloads, flattened by alias, with the context they inherit.
-
-    Entry lists are looked for at the top, under ``data`` and inside ``tracks``;
-    a track hands its name and ranking rule to its entries.
-    """
-    keep = [c for c in payloads.columns if c != payload]
-    body = F.col(payload)
-    tracks = F.from_json(F.get_json_object(body, "$.tracks"), "ARRAY<STRING>")
-    roots = payloads.select(*keep, F.explode(F.concat(
-        F.array(F.struct(F.lit("").alias("path"), body.alias("node")),
-                F.struct(F.lit("data.").alias("path"), F.get_json_object(body, "$.data").alias("node"))),
-        F.coalesce(F.transform(tracks, lambda t: F.struct(F.lit("tracks.").alias("path"), t.alias("node"))),
-                   F.array().cast("array<struct<path:string,node:string>>")),
-    )).alias("root")).select(*keep, "root.*").where(F.col("node").isNotNull())
-    lists = F.array(*[F.struct(F.lit(n).alias("list"), F.get_json_object("node", f"$.{n}").alias("items"))
-                      for n in ENTRY_LISTS])
-    arrays = roots.select(
-        *keep, "path", presence(F.get_json_object("node", "$.name")).alias("track_name"),
-        F.coalesce(presence(F.get_json_object("node", "$.rankBy")),
-                   presence(F.get_json_object("node", "$.rank_by"))).alias("rank_by"),
-        F.explode(lists).alias("l")).where(F.col("l.items").startswith("["))
-    entries = arrays.select(
-        *keep, F.concat("path", "l.list").alias("source_path"), "track_name", "rank_by",
-        F.posexplode(F.from_json("l.items", "ARRAY<STRING>")).alias("index", "entry"))
-    entries = entries.where(F.col("entry").startswith("{"))
-    fields = [_pick(F.col("entry"), c).alias(c) for c in ALIASES]
-    flat = entries.select(*keep, "source_path", "track_name", "rank_by", "index", *fields)
-    return flat.withColumn("id", F.coalesce("id", F.concat("source_path", F.lit("-"), "index"))).withColumn(
-        "name", F.coalesce("name", F.lit("Untitled submission"))).drop("index")

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.gates import gate
+from ..sources import schemas
 from .keyed import KeyedTable, upsert_stream
 
 
@@ -26,6 +27,51 @@ def stream_events(spark: SparkSession, path: str, schema, fmt: str = "parquet",
     return reader.load(path).withColumn(time, F.col(time).cast("timestamp"))
 
 
+def event_rows(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Event lines parsed: run, seq, type, timestamp, data (VARIANT), and ``broken``, the text of a line that is no event.
+
+    An event has a type.  Works on batches and streams alike.
+    """
+    schema = f"{schemas.EVENT}, __broken STRING"
+    e = F.from_json(F.col(value), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"})
+    rows = lines.withColumn("__event", e)
+    bad = F.col("__event.__broken").isNotNull() | F.col("__event.type").isNull()
+    names = ["run", "seq", "type", "timestamp", "data"]
+    return rows.select(*(F.when(~bad, F.col(f"__event.{n}")).alias(n) for n in names), F.when(bad, F.col(value)).alias("broken"))
+
+
+def stream_event_rows(spark: SparkSession, path: str, events: Callable[[DataFrame, int], None], dead: Callable[[DataFrame, int], None],
+                      checkpoint: str, files_per_trigger: int | None = None) -> StreamingQuery:
+    """Event lines from files into two sinks: events with their data as JSON text, and lines that are none."""
+    reader = spark.readStream.format("text")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        rows = event_rows(batch)
+        events(rows.where("broken IS NULL").drop("broken").withColumn("data", F.to_json("data")), batch_id)
+        dead(rows.where("broken IS NOT NULL").select("broken"), batch_id)
+
+    return (reader.load(path).writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def event_gaps(events: DataFrame) -> DataFrame:
+    """(run, after, missing): places where numbers of a run's events are missing, and how many.
+
+    The event after a gap is found by number, not by a window over the run: only numbers
+    without a successor, and without a predecessor, are put side by side.
+    """
+    seen = events.where("run IS NOT NULL AND seq IS NOT NULL").select("run", "seq").distinct()
+    last = seen.join(seen.select("run", (F.col("seq") - 1).alias("seq")), ["run", "seq"], "left_anti")
+    first = seen.join(seen.select("run", (F.col("seq") + 1).alias("seq")), ["run", "seq"], "left_anti")
+    # Ends and starts of stretches alternate, so the k-th end meets the start after it.
+    ends = last.select("run", F.col("seq").alias("at"), F.lit(False).alias("start")).unionByName(first.select("run", F.col("seq").alias("at"), F.lit(True).alias("start")))
+    order = Window.partitionBy("run").orderBy("at", F.desc("start"))
+    return ends.withColumn("next", F.lead("at").over(order)).where("NOT start AND next IS NOT NULL").select(
+        "run", F.col("at").alias("after"), (F.col("next") - F.col("at") - 1).alias("missing"))
+
+
 def stream_gate(answers: DataFrame, accepted: Callable[[DataFrame, int], None],
                 rejected: Callable[[DataFrame, int], None], checkpoint: str, families: list[str] | None = None) -> StreamingQuery:
     """Gate an answer stream and hand each micro-batch to two sinks.
