@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gatehouse.operators import decontam as C
+from gatehouse.operators import near as N
 from gatehouse.operators import pairs as P
 from gatehouse.operators import retrieval as R
 from gatehouse.operators import routing as T
 from gatehouse.operators import sampling as S
 from gatehouse.operators import search as Z
 
+from gatehouse.session import materialise
+
 from . import duck as D
 from .base import duck, query
 from .gate_queries import MEETING_SQL
@@ -121,12 +124,44 @@ def first_seen(x):
     return C.first_seen(d.unionByName(again).unionByName(moved)).select("doc_id", "source", "lang")
 
 
-@query("""SELECT doc_id, CASE WHEN (2 * (CAST('0x' || substr(md5(text), 1, 16) AS UBIGINT)::HUGEINT % 7)
-       + CAST('0x' || substr(md5(text), 17, 16) AS UBIGINT)::HUGEINT % 7) % 7 = 0 THEN 'heldout' ELSE 'train' END AS split FROM documents""")
+SPLIT_SQL = """CASE WHEN (2 * (CAST('0x' || substr(md5(text), 1, 16) AS UBIGINT)::HUGEINT % 7)
+       + CAST('0x' || substr(md5(text), 17, 16) AS UBIGINT)::HUGEINT % 7) % 7 = 0 THEN 'heldout' ELSE 'train' END"""
+
+
+@query(f"SELECT doc_id, {SPLIT_SQL} AS split FROM documents")
 def hash_split(x):
     return C.hash_split(x.documents).select("doc_id", "split")
 
 
+# Texts that are at least eight tenths alike share one of the first runs of each, in any common order.
+LEAKS_SQL = f"""WITH w AS (SELECT doc_id, {SPLIT_SQL} AS split, text, {D.norm('text')} AS w FROM documents),
+u AS (SELECT split, min(doc_id) AS id, any_value(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) END) AS s FROM w GROUP BY split, text),
+h AS (SELECT split, id, len(s) AS n, unnest(s[1:len(s) - (80 * len(s) + 99) // 100 + 1]) AS g FROM u WHERE len(s) > 0),
+p AS (SELECT DISTINCT a.id AS heldout, b.id AS train FROM h a JOIN h b ON a.g = b.g AND a.split = 'heldout' AND b.split = 'train'),
+k AS (SELECT heldout, train, len(list_intersect(x.s, y.s)) AS shared, len(x.s) + len(y.s) AS sum
+  FROM p JOIN u x ON x.split = 'heldout' AND x.id = heldout JOIN u y ON y.split = 'train' AND y.id = train)
+SELECT heldout, train, shared, sum - shared AS total FROM k WHERE 100 * shared >= 80 * (sum - shared)"""
+
+
+@query(f"SELECT * FROM ({LEAKS_SQL}) UNION ALL SELECT -1, -1, count(*), (SELECT count(*) FROM documents) FROM ({LEAKS_SQL})")
+def split_leaks(x):
+    """Near copies that a split by text alone leaves on both sides, and a last row with their number."""
+    split = C.hash_split(x.documents)
+    leaks = materialise(N.split_leaks(split))
+    whole = leaks.agg(F.count(F.lit(1)).alias("shared")).select(F.lit(-1).cast("bigint").alias("heldout"), F.lit(-1).cast("bigint").alias("train"), "shared")
+    return leaks.unionByName(whole.join(split.agg(F.count(F.lit(1)).alias("total"))))
+
+
+@query("SELECT count(*) AS documents, 0::BIGINT AS leaks, true AS balanced FROM documents")
+def cluster_split(x):
+    """The split by groups of near copies: its leaks, counted exactly, and whether a seventh is held out."""
+    split = materialise(N.cluster_split(x.documents).select("doc_id", "text", "split"))
+    n, held = F.count(F.lit(1)), F.count_if(F.col("split") == "heldout")
+    balanced = F.abs(held / n - 1 / 7) <= 0.01 + 3 * F.sqrt(6 / 49 / n)
+    return split.agg(n.alias("documents"), balanced.alias("balanced")).join(N.split_leaks(split).agg(F.count(F.lit(1)).alias("leaks")))
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def subtract(x):
     return C.subtract(x.documents, x.labels, ["doc_id"]).select("doc_id", "source")

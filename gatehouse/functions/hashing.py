@@ -11,8 +11,11 @@ def md5_modulus(text: Column, modulus: int) -> Column:
 
     ``conv`` is limited to 64 bits, so the two halves are reduced separately.
     """
-    digest = F.md5(F.encode(text, "UTF-8"))
+    return digest_modulus(F.md5(F.encode(text, "UTF-8")), modulus)
 
+
+def digest_modulus(digest: Column, modulus: int) -> Column:
+    """A digest of 32 hex digits as an integer, modulo a small number."""
     def half(start: int) -> Column:
         value = F.conv(F.substr(digest, F.lit(start), F.lit(16)), 16, 10).cast("decimal(20,0)")
         return F.pmod(value, F.lit(modulus).cast("decimal(20,0)")).cast("bigint")

@@ -46,6 +46,15 @@ def require_clean(rows: DataFrame, evaluation: DataFrame, id_col: str = "task_id
     return rows
 
 
+def _candidate_grams(documents: DataFrame, benchmark: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, gram) of the few documents that share a 64-bit run hash with the benchmark."""
+    words = X.norm_words(F.col(text))
+    hashes = benchmark.select(F.explode(X.gram_hashes(words, n)).alias("h")).distinct()
+    candidates = broadcast_if_small(documents.select(doc_id, F.explode(X.gram_hashes(words, n)).alias("h")).join(
+        hashes, "h", "left_semi").select(doc_id).distinct())
+    return documents.join(candidates, doc_id, "left_semi").select(doc_id, F.explode(X.gram_texts(words, n)).alias("gram"))
+
+
 def decontaminate_ngram(documents: DataFrame, benchmark: DataFrame, n: int = ECHO_RUN, doc_id: str = "doc_id",
                         item_id: str = "item_id", text: str = "text") -> DataFrame:
     """Document–benchmark pairs that share runs of ``n`` words, with the run count.
@@ -56,14 +65,9 @@ def decontaminate_ngram(documents: DataFrame, benchmark: DataFrame, n: int = ECH
     hash collision cannot produce a pair.  The candidates are computed and counted
     when the operator is called.
     """
-    words = X.norm_words(F.col(text))
-    bench = benchmark.select(item_id, F.explode(X.gram_texts(words, n)).alias("gram"))
-    hashes = benchmark.select(F.explode(X.gram_hashes(words, n)).alias("h")).distinct()
-    candidates = broadcast_if_small(documents.select(doc_id, F.explode(X.gram_hashes(words, n)).alias("h")).join(
-        hashes, "h", "left_semi").select(doc_id).distinct())
-    grams = documents.join(candidates, doc_id, "left_semi").select(
-        doc_id, F.explode(X.gram_texts(words, n)).alias("gram"))
-    return grams.join(bench, "gram").groupBy(doc_id, item_id).agg(F.count(F.lit(1)).alias("shared_grams"))
+    bench = benchmark.select(item_id, F.explode(X.gram_texts(X.norm_words(F.col(text)), n)).alias("gram"))
+    return _candidate_grams(documents, benchmark, n, doc_id, text).join(bench, "gram").groupBy(doc_id, item_id).agg(
+        F.count(F.lit(1)).alias("shared_grams"))
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = ECHO_RUN, doc_id: str = "doc_id",
@@ -74,7 +78,13 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = ECHO_
 
 def contaminated_ids(documents: DataFrame, benchmark: DataFrame, n: int = ECHO_RUN, doc_id: str = "doc_id",
                      item_id: str = "item_id", text: str = "text", min_shared: int = 1) -> DataFrame:
-    """Ids of documents that share ``min_shared`` runs or more with a benchmark item; broadcast when few."""
+    """Ids of documents that share ``min_shared`` runs or more with a benchmark item; broadcast when few.
+
+    One shared run needs no pairs: documents are looked up among the distinct runs of all items.
+    """
+    if min_shared == 1:
+        runs = benchmark.select(F.explode(X.gram_texts(X.norm_words(F.col(text)), n)).alias("gram")).distinct()
+        return broadcast_if_small(_candidate_grams(documents, benchmark, n, doc_id, text).join(runs, "gram", "left_semi").select(doc_id).distinct())
     return broadcast_if_small(decontaminate_ngram(documents, benchmark, n, doc_id, item_id, text).where(
         F.col("shared_grams") >= min_shared).select(doc_id).distinct())
 

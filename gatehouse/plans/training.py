@@ -11,6 +11,7 @@ from ..operators import decontam as D
 from ..operators import pairs as P
 from ..operators import sampling as S
 from ..operators.gates import gate
+from ..session import materialise
 
 
 def preference_table(answers: DataFrame, passages: DataFrame, benchmark: DataFrame, families: list[str] | None = None,
@@ -20,9 +21,9 @@ def preference_table(answers: DataFrame, passages: DataFrame, benchmark: DataFra
     ``answers`` holds (doc_id, task_id, family, prompt, answer), ``passages`` (doc_id, text).
     Passages are read once, however many answers they have, and never enter the pair
     joins.  ``forbidden`` holds evaluation tasks (task_id, prompt): tasks with such an id
-    or prompt are left out, and the pairs are checked for both.  All pairs of a task
-    come back, with its prompt (the first, if it has several); ``rounds`` pages through
-    a hot task's.
+    or prompt are left out, and what is left is checked for both, one row per task,
+    before any pair is made.  All pairs of a task come back, with its prompt (the first,
+    if it has several); ``rounds`` pages through a hot task's.
     """
     clean = answers.join(D.contaminated_ids(passages, benchmark, min_shared=min_shared), "doc_id", "left_anti")
     if forbidden is not None:
@@ -30,9 +31,10 @@ def preference_table(answers: DataFrame, passages: DataFrame, benchmark: DataFra
     gated = gate(clean, families=families)
     archive = gated.select("task_id", "family", "answer", F.col("accepted").alias("pass"),
                            F.lit("gated").alias("file"), F.col("doc_id").alias("pos"))
-    prompts = clean.groupBy("task_id").agg(F.min("prompt").alias("prompt"))
-    pairs = P.with_system_prompt(P.preference_pairs(archive, rounds=rounds)).join(prompts, "task_id")
-    return pairs if forbidden is None else D.require_clean(pairs, forbidden)
+    prompts = materialise(clean.groupBy("task_id").agg(F.min("prompt").alias("prompt")))
+    if forbidden is not None:
+        D.require_clean(prompts, forbidden)
+    return P.with_system_prompt(P.preference_pairs(archive, rounds=rounds)).join(prompts, "task_id")
 
 
 def chat_table(caches: Mapping[str, DataFrame | None], evaluation: DataFrame, weight: Column | None = None,
