@@ -13,8 +13,9 @@ from gatehouse.functions.fixed import FAMILY_SYSTEM_PROMPTS
 from gatehouse.operators import labels as L
 from gatehouse.operators import scoring as Q
 from gatehouse.operators.decontam import hash_split
+from gatehouse.operators.routing import top_labels
 from gatehouse.plans import runs, training
-from gatehouse.session import scratch
+from gatehouse.session import materialise, scratch
 from gatehouse.sources import readers as R
 from gatehouse.sources import sinks as W
 from gatehouse.streaming import streams as S
@@ -25,7 +26,7 @@ from . import views
 from .base import duck, query
 from .gate_queries import ECHO_SQL, RUNS, SENTIMENT_SQL, SHAPE
 from .report_queries import CATEGORY, GOLDEN_PASS, _report_sql
-from .table_queries import EVAL_SQL, HELD, KEYWORD, NGRAM_SQL, ROUTE_TASKS, _evaluation
+from .table_queries import EVAL_SQL, HELD, KEYWORD, NGRAM_SQL, ROUTE_TASKS, SPLIT_SQL, _evaluation
 from .text_queries import joined
 
 c = F.col
@@ -318,16 +319,29 @@ def stream_gate(x):
 
 
 # --- learned labels ----------------------------------------------------------
-@query()
+SPLIT_OF_LABELLED = f"SELECT d.doc_id, quality, toxic, {SPLIT_SQL} AS split FROM documents d JOIN labels USING (doc_id)"
+
+
+@query(f"""SELECT label, n, positives, true AS placed, true AS useful, true AS calibrated FROM (
+  SELECT 'quality' AS label, count(*) AS n, count(*) FILTER (quality = 1) AS positives FROM ({SPLIT_OF_LABELLED}) WHERE split = 'heldout'
+  UNION ALL SELECT 'toxic', count(*), count(*) FILTER (toxic = 1) FROM ({SPLIT_OF_LABELLED}) WHERE split = 'heldout')""")
 def fit_labeller(x):
+    """Rows and positives per label on held-out rows, and whether the model keeps its word there: every row has a
+    score, its choices beat naming every row (F1, with room for few rows), and it states about as many positives as there are."""
+    labels = ["quality", "toxic"]
     rows = hash_split(x.documents.join(x.labels, "doc_id"))
     train, held = rows.where("split = 'train'"), rows.where("split = 'heldout'")
-    model = L.fit_labeller(train, ["quality", "toxic"])
-    scored = model.score_labels(held)
-    from gatehouse.operators.routing import top_labels
-    truth = held.select("doc_id", F.array_compact(F.array(F.when(c("quality") == 1, "quality"), F.when(c("toxic") == 1, "toxic"))).alias("labels"))
+    model = L.fit_labeller(train, labels)
+    scored = materialise(model.score_labels(held).select("doc_id", *labels, "scores"))
+    truth = scored.select("doc_id", F.array_compact(F.array(*(F.when(c(n) == 1, n) for n in labels))).alias("labels"))
     predicted = scored.select("doc_id", top_labels(c("scores"), model.thresholds).alias("labels"))
-    return Q.label_quality(truth, predicted, "doc_id")
+    quality = Q.label_quality(truth, predicted, "doc_id")
+    sums = L.calibration(scored, labels).groupBy("label").agg(F.sum("n").alias("n"), F.sum("positives").alias("positives"), F.sum("stated").alias("stated"))
+    n, positives = c("n"), c("positives")
+    return sums.join(quality.select("label", "f1"), "label", "left").join(held.agg(F.count(F.lit(1)).alias("rows"))).select(
+        "label", "n", "positives", (n == c("rows")).alias("placed"),
+        (F.coalesce("f1", F.lit(0.0)) >= 2 * positives / (n + positives) - 0.02 - 2 / F.sqrt(n)).alias("useful"),
+        (F.abs(c("stated") - positives) <= 0.1 * n + 2 * F.sqrt(n)).alias("calibrated"))
 
 
 # --- plans -------------------------------------------------------------------

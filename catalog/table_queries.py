@@ -350,6 +350,42 @@ def expand_templates(x):
     return out.select("o_orderkey", "template", "prompt", joined(pair).alias("spans"))
 
 
+LARGE = """SELECT lang, doc_id, l FROM documents, (SELECT unnest(range(0, 40)) AS l)"""
+
+
+@query(f"""SELECT lang, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum(l) AS BIGINT) AS copies FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('3|' || doc_id || '-' || l)) AS r FROM ({LARGE}))
+WHERE r <= CASE lang WHEN 'en' THEN 100000 WHEN 'de' THEN 3000 WHEN 'fr' THEN 1 END GROUP BY lang""")
+def quota_sample_large(x):
+    """Quotas far beyond what one task should rank."""
+    rows = x.documents.select("lang", "doc_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("l")).withColumn("key", F.concat_ws("-", "doc_id", "l"))
+    got = S.quota_sample(rows, "lang", {"en": 100000, "de": 3000, "fr": 1}, 3, "key")
+    return got.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"), F.sum("l").alias("copies"))
+
+
+BANKED = ["Which {thing} did {person} ship to {place}?", "{person} in {place} asks for {thing}."]
+
+
+def _bank(slot: str, table: str, column: str) -> str:
+    return f"""{slot}_bank AS (SELECT v, row_number() OVER (ORDER BY md5(v)) - 1 AS pos, count(*) OVER () AS size FROM (
+  SELECT DISTINCT CAST({column} AS VARCHAR) AS v FROM {table} WHERE {column} IS NOT NULL))"""
+
+
+@query(f"""WITH {_bank('person', 'supplier', 's_name')}, {_bank('place', 'nation', 'n_name')}, {_bank('thing', 'part', 'p_name')},
+z AS (SELECT 2::HUGEINT * (SELECT max(size) FROM person_bank) * (SELECT max(size) FROM place_bank) * (SELECT max(size) FROM thing_bank) AS total),
+f AS (SELECT total, CAST(round(CAST(total AS DOUBLE) * 0.6180339887498949::DOUBLE) AS BIGINT) + 11 AS near FROM z),
+g AS (SELECT total, (SELECT min(near + i) FROM range(0, 400) t(i) WHERE gcd(near + i, total::BIGINT) = 1) AS factor FROM f),
+i AS (SELECT n, ((n::HUGEINT * factor + 11 * 7919) % total)::BIGINT AS pos FROM g, range(0, 5000) t(n)),
+s AS (SELECT (SELECT max(size) FROM person_bank) AS sa, (SELECT max(size) FROM place_bank) AS sb),
+d AS (SELECT n, pos % 2 AS t, (pos // 2) % sa AS a, ((pos // 2) // sa) % sb AS b, ((pos // 2) // sa) // sb AS e FROM i, s)
+SELECT n, CAST(t AS INTEGER) AS template, replace(replace(replace(CASE t WHEN 0 THEN '{BANKED[0]}' ELSE '{BANKED[1]}' END,
+  '{{person}}', p.v), '{{place}}', l.v), '{{thing}}', h.v) AS prompt
+FROM d JOIN person_bank p ON p.pos = a JOIN place_bank l ON l.pos = b JOIN thing_bank h ON h.pos = e""")
+def expand_banks(x):
+    banks = {"person": x.supplier.select("s_name"), "place": x.nation.select("n_name"), "thing": x.part.select("p_name")}
+    return S.expand_banks(5000, BANKED, banks, seed=11).select("n", "template", "prompt")
+
+
 # --- routing -----------------------------------------------------------------
 KEYWORD = {"maths": "mathematical_reasoning", "fix_tasks": "code_debugging", "code_tasks": "code_generation",
            "reviews": "sentiment_classification"}

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column,
                 value: Column, out: str, inclusive: bool = True) -> DataFrame:
@@ -73,3 +75,52 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
 def md5_bucket(digest: Column, digits: int = 3) -> Column:
     """Bucket that follows the order of an md5 text: its leading hex digits."""
     return F.substr(digest, F.lit(1), F.lit(digits))
+
+
+EDGE = 4096
+"""Rows of an edge cell that are ranked in one task; a larger cell is counted once more by further digits."""
+
+DIGITS = 3
+"""Hex digits of a digest that a cell has: 4096 cells at a time."""
+
+
+def first_by_digest(df: DataFrame, keys: Sequence[str], limit: Column, digest: str, tie: Sequence[str] = (), rank_first: Sequence[str] = (),
+                    edge: int = EDGE) -> DataFrame:
+    """The first ``limit`` rows of each key by (``rank_first``, ``digest``, ``tie``), for limits and keys of any size.
+
+    No key meets in one task, nor do the rows that are taken: rows are counted by the leading
+    digits of their digest, a hex text, the counts are summed in order, cells before the
+    limit are taken whole, and only the one cell per key that the limit falls into is counted
+    by further digits or, when small, ranked.  ``rank_first`` has few values.  ``limit`` depends
+    on the keys alone; where it is NULL no row is taken.
+    """
+    names, out, depth = [*keys, *rank_first], [], DIGITS
+    cell = F.substr(F.col(digest), F.lit(1), F.lit(depth))
+    rows = df.withColumn("__need", limit.cast("bigint")).where("__need > 0").withColumn("__cell", cell)
+    group = [*names, "__cell"]
+    outer = list(keys)
+    while True:
+        counted = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), F.first("__need").alias("__of"))
+        before = Window.partitionBy(*outer).orderBy(*(c for c in group if c not in outer)).rowsBetween(Window.unboundedPreceding, -1)
+        left = F.col("__of") - F.coalesce(F.sum("__n").over(before), F.lit(0))
+        cells = counted.withColumn("__left", left).where("__left > 0").select(
+            *(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(group)), "__n", "__left")
+        cells = broadcast_if_small(cells)
+        same = reduce(Column.__and__, (F.col(f"`{c}`").eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(group)))
+        met = rows.join(cells, same)
+        columns = [F.col(f"`{c}`") for c in df.columns]
+        out.append(met.where("__n <= __left").select(*columns))
+        partly = met.where("__n > __left")
+        last = depth >= 32
+        small = partly if last else partly.where(F.col("__n") <= edge)
+        ranked = Window.partitionBy(*group).orderBy(digest, *tie)
+        out.append(small.withColumn("__rn", F.row_number().over(ranked)).where("__rn <= __left").select(*columns))
+        if last or cells.where((F.col("__n") > F.col("__left")) & (F.col("__n") > edge)).isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        # The cells that are left become the keys of the next round, with what they may still give.
+        depth += DIGITS
+        rows = partly.where(F.col("__n") > edge).select(*columns, F.col("__left").alias("__need"), *(F.col(c) for c in group if c.startswith("__cell")))
+        outer = list(group)
+        finer = f"__cell{depth}"
+        rows = rows.withColumn(finer, F.substr(F.col(digest), F.lit(1), F.lit(depth)))
+        group = [*group, finer]
