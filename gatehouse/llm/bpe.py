@@ -51,7 +51,7 @@ def ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
 
 @functools.cache
 def encoding(path: str) -> tiktoken.Encoding:
-    own, special = ranks(path)
+    own, special = ranks.__wrapped__(path)  # the encoding has its own copy
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=own, special_tokens=special)
 
 

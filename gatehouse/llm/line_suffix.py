@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.session import materialise
 
-from .common import WORD
+from .common import WORD, own_names
 
 MIN_WORDS = 3
 """Words that a repeated run has at least; shorter ones, such as a lone "Yes.", stay."""
@@ -158,8 +158,9 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "doc_id", F.coalesce(F.size("__deleted"), F.lit(0)).cast("bigint").alias("n_deleted"), F.coalesce(F.array_join("__deleted", ","), F.lit("")).alias("deleted"), "text")
 
 
+@own_names
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs``, same columns, with cut texts and ``n_chars`` to match; documents that lost every line with a word are dropped."""
+    """``docs``, same columns, with cut texts and ``n_chars`` to match; documents that lost every line with a word are dropped.  Other columns may have any names."""
     cut = dedupe_lines(docs, min_words).filter("__deleted IS NULL OR size(__deleted) < __lines")
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gatehouse.session import materialise
 
 from . import bpe
-from .common import arrow_map
+from .common import arrow_map, own_names
 
 Pattern = tuple[tuple[int, int], ...]
 """(length, copies) of the pieces of a sequence, in order."""
@@ -180,8 +180,14 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = 1024) -> DataFrame
 
     ``order`` names columns that tell pieces of a length apart; pieces that are equal
     in them may swap places.  Empty input gives no rows.  The pieces are checkpointed,
-    because the histogram and the placing both read them.
+    because the histogram and the placing both read them.  Columns may have any names.
     """
+    return _pack(pieces, [pieces.columns.index(c) for c in order], capacity)
+
+
+@own_names
+def _pack(pieces: DataFrame, order_at: list[int], capacity: int) -> DataFrame:
+    order = [pieces.columns[i] for i in order_at]
     spark = pieces.sparkSession
     stored = materialise(pieces)
     counts = {r.length: r.n for r in stored.groupBy("length").agg(F.count("*").alias("n")).collect()}

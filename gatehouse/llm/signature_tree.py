@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.session import broadcast_if_small, materialise
 
-from .common import arrow_map
+from .common import arrow_map, hand_back, own_names
 from .components import components
 
 CACHED = 300_000
@@ -57,6 +57,11 @@ PARTS = 1 << 24
 """Block numbers of a size band."""
 
 _WORDS: dict[bytes, int] = {}
+"""Hashes of words of the running task."""
+
+
+def _forget() -> None:
+    _WORDS.clear()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -144,7 +149,7 @@ def features(docs: DataFrame, n: int, percent: int) -> DataFrame:
         return {"doc_id": batch.column(0), "n_shingles": [len(s) for s in sets], "v": [d[0] for d in digests], "check": [d[1] for d in digests],
                 "signatures": [sign(s, percent).astype(np.int64) if len(s) else [] for s in sets]}
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, v bigint, check bigint, signatures array<bigint>")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, v bigint, check bigint, signatures array<bigint>", _forget)
 
 
 class Tree:
@@ -154,11 +159,11 @@ class Tree:
         sizes = np.array([len(s) for s in sets], np.int64)
         bits = max(512, 1 << int(2 * sizes.max() - 1).bit_length())
         self.bits = min(bits, 1 << 16)
-        maps = np.zeros((len(sets), self.bits), bool)
+        packed = np.zeros((len(sets), self.bits // 64), np.uint64)
         for i, s in enumerate(sets):
-            maps[i, (s % np.uint64(self.bits)).astype(np.int64)] = True
-        hidden = sizes - maps.sum(1)
-        packed = np.packbits(maps, axis=1).view(np.uint64)
+            at = s % np.uint64(self.bits)
+            np.bitwise_or.at(packed[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        hidden = sizes - np.bitwise_count(packed).sum(1, dtype=np.int64)
         self.levels = [(packed, sizes, sizes, hidden)]
         self.spans = [[(i, i + 1) for i in range(len(sets))]]
         width = LEAF
@@ -196,14 +201,10 @@ def linked_groups(sets: list[np.ndarray], percent: int, start: np.ndarray | None
         a, b = sets[i], sets[j]
         if group[i] == group[j] or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
             return
-        shared = len(a) + len(b) - len(np.union1d(a, b))
+        shared = int((b[np.minimum(b.searchsorted(a), len(b) - 1)] == a).sum())
         if 100 * shared >= percent * (len(a) + len(b) - shared):
             group[group == group[j]] = group[i]
 
-    for i in range(1, n):
-        link(i - 1, i)
-    for i in range(1, n):
-        link(0, i)
     top = len(tree.levels) - 1
     todo = [(top, 0, 0)]
     while todo:
@@ -211,15 +212,18 @@ def linked_groups(sets: list[np.ndarray], percent: int, start: np.ndarray | None
         (a, b), (c, d) = tree.spans[level][x], tree.spans[level][y]
         if group[a] == group[c] and (group[a:b] == group[a]).all() and (group[c:d] == group[a]).all():
             continue
-        if level == 0:
-            if x != y:
-                link(x, y)
-            continue
         w, size = tree.width(level), len(tree.spans[level - 1])
         xs, ys = np.arange(x * w, min((x + 1) * w, size)), np.arange(y * w, min((y + 1) * w, size))
-        for i, j in zip(*np.nonzero(tree.possible(level - 1, xs, ys, percent))):
-            if xs[i] <= ys[j]:
-                todo.append((level - 1, xs[i], ys[j]))
+        maybe = tree.possible(level - 1, xs, ys, percent) & (xs[:, None] <= ys)
+        if level == 1:
+            maybe &= group[xs][:, None] != group[ys]
+        pairs = [(xs[i], ys[j]) for i, j in zip(*np.nonzero(maybe))]
+        if level == 1:
+            for i, j in pairs:
+                link(i, j)
+            continue
+        # The nearest pairs come off the stack first: what they join need not be compared again.
+        todo += ((level - 1, i, j) for i, j in sorted(pairs, key=lambda p: p[0] - p[1]))
     return group[inverse]
 
 
@@ -253,6 +257,7 @@ def _joined_blocks(rows: DataFrame, percent: int) -> DataFrame:
             least = np.full(len(v), np.iinfo(np.int64).max)
             np.minimum.at(least, group, labels)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(label, pa.int64()), pa.array(least[group], pa.int64())], names=["v", "label", "joined"])
+        hand_back()
 
     placed = rows.repartition("cluster", "block", "part").sortWithinPartitions("cluster", "block", "part", "v")
     return placed.select("cluster", "block", "part", "v", "label", "shingles").mapInArrow(run, "v bigint, label bigint, joined bigint")
@@ -276,7 +281,7 @@ def _sets(docs: DataFrame, placed: DataFrame, n: int) -> DataFrame:
 
     wanted = broadcast_if_small(placed.select("v", "cluster", "band", "block", "least_id"))
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("v", "cluster", "band", "block", "text")
-    return arrow_map(texts, run, "v bigint, cluster bigint, band bigint, block bigint, shingles binary")
+    return arrow_map(texts, run, "v bigint, cluster bigint, band bigint, block bigint, shingles binary", _forget)
 
 
 def _open_clusters(docs: DataFrame, placed: DataFrame, n: int, percent: int, block_shingles: int) -> DataFrame:
@@ -348,12 +353,14 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90, block_shingl
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
+@own_names
 def keep_one_of_each(docs: DataFrame, n: int, percent: int, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``docs`` with one row of each component, and all rows without words.
 
     The row kept is one of the smallest doc_id, which null follows, and of its smallest
     digest; of rows equal in both the smallest one.  Ids alone decide where all rows of
     an id go or all stay; only rows of other ids, null among them, are digested again.
+    Other columns may have any names.
     """
     feats, roots = _linked(docs, n, percent, block_shingles)
     own = feats.filter(F.col("v").isNotNull()).groupBy("v").agg(F.min("doc_id").alias("least_id"))

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from gatehouse.session import materialise
 
+from .common import own_names
+
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Madame", "Frau", "Señora")
 MALE_TITLES = ("Mr", "Herr", "Señor", "Monsieur")
 OTHER_TITLES = ("Dr", "Prof")
@@ -244,8 +246,9 @@ def surrogate_report(docs: DataFrame, key: str) -> DataFrame:
     return replace_entities(docs.select("doc_id", "text"), key).select("doc_id", F.col("__entities").alias("n_entities"), "text")
 
 
+@own_names
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """``docs``, same columns, with surrogates in ``text`` and ``n_chars`` to match."""
+    """``docs``, same columns, with surrogates in ``text`` and ``n_chars`` to match.  Other columns may have any names."""
     new = replace_entities(docs, key)
     if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.when(F.col("__entities") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, hand_back
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BITS = 18
@@ -141,7 +141,10 @@ def score_text(model: Model, text: str, cache: dict[str, tuple[int, ...]]) -> fl
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    return fit(training_rows(docs, labels, max_labelled))
+    try:
+        return fit(training_rows(docs, labels, max_labelled))
+    finally:
+        hand_back()  # the sample was the driver's
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -162,5 +165,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
         for batch in batches:
             text = batch.schema.get_field_index("text")
             yield batch.filter(pa.array([score_text(model, t or "", cache) < threshold for t in batch.column(text).to_pylist()], pa.bool_()))
+        cache.clear()
+        hand_back()
 
     return docs.mapInArrow(run, docs.schema)

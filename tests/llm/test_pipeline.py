@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gatehouse.llm import signature_tree, toxicity
+from gatehouse.llm import packing, signature_tree, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -51,3 +51,23 @@ def test_run_packs_every_document(spark):
         used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
     assert rows and max(used.values()) <= 1024
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "pii", "packing"]
+
+
+def test_stages_leave_columns_with_helper_names_alone(spark):
+    """A table may have columns that are called as the stages' own helpers are."""
+    texts = ["one two three four five six\nMrs Clara Smith came, call 555-010-9999 or write a.b@example.org", "one two three four five six\nseven eight nine ten", "plain words of a text that has no copy", None, ""]
+    names = ["__text", "__deleted", "__lines", "__id", "__th", "__entities", "__pattern", "__found", "__digest", "__titled", "__at", "__entity", "__new",
+             "__v", "__least", "__chosen", "__row", "__bucket", "__rank", "__length", "own__text"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rich = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names))
+    stages = (corpus_pipeline.drop_repeated_lines, corpus_pipeline.keep_one_of_each_group, corpus_pipeline.replace_personal_data)
+    for stage in stages:
+        want = {r.doc_id: r.text for r in stage(spark, docs, SF).collect()}
+        got = stage(spark, rich, SF)
+        assert got.columns == rich.columns
+        for r in got.collect():
+            assert r.text == want[r.doc_id] and all(r[n] == f"{n}{r.doc_id}" for n in names)
+        assert got.count() == len(want)
+    pieces = spark.createDataFrame([(i, 100 + i) for i in range(30)], "__rank int, length int").withColumn("__bucket", F.lit("own"))
+    packed = packing.pack(pieces, ["__rank"], 1024)
+    assert packed.columns == [*pieces.columns, "sequence_id", "offset"] and sorted(r["__rank"] for r in packed.collect()) == list(range(30))
