@@ -27,31 +27,44 @@ from pyspark.sql import functions as F
 
 from gatehouse.session import broadcast_if_small, materialise, scratch
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-"""A term: a longest run of ASCII letters and characters beyond ASCII."""
+from .common import arrow_map
 
-MARK = "\x00"
-"""Stands between a term's language and its letters; alone it is the term that keeps the vocabulary from being empty."""
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+"""Bytes of UTF-8 text as terms have them: A-Z lower-cased, other letters and bytes beyond ASCII as they are, the rest blanks."""
+
+MARK, NEXT = b"\0", b"\1"
+"""Between a term's language and its letters, and before each term.  The mark alone is the term that keeps the vocabulary from being empty."""
 
 LARGEST = 2**31 - 1
 SCALE = 1_000_000_000
 """Shares are parts of this whole."""
 
+SMALL = 9_000_000_000
+"""Counts below this times ``SCALE`` are whole numbers of 64 bits."""
+
 TILE = 64
 BLOCK = 512
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+def tagged_terms(rows: DataFrame) -> DataFrame:
+    """group, terms: every term of a text in order, with its language in front (in hex, so that it may hold any character)."""
+    def run(batch):
+        out = []
+        for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            words, tag = text.encode().translate(FOLD).split(), lang.encode().hex().encode() + MARK
+            out.append(tag + (NEXT + tag).join(words) if words else b"")
+        return {"group": batch.column(0), "terms": out}
 
-
-def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
+    joined = arrow_map(rows.select("group", "lang", "text"), run, "group bigint, terms string")
+    return joined.select("group", F.when(F.col("terms") == "", F.array().cast("array<string>")).otherwise(F.split("terms", NEXT.decode())).alias("terms"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
-    """The smoothed share of a term, at least one; decimals, so that no product overflows."""
+    """The smoothed share of a term, at least one; decimals where the product would overflow."""
     def wide(c):
         return c.cast("decimal(19,0)")
-    return F.lit(1) + F.call_function("div", wide(count + 2) * F.lit(SCALE).cast("decimal(10,0)"), wide(total + 2 * kept))
+    whole = total + 2 * kept
+    small = F.call_function("div", (F.when(count < SMALL, count + 2)) * SCALE, whole)
+    return F.lit(1) + F.when(count < SMALL, small).otherwise(F.call_function("div", wide(count + 2) * F.lit(SCALE).cast("decimal(10,0)"), wide(whole)))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -60,31 +73,33 @@ def distance(p: Column, q: Column) -> Column:
 
 # --- counting ----------------------------------------------------------------
 def cells(rows: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, index, n, lang_n) of the kept terms of every group, and the (index, term) vocabulary."""
+    """(group, index, n, lang_n, lead) of the kept terms of every group, and the (index, term) vocabulary.
+
+    ``rows`` holds (group, lang, text).  ``lead`` marks one cell of each term.
+    """
     spark = rows.sparkSession
-    tagged = rows.select("lang", "source", F.transform(terms(F.col("text")), lambda t: F.concat(F.col("lang"), F.lit(MARK), t)).alias("terms"))
+    tagged = tagged_terms(rows)
     # A term that nobody has: the vectorizer refuses an empty vocabulary.
-    spare = spark.range(min_docs).select(F.array(F.lit(MARK)).alias("terms"))
+    spare = spark.range(min_docs).select(F.array(F.lit(MARK.decode())).alias("terms"))
     model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=LARGEST).fit(tagged.select("terms").unionByName(spare))
     path = scratch(spark, "vocabulary")
     model.save(path)
     vocabulary = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "tagged")).select(
-        "index", F.substring_index("tagged", MARK, -1).alias("term"))
+        "index", F.substring_index("tagged", MARK.decode(), -1).alias("term"))
     vector = F.unwrap_udt("vector")
-    found = model.transform(tagged).select("lang", "source", F.explode(F.arrays_zip(
-        vector["indices"].alias("index"), vector["values"].alias("n"))).alias("e"))
-    sums = found.groupBy("lang", "source", F.col("e.index").alias("index")).agg(F.sum(F.col("e.n").cast("bigint")).alias("n"))
+    found = model.transform(tagged).select("group", F.inline(F.arrays_zip(vector["indices"].alias("index"), vector["values"].alias("n"))))
+    sums = found.groupBy("group", "index").agg(F.sum(F.col("n").cast("bigint")).alias("n"))
     # An index belongs to one language, so its groups are that language's sources.
     of_term = Window.partitionBy("index")
-    return materialise(sums.select("*", F.sum("n").over(of_term).alias("lang_n"), (F.min("source").over(of_term) == F.col("source")).alias("lead"))), vocabulary
+    return materialise(sums.select("*", F.sum("n").over(of_term).alias("lang_n"), (F.min("group").over(of_term) == F.col("group")).alias("lead"))), vocabulary
 
 
-def groups(rows: DataFrame, found: DataFrame) -> DataFrame:
+def groups(named: DataFrame, found: DataFrame) -> DataFrame:
     """Every occurring (lang, source): its number and tile within the language, kept terms of the language, totals, and an absent term's share."""
-    of_group = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    of_lang = found.groupBy("lang").agg(F.count_if("lead").alias("kept"), F.sum("n").alias("lang_total"))
-    every = rows.select("lang", "source").distinct().join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left").na.fill(0)
-    numbered = every.withColumn("number", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
+    of_group = named.join(found.groupBy("group").agg(F.sum("n").alias("total"), F.count_if("lead").alias("leads")), "group", "left").na.fill(0, ["total", "leads"])
+    of_lang = Window.partitionBy("lang")
+    every = of_group.withColumn("kept", F.sum("leads").over(of_lang)).withColumn("lang_total", F.sum("total").over(of_lang)).drop("leads")
+    numbered = every.withColumn("number", F.row_number().over(of_lang.orderBy("source")) - 1)
     return materialise(numbered.withColumn("tile", F.floor(F.col("number") / TILE)).withColumn(
         "absent", F.when(F.col("kept") > 0, share(F.lit(0), F.col("total"), F.col("kept")))))
 
@@ -133,8 +148,8 @@ def pair_sums(found: DataFrame, known: DataFrame) -> DataFrame:
     """lang, a, b (numbers, a before b), value and seen: sums over all terms that one of the two has."""
     tiles = known.groupBy("lang").agg((F.max("tile") + 1).alias("tiles"))
     info = broadcast_if_small(known.filter("kept > 0").join(tiles, "lang").select(
-        "lang", "source", "number", "tile", "tiles", "total", "kept", "absent", F.ceil(F.col("kept") / BLOCK).alias("blocks")))
-    real = found.join(info, ["lang", "source"]).select(
+        "group", "lang", "number", "tile", "tiles", "total", "kept", "absent", F.ceil(F.col("kept") / BLOCK).alias("blocks")))
+    real = found.join(info, "group").select(
         "lang", "number", "tile", "tiles", F.pmod(F.col("index").cast("bigint"), "blocks").alias("block"), F.col("index").cast("bigint").alias("index"),
         share(F.col("n"), F.col("total"), F.col("kept")).alias("p"))
     marks = info.select("lang", "number", "tile", "tiles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
@@ -159,9 +174,9 @@ def pairs(found: DataFrame, known: DataFrame) -> DataFrame:
 # --- terms -------------------------------------------------------------------
 def leading_terms(found: DataFrame, known: DataFrame, vocabulary: DataFrame, top: int) -> DataFrame:
     """lang, source, item (term), value, rank of the ``top`` terms that a group uses more than its language."""
-    info = broadcast_if_small(known.select("lang", "source", "total", "kept", "lang_total"))
+    info = broadcast_if_small(known.select("group", "lang", "source", "total", "kept", "lang_total"))
     p, q = share(F.col("n"), F.col("total"), F.col("kept")), share(F.col("lang_n"), F.col("lang_total"), F.col("kept"))
-    more = found.join(info, ["lang", "source"]).select("lang", "source", "index", p.alias("p"), q.alias("q")).filter("p > q").select(
+    more = found.join(info, "group").select("lang", "source", "index", p.alias("p"), q.alias("q")).filter("p > q").select(
         "lang", "source", "index", distance(F.col("p"), F.col("q")).alias("value"))
     group = Window.partitionBy("lang", "source")
     # Ranks with their ties first, so that only these terms need their names.
@@ -173,8 +188,9 @@ def leading_terms(found: DataFrame, known: DataFrame, vocabulary: DataFrame, top
 def audit(docs: DataFrame, min_docs: int = 10, top: int = 10) -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value, rank."""
     rows = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    found, vocabulary = cells(rows, min_docs)
-    known = groups(rows, found)
+    named = materialise(rows.select("lang", "source").distinct().withColumn("group", F.monotonically_increasing_id()))
+    found, vocabulary = cells(rows.join(broadcast_if_small(named), ["lang", "source"]), min_docs)
+    known = groups(named, found)
     compared = pairs(found, known).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return compared.withColumn("part", F.lit("pair")).select(*columns).unionByName(

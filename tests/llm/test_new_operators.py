@@ -219,6 +219,6 @@ def test_audit_of_small_tables(spark):
 
 
 def test_shares_do_not_overflow(spark):
-    big = 4 * 10**13
-    row = spark.range(1).select(source_audit.share(F.lit(big), F.lit(3 * big), F.lit(7)).alias("p")).first()
-    assert row.p == 1 + 10**9 * (big + 2) // (3 * big + 14)
+    for n in (0, 7, source_audit.SMALL - 1, source_audit.SMALL, 4 * 10**13):
+        row = spark.range(1).select(source_audit.share(F.lit(n).cast("bigint"), F.lit(3 * n + 5).cast("bigint"), F.lit(7).cast("bigint")).alias("p")).first()
+        assert row.p == 1 + 10**9 * (n + 2) // (3 * n + 5 + 14)
