@@ -178,8 +178,8 @@ def catalog_task_sets(x):
 @query(f"SELECT task_id, answer, 'c' || conv_id AS run_id FROM {duck('turns')}")
 def write_results(x):
     path = scratch(x.spark, "results")
-    W.write_results(x.view("turns").withColumn("run_id", F.concat(F.lit("c"), "conv_id")).repartition("run_id"), path, ["run_id"])
-    return x.spark.read.schema("task_id STRING, answer STRING, run_id STRING").json(path)
+    W.write_results(x.view("turns").withColumn("run_id", F.concat(F.lit("c"), "conv_id")), path, keys=["run_id"])
+    return x.spark.read.schema("task_id STRING, answer STRING, run_id STRING, part INT").json(path).drop("part")
 
 
 @query(f"""SELECT CAST(sum(total) AS BIGINT) AS total, CAST(sum(passed) AS BIGINT) AS passed, string_agg(category || ':' || passed || '/' || total, '|' ORDER BY category) AS by_category

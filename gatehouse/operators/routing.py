@@ -12,7 +12,7 @@ from ..functions import fixed as V
 from ..functions import numbers as N
 from ..functions import text as X
 from ..functions.core import lookup, presence
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, require_bounded
 from .gates import gate_meeting_time
 from .ordering import position
 
@@ -254,8 +254,9 @@ def to_task_sheet(tasks: DataFrame, batch: Sequence[str] = ("run_id", "batch_ind
     """One text sheet per batch and task kind, with the ids it lists.
 
     ``tasks`` holds (batch keys, pos, task_id, prompt, category) of planned
-    batches, whose size is bounded.
+    batches.  A sheet is one text, so rows and bytes of a batch are counted first.
     """
+    require_bounded(tasks, batch, F.concat_ws("", "task_id", "prompt"))
     kind = F.coalesce(lookup(F.col("category"), V.SHEET_KINDS), F.lit("TASK"))
     known = lookup(F.col("category"), V.SHEET_KINDS)
     head = F.concat(F.lit("== "), F.col("task_id"), F.coalesce(F.concat(F.lit(" "), known), F.lit("")), F.lit(" ==\n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from ..functions import fixed as V
 from ..functions import numbers as N
 from ..functions import text as X
 from ..functions.core import extract_all, lookup, trim_space
+from ..session import broadcast_if_small
+from .ordering import running_sum
 
 
 # --- checks ------------------------------------------------------------------
@@ -167,12 +170,28 @@ def reject_reasons(gated: DataFrame, family: str = "family") -> DataFrame:
 
 
 def repeat_variance(runs: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
-    """Spread of a measure over repeated runs."""
+    """Spread of a measure over repeated runs, with its exact median.
+
+    Equal values are counted together first.  Their counts are summed along the values in
+    buckets of like magnitude, so no group's values meet in one task, and the median is the
+    mean of the two values in the middle.  Runs without a value count as repeats only.
+    """
     m = F.col(measure)
-    return runs.groupBy(*keys).agg(
+    spread = runs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("repeats"), F.avg(m).alias("mean"), F.stddev_samp(m).alias("stddev"),
-        F.min(m).alias("lowest"), F.max(m).alias("highest"),
-        F.percentile_approx(m, 0.5, 10000).alias("median"))
+        F.min(m).alias("lowest"), F.max(m).alias("highest"), F.count(m).alias("__valued"))
+    counted = runs.where(m.isNotNull()).groupBy(*keys, m.alias("__m")).agg(F.count(F.lit(1)).alias("__n"))
+    magnitude = F.signum("__m") * F.floor(F.log2(F.abs("__m") + 1) * 64)
+    summed = running_sum(counted, keys, ["__m"], magnitude, F.col("__n"), "__upto")
+    small = broadcast_if_small(spread)
+    named = [F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]
+    same = reduce(Column.__and__, (F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    below = F.col("__upto") - F.col("__n")
+    holds = [(below < at) & (F.col("__upto") >= at) for at in (F.floor((F.col("__valued") + 1) / 2), F.floor(F.col("__valued") / 2) + 1)]
+    middle = summed.select(*named, "__m", "__n", "__upto").join(small, same).where(holds[0] | holds[1]).groupBy(*keys).agg(
+        ((F.min("__m") + F.max("__m")) / 2).alias("__median"))
+    found = middle.select(*named, F.col("__median").alias("median"))
+    return small.join(found, same, "left").drop("__valued", *(f"__k{i}" for i in range(len(keys))))
 
 
 # --- comparisons -------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,3 +72,23 @@ def broadcast_if_small(keys: DataFrame, max_rows: int = BROADCAST_ROWS, max_byte
     width = reduce(Column.__add__, (F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(1)) for c in stored.columns))
     found = stored.agg(F.count("*").alias("n"), F.sum(width.cast("bigint")).alias("bytes")).first()
     return F.broadcast(stored) if found.n <= max_rows and (found.bytes or 0) <= max_bytes else stored
+
+
+GROUP_ROWS = 100_000
+"""Most rows that may be collected into one value, such as the tasks of a batch."""
+
+GROUP_BYTES = 64_000_000
+"""Most bytes of text that may be collected into one value."""
+
+
+def require_bounded(rows: DataFrame, keys: Sequence[str], payload: Column, max_rows: int = GROUP_ROWS, max_bytes: int = GROUP_BYTES) -> DataFrame:
+    """``rows``, checked: no group of ``keys`` has more rows or ``payload`` bytes than may be collected into one value.
+
+    Groups are counted by an aggregate with map-side combine; a group beyond a bound is an
+    error that names it, before any task collects it.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.octet_length(payload).cast("bigint")).alias("bytes"))
+    worst = sizes.where((F.col("n") > max_rows) | (F.col("bytes") > max_bytes)).first()
+    if worst is not None:
+        raise ValueError(f"{dict(zip(keys, worst))} has {worst.n} rows with {worst.bytes} bytes; at most {max_rows} rows and {max_bytes} bytes become one value")
+    return rows

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,28 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     return path
 
 
-def write_results(results: DataFrame, path: str, partition_by: Sequence[str] = (), **options) -> str:
-    """(task_id, answer) rows as JSON lines."""
-    return write_table(results.select("task_id", "answer", *partition_by), path, "json", partition_by, **options)
+def write_results(results: DataFrame, path: str, partition_by: Sequence[str] = (), keys: Sequence[str] = (), folders: int = 64, **options) -> str:
+    """(task_id, answer) rows as JSON lines.
+
+    ``partition_by`` is for columns with few values, such as a date: each value is a folder.
+    ``keys``, such as a run, may have any number of values: they stay in the rows, which go to
+    ``folders`` folders named ``part=...`` by the hash of their keys, so that a reader of one
+    key opens one folder.  A key with many rows is written by several tasks.
+    """
+    rows = results.select("task_id", "answer", *keys, *partition_by)
+    if keys:
+        rows = rows.withColumn("part", folder_of(folders, *keys)).repartition("part", F.pmod(F.xxhash64("task_id"), F.lit(SLICES)))
+        partition_by = [*partition_by, "part"]
+    return write_table(rows, path, "json", partition_by, **options)
+
+
+SLICES = 8
+"""Tasks, and so files, that write a folder of results."""
+
+
+def folder_of(folders: int, *keys: str) -> Column:
+    """Number of the folder that holds the rows of a key."""
+    return F.pmod(F.xxhash64(*keys), F.lit(folders)).cast("int")
 
 
 def write_report(report: DataFrame, path: str, **options) -> str:

@@ -1,15 +1,17 @@
 """Operators against brute force on small fixtures, hot keys included."""
 
 import random
+import statistics
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from gatehouse import session
 from gatehouse.functions import budgets, code, hashing, numbers, replies, text
 from gatehouse.operators import decontam, ordering, pairs, retrieval, rewards, routing, scoring, telemetry
 from gatehouse.plans import training
-from gatehouse.sources import readers
+from gatehouse.sources import readers, sinks
 
 c = F.col
 
@@ -264,3 +266,32 @@ def test_tool_traces_are_a_list_on_the_latest_call(spark):
     traces = spark.createDataFrame([(0, ["a", "b"], 1, "second"), (0, ["a", "b"], 0, "first"), (5, ["a"], 0, "nobody's")], "turn INT, task_ids ARRAY<STRING>, index INT, trace STRING")
     got = {r.call_id: r.traces for r in routing.attach_tool_traces(calls, traces).collect()}
     assert got == {1: None, 2: ["first", "second"], 3: None, 4: None}
+
+
+def test_median_is_exact_with_a_hot_key_ties_and_nulls(spark):
+    rng = random.Random(4)
+    rows = [("hot" if i % 3 else f"k{i % 5}", rng.choice([None, rng.randrange(-50, 50), rng.randrange(10**9)])) for i in range(2000)]
+    rows += [(None, 5), (None, 8), ("none", None)]
+    got = {r.k: (r.repeats, r.median) for r in scoring.repeat_variance(spark.createDataFrame(rows, "k STRING, v BIGINT"), ["k"], "v").collect()}
+    held = defaultdict(list)
+    for k, v in rows:
+        held[k].append(v)
+    want = {k: (len(vs), statistics.median(x) if (x := [v for v in vs if v is not None]) else None) for k, vs in held.items()}
+    assert got == want
+
+
+def test_a_group_beyond_its_bound_is_an_error(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "yy"), ("b", "z")], "k STRING, v STRING")
+    assert session.require_bounded(rows, ["k"], c("v"), max_rows=2, max_bytes=3).count() == 3
+    for bounds in ({"max_rows": 1}, {"max_bytes": 2}):
+        with pytest.raises(ValueError, match="'k': 'a'"):
+            session.require_bounded(rows, ["k"], c("v"), **bounds)
+
+
+def test_results_of_many_runs_share_folders(spark, tmp_path):
+    rows = spark.range(500).select(c("id").cast("string").alias("task_id"), F.lit("x").alias("answer"), F.concat(F.lit("r"), c("id") % 90).alias("run_id"))
+    path = sinks.write_results(rows, str(tmp_path / "out"), keys=["run_id"], folders=4)
+    back = spark.read.schema("task_id STRING, answer STRING, run_id STRING, part INT").json(path)
+    assert sorted(values(back, "task_id", "answer", "run_id")) == sorted(values(rows, "task_id", "answer", "run_id"))
+    assert back.select("part").distinct().count() <= 4
+    assert back.where(c("part") != sinks.folder_of(4, "run_id")).count() == 0
