@@ -3,6 +3,7 @@
 Entities are found by patterns.  Each distinct entity of the corpus gets one
 surrogate, derived from a secret key: digits for digits, letters for letters of the
 same script and case, octets for octets, given names of the same gender and script.
+Card numbers and IBANs are found, and drawn, with right check digits.
 So an entity reads the same wherever it stands.  Surrogates that two entities share,
 or that are an entity of the corpus, are drawn again until none is left.
 
@@ -20,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.functions.core import bind
 from gatehouse.session import materialise
 
 from .common import own_names
@@ -37,23 +39,31 @@ SYLLABLES = {"Latin": ("ba", "do", "fe", "ga", "ki", "lo", "mu", "na", "po", "ra
              "Cyrillic": ("ба", "во", "га", "де", "ки", "ло", "му", "на", "по", "ра", "се", "ти", "фо", "хи", "ша", "зу")}
 
 _TITLE = "(?:" + "|".join((*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES)) + ")"
+_GROUP = "[0-9A-Fa-f]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "SECRET": r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32,}(?![0-9A-Fa-f])|(?<=[=:\"' ])(?=[A-Za-z0-9_-]{12})(?<=[=:]\s{0,3}[\"']?)(?<=(?i:token|secret|password|api.?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_-]{12,}",
     "IBAN": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "PHONE": r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
+    "IPV6": rf"(?<![0-9A-Fa-f:])(?:{_GROUP}:){{7}}{_GROUP}(?![0-9A-Fa-f:])|(?<![0-9A-Fa-f:])(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{{3}})(?=[A-Fa-f:]*[0-9])(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}}(?![0-9A-Fa-f:])",
     "IP": r"(?<![\d.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?!\.?\d)",
     "SSN": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "CARD": r"(?<!\p{N})(?:\d{13,19}|\d{4}[ -]\d{4}(?:[ -]\d{4}){2}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?!\p{N})",
     "NAME": r"(?<= )(?=\p{Lu}\p{Ll})(?<=\b" + _TITLE + r"\.? )\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)?",
 }
-"""Entity kinds in order of preference, as Java patterns."""
+"""Entity kinds in order of preference, as Java patterns; cards and IBANs must pass their check digits besides."""
+
+PHONE_DIGITS = 10
+"""Last digits that tell phone numbers apart: what stands before is a country code, which some mentions leave out, and stays."""
 
 ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 TITLED = rf"\b({_TITLE})\.? (\p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?)"
 """A title and the name after it."""
 
+SECRET_WORD = "(?i:token|secret|password|api.?key)"
+"""What introduces a secret."""
+
 MAX_ROUNDS = 20
 
 
@@ -78,16 +88,37 @@ def _family(name: Column) -> Column:
 
 def may_hold(text: Column) -> Column:
     """A quick test that every text with an entity passes: a digit, an at sign, a title, or what a secret of letters has."""
-    return text.rlike("[0-9@]") | _titled(text) | text.rlike("(?i:token|secret|password|api.?key)|[A-Fa-f]{32}")
+    return text.rlike("[0-9@]") | _titled(text) | text.rlike(SECRET_WORD + "|[A-Fa-f]{32}")
 
 
 def _titled(text: Column) -> Column:
     return reduce(Column.__or__, (text.contains(t) for t in (*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES)))
 
 
+def _luhn_sum(digits: Column, doubled: int) -> Column:
+    """Luhn sum of a text of digits; the last digit is doubled for ``doubled`` = 0, the one before it for 1."""
+    return F.aggregate(F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.struct(c.cast("int").alias("d"), i.alias("i"))), F.lit(0), lambda acc, x: acc + F.when(
+        x["i"] % 2 == doubled, 2 * x["d"] - F.when(x["d"] > 4, 9).otherwise(0)).otherwise(x["d"]))
+
+
+def _mod97(text: Column) -> Column:
+    """Remainder by 97 of lower-case letters and digits, read as a number with a = 10 to z = 35."""
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda acc, c: F.when(
+        c.rlike("[0-9]"), acc * 10 + c.cast("int")).otherwise(acc * 100 + F.ascii(c) - 87) % 97)
+
+
+def is_entity(entity: Column) -> Column:
+    """False for what looks like a card or an IBAN and fails its check digits."""
+    value = F.lower(F.regexp_replace(entity, "[^0-9A-Za-z]", ""))
+    kind = _kind(entity)
+    moved = F.concat(F.substr(value, F.lit(5)), F.substr(value, F.lit(1), F.lit(4)))
+    return F.when(kind == "CARD", _luhn_sum(value, 1) % 10 == 0).when(kind == "IBAN", _mod97(moved) == 1).otherwise(True)
+
+
 def _kind(entity: Column) -> Column:
     """Kind by the entity's own look."""
     return (F.when(entity.contains("@"), "EMAIL")
+            .when(entity.rlike("^[0-9A-Fa-f:]+$") & entity.contains(":"), "IPV6")
             .when(entity.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "IP")
             .when(entity.rlike(r"^\d{3}-\d{2}-\d{4}$"), "SSN")
             .when(entity.rlike(r"^[+(]"), "PHONE")
@@ -99,8 +130,10 @@ def _kind(entity: Column) -> Column:
 
 
 def _canonical(kind: Column, entity: Column) -> Column:
-    """What makes two mentions one entity: case and, but for addresses, separators do not count."""
-    return F.when(kind.isin("EMAIL", "IP", "NAME"), F.lower(entity)).when(kind == "SECRET", entity).otherwise(F.lower(F.regexp_replace(entity, r"[^\p{L}\p{N}]", "")))
+    """What makes two mentions one entity: case and, but for addresses, separators do not count, nor does a phone number's country code."""
+    plain = F.lower(F.regexp_replace(entity, r"[^\p{L}\p{N}]", ""))
+    return (F.when(kind.isin("EMAIL", "IP", "IPV6", "NAME"), F.lower(entity)).when(kind == "SECRET", entity)
+            .when(kind == "PHONE", F.right(plain, F.lit(PHONE_DIGITS))).otherwise(plain))
 
 
 def _pick(values: tuple[str, ...], at: Column) -> Column:
@@ -134,9 +167,13 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     value, n = F.col("value"), F.length("value")
     fixed_from = F.when(F.col("kind") == "EMAIL", n - F.length(F.substring_index("value", ".", -1))).otherwise(n)
     fixed_to = F.when(F.col("kind") == "IBAN", 2).otherwise(0)
-    hex_only = (F.col("kind") == "SECRET") & value.rlike("^[0-9A-Fa-f]+$")
+    hex_only = (F.col("kind") == "IPV6") | (F.col("kind") == "SECRET") & value.rlike("^[0-9A-Fa-f]+$")
     by_letter = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.when((i > fixed_from) | (i <= fixed_to), F.substr(value, i, F.lit(1)))
                                          .otherwise(_letter(F.substr(value, i, F.lit(1)), _byte(i), hex_only))), "")
+    number = F.substr(by_letter, F.lit(1), n - 1)
+    card = F.concat(number, (F.pmod(10 - _luhn_sum(number, 0) % 10, F.lit(10))).cast("string"))
+    country, account = F.substr(value, F.lit(1), F.lit(2)), F.substr(by_letter, F.lit(5))
+    iban = F.concat(country, F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(i) % 254 + 1).cast("string")), ".")
 
     def name(script: str) -> Column:
@@ -152,7 +189,8 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
 
     names = F.when(value.rlike(r"\p{IsCyrillic}"), name("Cyrillic")).otherwise(name("Latin"))
     return entities.withColumn("stream", stream).withColumn(
-        "surrogate", F.when(F.col("kind") == "IP", octets).when(F.col("kind") == "NAME", names).otherwise(by_letter)).drop("stream")
+        "surrogate", F.when(F.col("kind") == "IP", octets).when(F.col("kind") == "NAME", names).when(F.col("kind") == "CARD", card).when(F.col("kind") == "IBAN", iban)
+        .otherwise(by_letter)).drop("stream")
 
 
 def surrogate_table(found: DataFrame, key: str) -> DataFrame:
@@ -191,14 +229,15 @@ def _distinct(todo: DataFrame, unlike: DataFrame, good: DataFrame | None, key: s
 
 
 def _rendered(kind: Column, entity: Column, surrogate: Column) -> Column:
-    """The surrogate in the mention's own case and separators."""
+    """The surrogate in the mention's own case and separators; what a mention has before it, a country code, stays."""
     def place(acc: Column, c: Column) -> Column:
         new = F.substr(surrogate, acc.n + 1, F.lit(1))
         cased = F.when(c.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)
-        used = (kind == "EMAIL") | c.rlike(r"[\p{L}\p{N}]")
-        return F.struct(F.concat(acc.out, F.when(used, cased).otherwise(c)).alias("out"), (acc.n + F.when(used, 1).otherwise(0)).alias("n"))
+        used = kind.isin("EMAIL", "IPV6") | c.rlike(r"[\p{L}\p{N}]")
+        return F.struct(F.concat(acc.out, F.when(used & (acc.n >= 0), cased).otherwise(c)).alias("out"), (acc.n + F.when(used, 1).otherwise(0)).alias("n"))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
+    own = F.length(F.regexp_replace(entity, r"[^\p{L}\p{N}]", ""))
+    start = F.struct(F.lit("").alias("out"), F.when(kind == "PHONE", F.length(surrogate) - own).otherwise(0).alias("n"))
     by_letter = F.aggregate(F.split(entity, ""), start, place, lambda a: a.out)
     return F.when(kind == "IP", surrogate).when(kind == "SECRET", surrogate).when(kind == "NAME", F.initcap(surrogate)).otherwise(by_letter)
 
@@ -215,27 +254,39 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     and their family names, in the same case, are replaced there without a title too.  A
     given name alone, or a name that no title introduces in its text, stays.  The gender of
     a full name is its title's.  One entity with titles of both genders counts as male.
+    Numbers that look like cards or IBANs and fail their check digits stay.  Two ways to
+    shorten one IPv6 address count as two.
     """
     marked = docs.withColumn("__pattern", F.when(may_hold(F.col("text")), pattern(F.col("text"))))
     marked = marked.withColumn("__found", F.regexp_extract_all(F.col("text"), F.col("__pattern"), F.lit(0)))
-    has = F.coalesce(F.size("__found") > 0, F.lit(False))
+    # A secret may look like a card or an IBAN; what introduces it decides, not its digits.
+    secrets = F.when(F.col("text").rlike(SECRET_WORD), F.regexp_extract_all(F.col("text"), F.lit(PATTERNS["SECRET"]), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    # Bound, so that the text is searched for them once and not for each span.
+    judged = bind(secrets, lambda known: F.transform("__found", lambda e: F.struct(e.alias("entity"), (is_entity(e) | F.array_contains(known, e)).alias("counts"))))
+    marked = marked.withColumn("__found", judged)
+    has = F.coalesce(F.exists("__found", lambda e: e.counts), F.lit(False))
     digest = F.xxhash64("text")
     titles, names = (F.when(_titled(F.col("text")), F.regexp_extract_all(F.col("text"), F.lit(TITLED), F.lit(n))) for n in (1, 2))
     titled = F.arrays_zip(titles.alias("title"), names.alias("name"))
+    # Spans and titles once: the texts are not looked through again for them.
     keyed = marked.filter(has).select(F.col("doc_id").alias("__id"), digest.alias("__digest"), "__found", titled.alias("__titled")).distinct()
-    mention = keyed.select("__id", "__digest", F.posexplode("__found").alias("__at", "__entity"))
-    kind = _kind(F.col("__entity"))
-    mention = mention.withColumn("kind", kind).withColumn("value", _canonical(F.col("kind"), F.col("__entity")))
+    keyed = materialise(keyed)
+    span = keyed.select("__id", "__digest", F.posexplode("__found").alias("__at", "e")).select("__id", "__digest", "__at", F.col("e.entity").alias("__entity"), "e.counts")
+    stays = span.filter("NOT counts").select("__id", "__digest", "__at", F.col("__entity").alias("new"), F.lit(0).alias("one"))
+    kind = F.when(is_entity(F.col("__entity")), _kind(F.col("__entity"))).otherwise("SECRET")
+    mention = span.filter("counts").withColumn("kind", kind).withColumn("value", _canonical(F.col("kind"), F.col("__entity")))
     genders = keyed.select(F.explode("__titled").alias("t")).select(
         F.lit("NAME").alias("kind"), F.lower("t.name").alias("value"), _gender(F.col("t.title")).alias("gender"))
     found = mention.select("kind", "value", F.lit(None).cast("string").alias("gender")).unionByName(genders)
     table = surrogate_table(found, key)
-    new = (mention.join(table, ["kind", "value"]).select("__id", "__digest", "__at", _rendered(F.col("kind"), F.col("__entity"), F.col("surrogate")).alias("new"))
-           .groupBy("__id", "__digest").agg(F.transform(F.sort_array(F.collect_list(F.struct("__at", "new"))), lambda s: s.new).alias("__new")))
+    replaced = mention.join(table, ["kind", "value"]).select(
+        "__id", "__digest", "__at", _rendered(F.col("kind"), F.col("__entity"), F.col("surrogate")).alias("new"), F.lit(1).alias("one"))
+    new = replaced.unionByName(stays).groupBy("__id", "__digest").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("__at", "new"))), lambda s: s.new).alias("__new"), F.sum("one").alias("__entities"))
     between = F.split("text", F.col("__pattern"), -1)
     text = F.array_join(F.flatten(F.zip_with(between, F.concat("__new", F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
     changed = (marked.filter(has).join(new, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")))
-               .withColumn("text", text).withColumn("__entities", F.size("__new").cast("bigint")))
+               .withColumn("text", text))
     same = marked.filter(~has).withColumn("__entities", F.lit(0).cast("bigint"))
     columns = [*docs.columns, "__entities"]
     return changed.select(*columns).unionByName(same.select(*columns))

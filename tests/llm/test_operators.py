@@ -254,6 +254,52 @@ def test_secrets_of_letters_only(spark):
     assert all(s not in r.text for s in secrets for r in got.values())
 
 
+def luhn(number):
+    digits = [int(c) for c in number if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
+def mod97(iban):
+    plain = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_check_digits_decide_and_are_kept(spark):
+    texts = ["order 12345678901234 and 4845 1681 1440 7329", "4845168114407329", "12345678901234", "DE89 3704 0044 0532 0130 00 and DE88 3704 0044 0532 0130 00",
+             "password: 1234567890123 stays no secret", "GB82WEST12345698765432"]
+    got = [r.text for r in surrogates.surrogate_report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "k").orderBy("doc_id").collect()]
+    card = got[0].removeprefix("order 12345678901234 and ")
+    assert luhn(card) and card.replace(" ", "") == got[1] != texts[1] and [len(p) for p in card.split()] == [4] * 4
+    assert got[2] == texts[2]
+    iban, other = got[3].split(" and ")
+    assert mod97(iban) and iban[:2] == "DE" and len(iban) == 27 and iban != texts[3][:27] and other == "DE88 3704 0044 0532 0130 00"
+    assert "1234567890123" not in got[4] and got[4].endswith(" stays no secret") and mod97(got[5]) and got[5] != texts[5]
+
+
+def test_check_digits_equal_brute_force(spark):
+    rng = random.Random(3)
+    numbers = ["".join(rng.choices("0123456789", k=rng.randint(13, 19))) for _ in range(300)]
+    ibans = [rng.choice(["DE", "FR", "NO"]) + "".join(rng.choices("0123456789", k=2)) + "".join(rng.choices("0123456789ABCXYZ", k=16)) for _ in range(600)]
+    rows = spark.createDataFrame([(v,) for v in numbers + ibans], "v string").select("v", surrogates.is_entity(F.col("v")).alias("ok")).collect()
+    assert {r.v: r.ok for r in rows} == {**{v: luhn(v) for v in numbers}, **{v: mod97(v) for v in ibans}}
+
+
+def test_phones_and_long_addresses(spark):
+    texts = ["(017) 555-7713", "+1-017-555-7713", "+44 017 555 7713", "2001:db8::8a2e:370:7334", "2001:DB8::8a2e:370:7334 2001:db8:0:0:0:8a2e:370:7334", "std::vector 12:30 00:1a:2b:3c:4d:5e ab::cd"]
+    got = [r.text for r in surrogates.surrogate_report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "k").orderBy("doc_id").collect()]
+    local = "".join(c for c in got[0] if c.isdigit())
+    assert local != "0175557713" and got[1].startswith("+1-") and got[2].startswith("+44 ")
+    assert all("".join(c for c in g if c.isdigit()).endswith(local) for g in got[:3])
+    assert got[3] != texts[3] and got[3].count(":") == texts[3].count(":") and "::" in got[3] and got[4].split()[0].lower() == got[3]
+    assert got[4].split()[1] not in (got[3], texts[4].split()[1]) and got[5] == texts[5]
+
+
+def test_surrogates_in_a_very_long_text(spark):
+    text = "plain words and numbers 12345678901234 " * 20_000 + "ann.lee@mail.example.com"
+    got = surrogates.surrogate_report(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), "k").first()
+    assert got.n_entities == 1 and got.text[:-24] == text[:-24] and got.text[-24:] != text[-24:]
+
+
 def test_surrogates_stay_distinct(spark):
     found = spark.createDataFrame([("NAME", f"smith{chr(97 + i // 26)}{chr(97 + i % 26)}", None) for i in range(600)], "kind string, value string, gender string")
     table = surrogates.surrogate_table(found, "k").collect()
