@@ -260,10 +260,15 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     marked = docs.withColumn("__pattern", F.when(may_hold(F.col("text")), pattern(F.col("text"))))
     marked = marked.withColumn("__found", F.regexp_extract_all(F.col("text"), F.col("__pattern"), F.lit(0)))
     # A secret may look like a card or an IBAN; what introduces it decides, not its digits.
-    secrets = F.when(F.col("text").rlike(SECRET_WORD), F.regexp_extract_all(F.col("text"), F.lit(PATTERNS["SECRET"]), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    # Bound, so that the text is searched for them once and not for each span.
-    judged = bind(secrets, lambda known: F.transform("__found", lambda e: F.struct(e.alias("entity"), (is_entity(e) | F.array_contains(known, e)).alias("counts"))))
-    marked = marked.withColumn("__found", judged)
+    secrets = F.regexp_extract_all(F.col("text"), F.lit(PATTERNS["SECRET"]), F.lit(0))
+
+    def judged(found: Column) -> Column:
+        # Bound, so that only a text with such a span is searched for secrets, and once for all spans.
+        asked = F.when(F.exists(found, lambda e: ~is_entity(e)), secrets)
+        return bind(asked, lambda known: F.transform(found, lambda e: F.struct(
+            e.alias("entity"), (is_entity(e) | F.coalesce(F.array_contains(known, e), F.lit(False))).alias("counts"))))
+
+    marked = marked.withColumn("__found", bind(F.col("__found"), judged))
     has = F.coalesce(F.exists("__found", lambda e: e.counts), F.lit(False))
     digest = F.xxhash64("text")
     titles, names = (F.when(_titled(F.col("text")), F.regexp_extract_all(F.col("text"), F.lit(TITLED), F.lit(n))) for n in (1, 2))
