@@ -3,8 +3,13 @@
 A document is the set of its lower-cased letter runs and of their first five and six
 letters, hashed.  A document's score is logistic in a bias, the terms' weights and
 the products of the terms' factor vectors, so that a pair of terms, as an insult and
-a group it is aimed at, adds more than both alone.  Terms that a label does not
-visibly depend on are screened out before fitting.
+a group it is aimed at, adds more than both alone.
+
+Two screens choose the terms that are fitted, however many pass.  The first takes terms
+that occur in toxic documents more often than chance allows.  The second takes terms that
+are neutral alone but not beside a term of the first: where both stand, the labels differ
+from the scores that the first terms give.  A pair of terms of which neither is tied to the
+label alone is not found.
 """
 
 from __future__ import annotations
@@ -81,16 +86,56 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     return [(bytes(r.terms), r.toxic) for r in found.orderBy("doc_id").collect()]
 
 
-def fit(rows: list[tuple[bytes, int]], factors: int = 4, steps: int = 150, min_z: float = 4.0, min_docs: int = 3, max_terms: int = 4096,
+def chance_bound(off: np.ndarray, variance: np.ndarray) -> np.ndarray:
+    """Bernstein's bound, as a negative logarithm, on the chance that labels lie ``off`` as far from their scores in sum."""
+    off = np.abs(off)
+    return off * off / 2 / np.maximum(variance + off / 3, 1e-12)
+
+
+def partners(rows: list[tuple[bytes, int]], scores: np.ndarray, chosen: np.ndarray, docs: np.ndarray, min_docs: int, alpha: float) -> np.ndarray:
+    """Terms that are not chosen, but beside a chosen one the labels differ from the model's ``scores``.
+
+    All pairs that stand in ``min_docs`` documents are tested, at level ``alpha`` for all of
+    them together.  Documents are visited one at a time, so that memory follows the number of
+    hashes and not the sample; a chosen term whose documents are scored too well for any pair
+    to pass is not visited.
+    """
+    is_chosen = np.zeros(1 << BITS, bool)
+    is_chosen[chosen] = True
+    others = np.flatnonzero((docs >= min_docs) & ~is_chosen)
+    if not len(others):
+        return others
+    least, passed = np.log(len(chosen) * len(others) / alpha), np.zeros(1 << BITS, bool)
+    left = np.array([label for _, label in rows]) - scores
+    of_term: dict[int, list[int]] = {int(c): [] for c in chosen}
+    for i, (packed, _) in enumerate(rows):
+        found = np.frombuffer(packed, np.int32)
+        for c in found[is_chosen[found]]:
+            of_term[int(c)].append(i)
+    for places in of_term.values():
+        # No pair is further off than all labels of a side, and without variance.
+        if 1.5 * max(left[places].clip(0).sum(), -left[places].clip(None, 0).sum()) <= least:
+            continue
+        both, off, variance = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for i in places:
+            found = np.frombuffer(rows[i][0], np.int32)
+            both[found] += 1
+            off[found] += left[i]
+            variance[found] += scores[i] * (1 - scores[i])
+        beside = others[both[others] >= min_docs]
+        passed[beside[chance_bound(off[beside], variance[beside]) > least]] = True
+    return np.flatnonzero(passed)
+
+
+def fit(rows: list[tuple[bytes, int]], factors: int = 4, steps: int = 150, min_z: float = 4.0, min_docs: int = 3, alpha: float = 0.05,
         decay: float = 1e-3, rate: float = 0.05, seed: int = 0) -> Model:
-    """Fit by full-batch Adam on the screened terms.  Without labels of both kinds the score is constant."""
+    """Fit on the terms of the first screen, then again with those of the second.  Without labels of both kinds the score is constant."""
     y = np.array([t for _, t in rows], float)
     n = len(rows)
     mean = (y.sum() + 0.5) / (n + 1) if n else 0.0
     bias = float(np.log(mean / (1 - mean))) if 0 < mean < 1 else -30.0
     if not n or y.min() == y.max():
         return Model(bias, np.zeros(0), np.zeros((0, factors)))
-    # Two passes over the rows, one at a time: counts first, then the chosen terms of each.
     docs, hits = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
     for packed, label in rows:
         found = np.frombuffer(packed, np.int32)
@@ -98,20 +143,37 @@ def fit(rows: list[tuple[bytes, int]], factors: int = 4, steps: int = 150, min_z
         hits[found] += label
     z = (hits - docs * mean - 0.5) / np.sqrt(docs * mean * (1 - mean) + 1e-9)
     chosen = np.where((docs >= min_docs) & (z > min_z))[0]
-    chosen = chosen[np.argsort(-z[chosen], kind="stable")][:max_terms]
     if not len(chosen):
         return Model(bias, np.zeros(0), np.zeros((0, factors)))
+    chosen = chosen[np.argsort(-z[chosen], kind="stable")]
+    model, scores = _learn(rows, y, chosen, bias, factors, steps, decay, rate, seed)
+    more = partners(rows, scores, chosen, docs, min_docs, alpha)
+    if not len(more):
+        return model
+    return _learn(rows, y, np.concatenate([chosen, more]), bias, factors, steps, decay, rate, seed)[0]
+
+
+def _learn(rows: list[tuple[bytes, int]], y: np.ndarray, chosen: np.ndarray, bias: float, factors: int, steps: int,
+           decay: float, rate: float, seed: int) -> tuple[Model, np.ndarray]:
+    """The model of the chosen terms by full-batch Adam, and its scores of the rows."""
+    n, m = len(rows), len(chosen)
     place = np.full(1 << BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
+    place[chosen] = np.arange(m)
+    # One row at a time: all terms of all rows are never held unpacked.
     kept = [(p := place[np.frombuffer(packed, np.int32)])[p >= 0] for packed, _ in rows]
-    at, row, m = np.concatenate(kept), np.repeat(np.arange(n), [len(k) for k in kept]), len(chosen)
+    at, row = np.concatenate(kept), np.repeat(np.arange(n), [len(k) for k in kept])
     w, v, b = np.zeros(m), np.random.default_rng(seed).normal(0, 0.05, (m, factors)), np.array([bias])
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, v, b)]
-    for step in range(1, steps + 1):
+
+    def scored():
         sums = np.stack([np.bincount(row, weights=v[at, f], minlength=n) for f in range(factors)], 1)
         squares = np.bincount(row, weights=(v[at] ** 2).sum(1), minlength=n)
         logit = b[0] + np.bincount(row, weights=w[at], minlength=n) + 0.5 * ((sums * sums).sum(1) - squares)
-        slope = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / n
+        return sums, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+    for step in range(1, steps + 1):
+        sums, scores = scored()
+        slope = (scores - y) / n
         grads = (np.bincount(at, weights=slope[row], minlength=m) + 10 * decay * w / n,
                  np.stack([np.bincount(at, weights=slope[row] * (sums[row, f] - v[at, f]), minlength=m) for f in range(factors)], 1) + decay * v,
                  np.array([slope.sum()]))
@@ -119,7 +181,7 @@ def fit(rows: list[tuple[bytes, int]], factors: int = 4, steps: int = 150, min_z
             first += 0.1 * (g - first)
             second += 0.001 * (g * g - second)
             p -= rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
-    return Model(float(b[0]), w, v, {int(c): i for i, c in enumerate(chosen)})
+    return Model(float(b[0]), w, v, {int(c): i for i, c in enumerate(chosen)}), scored()[1]
 
 
 def score_text(model: Model, text: str, cache: dict[str, tuple[int, ...]]) -> float:
@@ -141,6 +203,12 @@ def score_text(model: Model, text: str, cache: dict[str, tuple[int, ...]]) -> fl
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+    """The model of at most ``max_labelled`` labelled documents that are not held out.
+
+    Null ids and labels do not count, a null text is an empty one, of repeated ids one counts
+    with its largest label; without labels of both kinds, as in empty tables, the score is
+    constant.  Columns other than doc_id, text and toxic have no influence.
+    """
     try:
         return fit(training_rows(docs, labels, max_labelled))
     finally:

@@ -329,6 +329,62 @@ def test_toxicity_edges(spark, docs, no_docs):
     assert toxicity.score(no_docs, model).count() == 0 and toxicity.keep_clean(docs, model).count() == docs.count()
 
 
+def _labelled_words(n, seed):
+    """Toxic are texts with both "plum" and "those", and those with "vile"; "those" alone is as toxic as any text."""
+    rng, rows = random.Random(seed), []
+    for _ in range(n):
+        words = {f"w{chr(97 + rng.randrange(26))}" for _ in range(6)}
+        kind = rng.random()
+        words |= {"plum", "those"} if kind < 0.1 else {"plum"} if kind < 0.2 else {"those"} if kind < 0.55 else {"vile"} if kind < 0.67 else set()
+        text = " ".join(sorted(words))
+        rows.append((text, int("vile" in words or {"plum", "those"} <= words)))
+    return rows
+
+
+def test_toxicity_learns_a_pair_with_a_neutral_term():
+    cache = {}
+    def packed(rows):
+        return [(np.sort(toxicity.terms(t, cache)).tobytes(), y) for t, y in rows]
+    model = toxicity.fit(packed(_labelled_words(3000, 1)))
+    those = toxicity.terms_of("those")[0]
+    alone = toxicity.fit(packed(_labelled_words(3000, 1)), alpha=1e-300)
+    assert those in model.place and those not in alone.place
+    def wrong(m):
+        return sum((toxicity.score_text(m, t, {}) >= 0.3) != y for t, y in _labelled_words(1000, 2))
+    assert wrong(model) == 0 and wrong(alone) > 50
+
+
+def test_toxicity_score_is_the_sum_over_pairs():
+    model = toxicity.fit([(np.sort(toxicity.terms(t, {})).tobytes(), y) for t, y in _labelled_words(800, 3)])
+    for text, _ in _labelled_words(40, 4) + [("", 0), ("plum " * 5000, 0)]:
+        at = [model.place[int(t)] for t in toxicity.terms(text, {}) if int(t) in model.place]
+        logit = model.bias + sum(model.weights[i] for i in at) + sum(
+            float(model.factors[i] @ model.factors[j]) for k, i in enumerate(at) for j in at[:k])
+        assert toxicity.score_text(model, text, {}) == pytest.approx(1 / (1 + np.exp(-logit)))
+
+
+def test_toxicity_partners_by_brute_force():
+    rng = random.Random(5)
+    texts = [frozenset(rng.sample(range(30), rng.randint(0, 9))) for _ in range(400)]
+    labels = [int({1, 7} <= t or rng.random() < 0.1) for t in texts]
+    scores = np.array([0.4 if 1 in t else 0.1 for t in texts])
+    docs = np.zeros(1 << toxicity.BITS, np.int64)
+    for t in texts:
+        docs[list(t)] += 1
+    rows = [(np.array(sorted(t), np.int32).tobytes(), y) for t, y in zip(texts, labels)]
+    for alpha in (1e-4, 0.05, 5.0, 500.0):
+        expected, chosen = set(), [1, 2, 3]
+        others = [t for t in range(30) if t not in chosen and docs[t] >= 3]
+        for c in chosen:
+            for t in others:
+                both = [i for i, words in enumerate(texts) if {c, t} <= words]
+                off, variance = abs(sum(labels[i] - scores[i] for i in both)), sum(scores[i] * (1 - scores[i]) for i in both)
+                if len(both) >= 3 and off * off / 2 / (variance + off / 3) > np.log(len(chosen) * len(others) / alpha):
+                    expected.add(t)
+        assert set(toxicity.partners(rows, scores, np.array(chosen), docs, 3, alpha).tolist()) == expected
+    assert expected
+
+
 @pytest.mark.parametrize("n,percent,block", [(3, 90, 10**6), (5, 80, 10**6), (2, 60, 300)])
 def test_ngram_join(spark, n, percent, block):
     rng, rows = random.Random(n), []
