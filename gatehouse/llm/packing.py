@@ -210,4 +210,8 @@ def _pack(pieces: DataFrame, order_at: list[int], capacity: int) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
+    """Pieces of all rows of ``docs`` with ``sequence_id`` and ``offset``; see ``tokenise`` for null, empty, long and repeated texts, ``pack`` for empty tables.
+
+    Only ``doc_id`` and ``text`` are read; other columns have no influence.
+    """
     return pack(tokenise(docs, vocabulary, capacity, end_id, with_ids), ["doc_id", "piece", "start", "ids_crc32"], capacity)
