@@ -27,6 +27,10 @@ def distinct_answers(archive: DataFrame, max_chars: int | None = None) -> DataFr
              F.col("seen.file").alias("first_file"), F.col("seen.pos").alias("first_pos"))
 
 
+TILE = 1024
+"""Answers of either side that meet in one piece of a task's product."""
+
+
 def preference_pairs(archive: DataFrame, max_chars: int | None = None, rounds: int | None = None,
                      first_round: int = 0) -> DataFrame:
     """Chosen/rejected pairs of one task: all, or ``rounds`` diagonals at a time.
@@ -37,6 +41,9 @@ def preference_pairs(archive: DataFrame, max_chars: int | None = None, rounds: i
     of size ``m``.  One round uses every answer and is linear in the input; the
     rounds 0 … m-1 together give each pair exactly once, so further pages lose
     nothing.  The join key (task, position) is unique, hence never skewed.
+    Without ``rounds`` the product is made in tiles of ``TILE`` answers of each side,
+    so that an answer travels once for each tile that it meets and not once for each
+    answer; the round of a pair follows from its positions.
     ``max_chars`` leaves longer answers out; by default none are.  An answer under
     two families counts for each.
     """
@@ -51,15 +58,20 @@ def preference_pairs(archive: DataFrame, max_chars: int | None = None, rounds: i
     sized = placed.join(broadcast_if_small(counts.where((F.col("n_pass") > 0) & (F.col("n_fail") > 0))), "task_id")
     shorter = F.least("n_pass", "n_fail")
     longer_side = F.col("pass") == (F.col("n_pass") >= F.col("n_fail"))
-    last = (shorter if rounds is None else F.least(F.lit(first_round + rounds), shorter)) - 1
-    turns = F.when(last >= first_round, F.sequence(F.lit(first_round).cast("bigint"), last))
     leads = sized.where(longer_side).select(
-        "task_id", "family", F.col("answer").alias("lead"), F.col("pass").alias("lead_passes"),
-        F.col("pos"), shorter.alias("m"), F.explode(turns).alias("round"),
-    ).withColumn("partner", F.pmod(F.col("pos") - 1 + F.col("round"), F.col("m")) + 1)
+        "task_id", "family", F.col("answer").alias("lead"), F.col("pass").alias("lead_passes"), (F.col("pos") - 1).alias("i"), shorter.alias("m"), F.greatest("n_pass", "n_fail").alias("n"))
     partners = sized.where(~longer_side).select(
-        "task_id", F.col("answer").alias("other"), F.col("pos").alias("partner"))
-    return leads.join(partners, ["task_id", "partner"]).where(F.col("lead") != F.col("other")).select(
+        "task_id", F.col("answer").alias("other"), (F.col("pos") - 1).alias("partner"), F.greatest("n_pass", "n_fail").alias("n"))
+    if rounds is None:
+        across = leads.withColumn("lead_tile", F.floor(F.col("i") / TILE)).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / TILE)))).drop("n")
+        down = partners.withColumn("tile", F.floor(F.col("partner") / TILE)).withColumn("lead_tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / TILE)))).drop("n")
+        met = across.join(down, ["task_id", "lead_tile", "tile"]).withColumn("round", F.pmod(F.col("partner") - F.col("i"), F.col("m"))).where(F.col("round") >= first_round)
+    else:
+        last = F.least(F.lit(first_round + rounds), F.col("m")) - 1
+        turns = F.when(last >= first_round, F.sequence(F.lit(first_round).cast("bigint"), last))
+        turned = leads.drop("n").withColumn("round", F.explode(turns)).withColumn("partner", F.pmod(F.col("i") + F.col("round"), F.col("m")))
+        met = turned.join(partners.drop("n"), ["task_id", "partner"])
+    return met.where(F.col("lead") != F.col("other")).select(
         "task_id", "family", "round",
         F.when(F.col("lead_passes"), F.col("lead")).otherwise(F.col("other")).alias("chosen"),
         F.when(F.col("lead_passes"), F.col("other")).otherwise(F.col("lead")).alias("rejected"))

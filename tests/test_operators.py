@@ -295,3 +295,12 @@ def test_results_of_many_runs_share_folders(spark, tmp_path):
     assert sorted(values(back, "task_id", "answer", "run_id")) == sorted(values(rows, "task_id", "answer", "run_id"))
     assert back.select("part").distinct().count() <= 4
     assert back.where(c("part") != sinks.folder_of(4, "run_id")).count() == 0
+
+
+def test_all_pairs_in_tiles_are_the_rounds_together(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TILE", 4)
+    rows = [(t, "f", f"{t}{v}{i}", v, "x", i) for t, n_pass, n_fail in (("a", 11, 5), ("b", 3, 9), ("c", 4, 4), ("d", 2, 0)) for v, n in ((True, n_pass), (False, n_fail)) for i in range(n)]
+    archive = spark.createDataFrame(rows, "task_id STRING, family STRING, answer STRING, pass BOOLEAN, file STRING, pos INT")
+    got = sorted(tuple(r) for r in pairs.preference_pairs(archive).collect())
+    assert got == sorted(tuple(r) for r in pairs.preference_pairs(archive, rounds=99).collect()) and len(got) == 55 + 27 + 16
+    assert sorted(tuple(r) for r in pairs.preference_pairs(archive, first_round=2).collect()) == [r for r in got if r[2] >= 2]
