@@ -106,23 +106,86 @@ def cluster_split(rows: DataFrame, text: str = "text", modulus: int = 7) -> Data
     return marked.withColumn("split", F.when(held, "heldout").otherwise("train")).select(*rows.columns, "split")
 
 
+FREQUENT = 256
+"""Texts with a run among their first beyond which it is put behind the rarer runs of each."""
+
+FREQUENT_RUNS = 10_000
+"""Most runs that are put behind the others in one round."""
+
+ROUNDS = 6
+"""Most rounds: where frequent runs make way, others come up."""
+
+SPARE = 64
+"""Runs stored beyond the first of each set, to take the place of frequent ones."""
+
+
+def _one_of_equal(rows: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(split, id, text): each distinct text of a side, with its smallest id.  Texts stay where they are while the ids are few."""
+    keyed = rows.where(F.col(text).isNotNull()).select("split", digest_of(F.col(text)).alias("digest"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+    firsts = broadcast_if_small(keyed.groupBy("split", "digest").agg(F.min("id").alias("id")).where("id IS NOT NULL"))
+    found = keyed.join(firsts, ["split", "digest", "id"])
+    # A row that is there twice, id and all.
+    return found if found.count() == firsts.count() else found.dropDuplicates(["split", "digest", "id"])
+
+
+def _heads(fronts: DataFrame) -> DataFrame:
+    return fronts.select("split", "id", "n", F.posexplode("front").alias("pos", "run"))
+
+
+def _rarest_first(texts: DataFrame, percent: int) -> DataFrame:
+    """(split, id, n, front): the first runs of each set, of which alike sets share one.
+
+    All sets keep one order: by hash, but runs that many texts share behind all others, the
+    most frequent last.  Such runs are looked for where they would be joined on, among the
+    first in hash order; a set with none of them there keeps its first.  Which runs these are
+    changes the work, not the result.
+    """
+    n_first = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    sets = texts.select("split", "id", F.array_sort(word_runs(F.col("text"))).alias("runs")).withColumn("n", F.size("runs")).where("n > 0").withColumn("first", n_first)
+    plain = materialise(sets.select("split", "id", "n", "first", F.slice("runs", F.lit(1), F.col("first") + SPARE).alias("runs")))
+    fronts = plain.select("split", "id", "n", F.slice("runs", F.lit(1), F.col("first")).alias("front"))
+    found, rare = None, F.array_except("runs", "last")
+
+    def ordered(rows: DataFrame) -> DataFrame:
+        return rows.select("split", "id", "n", F.slice(F.concat(rare, F.array_intersect("last", "runs")), F.lit(1), F.col("first")).alias("front"))
+
+    for _ in range(ROUNDS):
+        heavy = _heads(fronts).groupBy("run").agg(F.count(F.lit(1)).alias("texts"), F.min("split").alias("x"), F.max("split").alias("y")).where(
+            (F.col("texts") > FREQUENT) & (F.col("x") != F.col("y"))).select("texts", "run")
+        if found is not None:
+            heavy = heavy.join(F.broadcast(found), "run", "left_anti").select("texts", "run")
+        heavy = materialise(heavy.orderBy(F.desc("texts"), "run").limit(FREQUENT_RUNS))
+        if heavy.isEmpty():
+            break
+        found = heavy if found is None else materialise(found.unionByName(heavy))
+        last = F.broadcast(found.agg(F.array_sort(F.collect_list(F.struct("texts", "run")))["run"].alias("last")))
+        # What is stored will do where the whole set is, or enough rare runs are.
+        known = plain.join(last).withColumn("known", (F.size("runs") == F.col("n")) | (F.size(rare) >= F.col("first")))
+        lacking = broadcast_if_small(known.where("NOT known").select("split", "id"))
+        fronts = ordered(known.where("known")).unionByName(ordered(sets.join(lacking, ["split", "id"], "left_semi").join(last)))
+    return fronts
+
+
 def split_leaks(rows: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """(heldout, train, shared, total): pairs across a ``split`` whose runs are at least ``percent`` alike, exactly.
 
-    Alike sets share a run among the first of each in hash order, so only such pairs are counted;
-    only the two sides meet, not a side with itself.  Of equal texts of a side one stands for all,
-    with its smallest id.
+    Alike sets share a run among the first of each, rare runs before those of many texts, so
+    only such pairs are counted, and of these only those whose runs from there on are enough;
+    only the two sides meet, not a side with itself.  Runs are stored for the first of each
+    set only; those of the few texts in pairs are made again.  Of equal texts of a side one
+    stands for all, with its smallest id.
     """
-    runs = rows.where(F.col(text).isNotNull()).groupBy("split", digest_of(F.col(text)).alias("digest")).agg(
-        F.min(id_col).alias("id"), F.first(F.array_sort(word_runs(F.col(text)))).alias("runs")).where(F.size("runs") > 0)
-    sets = materialise(runs.select("split", "id", "runs", F.size("runs").alias("n")))
-    first = F.explode(F.slice("runs", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")))
-    heads = sets.select("split", "id", "n", first.alias("run"))
-    near = (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent)
-    pairs = heads.where("split = 'heldout'").alias("a").join(heads.where("split <> 'heldout'").alias("b"), (F.col("a.run") == F.col("b.run")) & near).select(
-        F.col("a.id").alias("heldout"), F.col("b.id").alias("train")).distinct()
-    held, train = (sets.where(c).select(F.col("id").alias(n), F.col("runs").alias(f"{n}_runs")) for c, n in (
-        ("split = 'heldout'", "heldout"), ("split <> 'heldout'", "train")))
+    texts = _one_of_equal(rows, id_col, text)
+    fronts = materialise(_rarest_first(texts, percent))
+    sides = _heads(fronts).groupBy("run").agg(F.bool_or(F.col("split") == "heldout").alias("x"), F.bool_or(F.col("split") != "heldout").alias("y"))
+    heads = materialise(_heads(fronts).join(broadcast_if_small(sides.where("x AND y").select("run")), "run", "left_semi"))
+    # At the first run that two sets share, what either has from there on bounds what they share.
+    rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    enough = (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (rest * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
+    pairs = materialise(heads.where("split = 'heldout'").alias("a").join(heads.where("split <> 'heldout'").alias("b"), (F.col("a.run") == F.col("b.run")) & enough).select(
+        F.col("a.id").alias("heldout"), F.col("b.id").alias("train")).distinct())
+    held, train = (texts.where(c).withColumnRenamed("id", n).join(broadcast_if_small(pairs.select(n).distinct()), n, "left_semi").select(
+        n, word_runs(F.col("text")).alias(f"{n}_runs")) for c, n in (("split = 'heldout'", "heldout"), ("split <> 'heldout'", "train")))
     shared = F.size(F.array_intersect("heldout_runs", "train_runs")).cast("bigint")
     met = pairs.join(held, "heldout").join(train, "train").select("heldout", "train", shared.alias("shared"), (
         F.size("heldout_runs") + F.size("train_runs")).cast("bigint").alias("sum"))

@@ -74,3 +74,34 @@ def test_ids_without_pairs(spark):
     docs = spark.createDataFrame([(1, "x a b c d e f g h"), (2, "a b c d e f g x"), (3, "one two three four five six seven eight a b c d e f g h i"), (4, None)], "doc_id INT, text STRING")
     assert sorted(r.doc_id for r in decontam.contaminated_ids(docs, bench).collect()) == [1, 3]
     assert sorted(r.doc_id for r in decontam.contaminated_ids(docs, bench, min_shared=2).collect()) == [3]
+
+
+def test_leaks_where_many_texts_share_a_line(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    line = " ".join(rng.choices(words, k=40))
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(5, 80))) + " " + line) for i in range(150)]
+    rows += [(200 + i, t + " more") for i, (_, t) in enumerate(rows[:60])] + [(300 + i, line + " " + " ".join(rng.choices(words, k=2))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+    plain = decontam.hash_split(docs)
+    want = leaks(rows, {r.doc_id: r.split for r in plain.collect()})
+    seen = {}
+    for spare in (64, 0):
+        monkeypatch.setattr(near, "FREQUENT", 20)
+        monkeypatch.setattr(near, "SPARE", spare)
+        got = [tuple(r) for r in near.split_leaks(plain).collect()]
+        assert len(got) == len(want) and set(got) == want and want
+        texts = near._one_of_equal(plain, "doc_id", "text")
+        heads = near._heads(near._rarest_first(texts, 80))
+        seen[spare] = sorted(heads.select("id", "pos", "run").collect())
+        # The runs of the line are not what texts with other runs meet on.
+        long = heads.where("n > 80").groupBy("run").count().agg(F.max("count")).first()[0]
+        assert long <= 20
+    assert seen[64] == seen[0]
+
+
+def test_leaks_of_rows_that_are_there_twice(spark):
+    base = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, "heldout", base), (1, "heldout", base), (2, "train", base + " x"), (2, "train", base + " x"), (None, "train", base)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, split STRING, text STRING")
+    assert [tuple(r) for r in near.split_leaks(docs).collect()] == [(1, 2, 46, 47)]
