@@ -94,15 +94,49 @@ def near_groups(rows: DataFrame, text: str = "text") -> DataFrame:
     return components(edges).select(F.col("node").alias("digest"), "root")
 
 
+LARGE = 10_000
+"""A group with more than one of so many rows is large; there are fewer of these."""
+
+
+def _slack(n: int, share: float) -> float:
+    """How far the share of rows held out may be from ``share`` by chance, and half a hundredth."""
+    return 0.005 + 2 * (share * (1 - share) / n) ** 0.5
+
+
+def _drawn(root: Column, part: float) -> Column:
+    """A draw by digest that does not depend on :func:`digest_modulus`: ``part`` of all digests."""
+    return F.pmod(F.xxhash64(root), F.lit(1_000_000)) < round(1_000_000 * part)
+
+
 def cluster_split(rows: DataFrame, text: str = "text", modulus: int = 7) -> DataFrame:
     """Add ``split`` like :func:`~gatehouse.operators.decontam.hash_split`, by group of near copies.
 
     The smallest digest of a group decides for all of it; a text without near copies gets the
-    split of its own digest, as does a missing one.
+    split of its own digest, as does a missing one.  Where that does not hold out one in
+    ``modulus`` rows, because a few groups are large, these are dealt by size, largest first:
+    a group is held out if it still fits.  If the smaller groups alone hold out too few or too
+    many rows to make up for it, as many of them change sides as are needed, drawn by digest.
     """
-    held = H.digest_modulus(F.col("__root"), modulus) == 0
-    groups = broadcast_if_small(near_groups(rows, text).select(F.col("digest").alias("__digest"), F.col("root").alias("__near")))
+    share, n_rows, groups = 1 / modulus, F.count(F.lit(1)), broadcast_if_small(near_groups(rows, text).select(F.col("digest").alias("__digest"), F.col("root").alias("__near")))
     marked = rows.withColumn("__digest", digest_of(F.col(text))).join(groups, "__digest", "left").withColumn("__root", F.coalesce("__near", "__digest"))
+    held = F.coalesce(H.digest_modulus(F.col("__root"), modulus) == 0, F.lit(False))
+    sizes = materialise(marked.groupBy("__root").agg(n_rows.alias("n")).withColumn("held", held))
+    total = sizes.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("held"), F.col("n"))).alias("held")).first()
+    if total.n and abs((total.held or 0) / total.n - share) > _slack(total.n, share):
+        large = (F.col("n") > 1) & (F.col("n") * LARGE > total.n) & F.col("__root").isNotNull()
+        small = sizes.where(~large).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("held"), F.col("n"))).alias("held")).first()
+        taken, dealt = small.held or 0, {}
+        for r in sizes.where(large).orderBy(F.desc("n"), "__root").select("__root", "n").collect():  # fewer than LARGE rows
+            dealt[r["__root"]] = taken + r.n <= total.n * share
+            taken += r.n * dealt[r["__root"]]
+        short = total.n * share - taken
+        if abs(short) > _slack(total.n, share) * total.n:
+            own = small.held or 0
+            drawn = _drawn(F.col("__root"), min(1.0, abs(short) / max(1, small.n - own if short > 0 else own)))
+            held = F.coalesce((held | drawn) if short > 0 else (held & ~drawn), F.lit(False))
+        if dealt:
+            sides = F.broadcast(rows.sparkSession.createDataFrame(list(dealt.items()), "__root STRING, __dealt BOOLEAN"))
+            marked, held = marked.join(sides, "__root", "left"), F.coalesce("__dealt", held)
     return marked.withColumn("split", F.when(held, "heldout").otherwise("train")).select(*rows.columns, "split")
 
 

@@ -105,3 +105,19 @@ def test_leaks_of_rows_that_are_there_twice(spark):
     rows = [(1, "heldout", base), (1, "heldout", base), (2, "train", base + " x"), (2, "train", base + " x"), (None, "train", base)]
     docs = spark.createDataFrame(rows, "doc_id BIGINT, split STRING, text STRING")
     assert [tuple(r) for r in near.split_leaks(docs).collect()] == [(1, 2, 46, 47)]
+
+
+def test_a_large_group_leaves_a_seventh_held_out(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    base = rng.choices(words, k=120)
+    for part in (0.05, 0.3):
+        rows = [(i, " ".join(rng.choices(words, k=30))) for i in range(4000)]
+        for i in range(int(4000 * part)):
+            copy = list(base)
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows[i] = (i, " ".join(copy))
+        docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(4)
+        side = {r.doc_id: r.split for r in near.cluster_split(docs).collect()}
+        assert len(side) == 4000 and len({side[i] for i in range(int(4000 * part))}) == 1
+        assert abs(sum(s == "heldout" for s in side.values()) / 4000 - 1 / 7) <= 0.01 + 3 * (6 / 49 / 4000) ** 0.5
