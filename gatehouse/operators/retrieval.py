@@ -7,17 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import fixed as V
 from ..functions.text import trim_middle
 from ..session import broadcast_if_small, materialise
 from .ordering import first_rows
 
-BETWEEN = "[^a-z0-9-]+"
+TOKEN = f"[a-z0-9-]{{{V.MIN_TOKEN},}}"
 
 
 def query_tokens(text: Column) -> Column:
     """Tokens of a query, of four characters or more, in order."""
-    return F.filter(F.split(F.lower(text), BETWEEN), lambda t: F.length(t) >= V.MIN_TOKEN)
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def grams(word: Column) -> Column:
@@ -39,23 +40,54 @@ def rarest_grams(tokens: DataFrame, pieces: DataFrame) -> DataFrame:
     ).where(F.col("lacking") == 0).drop("lacking")
 
 
-def token_runs(documents: DataFrame, tokens: DataFrame, doc_id: str, text: str, name: str | None = None) -> DataFrame:
-    """(doc_id, token) for every token that occurs inside a document, as substring.
+def numbered_tokens(queries: DataFrame) -> DataFrame:
+    """(token, number) of the distinct values of ``token``."""
+    return materialise(queries.select("token").distinct().withColumn("number", F.monotonically_increasing_id()))
+
+
+def token_sets(documents: DataFrame, tokens: DataFrame, doc_id: str, text: str, name: str | None = None) -> DataFrame:
+    """(doc_id, numbers): numbers of the ``tokens`` (token, number) that occur inside a document, as substring.
 
     With ``name`` that column is searched as well, as a line of its own.  A token holds
     only ``[a-z0-9-]``, so it can only lie within one run of such characters.  The
     distinct runs of the corpus are matched to the tokens through the token's rarest
     four-character piece (an equi-join), checked for containment, and joined back to the
     documents that hold the run: no nested loop over texts, and no hot piece such as the
-    start of every address as a key.
+    start of every address as a key.  A document is one row, so that what it holds is
+    shuffled and stored as numbers, and its scores are summed where the row lies.
     """
     searched = F.col(text) if name is None else F.concat_ws("\n", F.col(name).cast("string"), F.col(text))
     runs = documents.select(doc_id, F.explode(F.array_distinct(query_tokens(searched))).alias("run"))
-    vocabulary = materialise(runs.select("run").distinct())
-    pieces = vocabulary.select("run", F.explode(grams(F.col("run"))).alias("gram"))
-    keys = broadcast_if_small(rarest_grams(tokens, pieces))
-    matched = broadcast_if_small(pieces.join(keys, "gram").where(F.contains("run", "token")).select("run", "token"))
-    return runs.join(matched, "run").select(doc_id, "token").distinct()
+    vocabulary = materialise(runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")))
+    pieces = vocabulary.select("run", "n", F.explode(grams(F.col("run"))).alias("gram"))
+    keys = broadcast_if_small(rarest_grams(tokens, pieces).join(tokens, "token"))
+    matched = materialise(pieces.join(keys, "gram").where(F.contains("run", "token")).groupBy("run", "n").agg(F.collect_list("number").alias("numbers")))
+    common, seldom = by_use(matched)
+    held = runs.join(F.broadcast(common), "run").select(doc_id, "numbers")
+    if seldom is not None:
+        held = held.unionByName(runs.join(F.broadcast(common.select("run")), "run", "left_anti").join(seldom, "run").select(doc_id, "numbers"))
+    return held.groupBy(doc_id).agg(F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("numbers"))
+
+
+def by_use(matched: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The runs of ``matched`` (run, n, numbers) that most documents hold, as many as may be broadcast, and the others if there are any.
+
+    Runs are counted by classes of ``n``, each four times as wide as the one before.  The
+    vocabulary grows with the corpus, but the runs that make up most texts do not, so only
+    documents' seldom runs are shuffled to be looked up.
+    """
+    width = F.octet_length("run") + 8 * F.size("numbers")
+    classes = matched.groupBy(F.floor(F.log(4.0, F.col("n"))).alias("class")).agg(F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes"))
+    rows, size, least = 0, 0, None
+    for c in classes.orderBy(F.desc("class")).collect():  # a few dozen rows
+        rows, size = rows + c.rows, size + c.bytes
+        if rows > session.BROADCAST_ROWS or size > session.BROADCAST_BYTES:
+            break
+        least = c["class"]
+    else:
+        return matched, None
+    often = F.floor(F.log(4.0, F.col("n"))) >= least if least is not None else F.lit(False)
+    return matched.where(often), matched.where(~often)
 
 
 def token_counts(queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
@@ -74,10 +106,12 @@ def relevance_join(queries: DataFrame, documents: DataFrame, query_id: str = "qu
     :func:`gatehouse.operators.search.top_documents` gets by without them.  ``preferred`` names the few documents that get five points for every query, even
     without a token.  ``count_repeats`` counts a repeated query token each time.
     """
-    tokens = token_counts(queries, query_id, query_text)
-    hits = token_runs(documents, tokens, doc_id, text, name)
+    counts = materialise(token_counts(queries, query_id, query_text))
+    tokens = numbered_tokens(counts)
+    held = token_sets(documents, tokens, doc_id, text, name).select(doc_id, F.explode("numbers").alias("number"))
     points = F.sum("repeats") if count_repeats else F.count(F.lit(1))
-    scored = hits.join(tokens, "token").groupBy(query_id, doc_id).agg(points.alias("score"))
+    asked = broadcast_if_small(counts.join(tokens, "token").select(query_id, "number", "repeats"))
+    scored = held.join(asked, "number").groupBy(query_id, doc_id).agg(points.alias("score"))
     if preferred:
         names = F.array(*[F.lit(p) for p in preferred]).cast(f"array<{documents.schema[doc_id].dataType.simpleString()}>")
         boosts = queries.select(query_id, F.explode(names).alias(doc_id)).distinct().withColumn(

@@ -76,3 +76,22 @@ def test_rarest_gram_is_the_key(spark):
     pieces = words.select("run", F.explode(retrieval.grams(F.col("run"))).alias("gram"))
     keys = {r.token: r.gram for r in retrieval.rarest_grams(tokens, pieces).collect()}
     assert set(keys) == {"https-rare", "http"} and keys["https-rare"] not in ("http", "ttps", "tps-") and keys["http"] == "http"
+
+
+@pytest.mark.parametrize("rows", [0, 5, 12])
+def test_only_seldom_runs_are_shuffled(spark, monkeypatch, rows):
+    """A vocabulary beyond the broadcast bound keeps its common runs broadcast; scores stay as they are."""
+    docs, asked = corpus(spark)
+    want = sorted(map(tuple, retrieval.relevance_join(asked, docs).collect()))
+    monkeypatch.setattr(retrieval.session, "BROADCAST_ROWS", rows)
+    uses = spark.createDataFrame([(f"often-{i}", 400 + i, [1]) for i in range(4)] + [(f"seldom-{i}", 1 + i % 3, [1]) for i in range(50)], "run STRING, n BIGINT, numbers ARRAY<BIGINT>")
+    common, seldom = retrieval.by_use(uses)
+    assert {r.run for r in common.collect()} == {f"often-{i}" for i in range(4 if rows else 0)} and seldom.count() == (50 if rows else 54)
+    assert sorted(map(tuple, retrieval.relevance_join(asked, docs).collect())) == want
+
+
+def test_scores_need_no_shuffle_of_token_rows(spark):
+    """A document's tokens are one row and its scores are summed where that row lies: one exchange by document."""
+    docs, asked = corpus(spark)
+    plan = retrieval.relevance_join(asked, docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
