@@ -71,3 +71,20 @@ def test_thresholds_are_the_best_ones(spark):
     assert abs(f1(got.threshold) - got.f1) < 1e-9 and got.f1 == pytest.approx(max(f1(t / 1000) for t in range(1000)))
     parts = labels.calibration(scored, ["x"]).collect()
     assert sum(r.n for r in parts) == 400 and sum(r.positives for r in parts) == sum(y for y, _ in points)
+
+
+def test_a_fit_reads_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    n = 60
+    rows = spark.range(n).select(
+        F.concat(F.when(F.col("id") % 2 == 0, "good ").otherwise("bad "), F.col("id").cast("string")).alias("text"), (F.col("id") % 2).cast("int").alias("x"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    model = labels.fit_labeller(rows.withColumn("text", seen.asNondeterministic()("text")), ["x", "y"])
+    assert read.value == n
+    scores = {r.text: r.scores[0].score for r in model.score_labels(rows).collect()}
+    assert len(scores) == n and all((s > 0.5) == t.startswith("bad") for t, s in scores.items())
