@@ -2,9 +2,9 @@
 
 One ``CountVectorizer`` fits every language at once: a term carries its language, so the
 least number of documents counts within the language and the vocabulary, whose size is not
-limited, is that of all languages side by side.  It gives exact sparse document vectors.  Their
-sums by (language, source), as a summarizer would make them but without its dense buffers, are
-the cells of a sparse matrix.  Sources are compared in tiles over blocks of terms: a task
+limited, is that of all languages side by side.  It is fitted on each document's distinct terms and
+gives exact sparse vectors of what a task reads of each group.  Their sums by (language, source), as a
+summarizer would make them but without its dense buffers, are the cells of a sparse matrix.  Sources are compared in tiles over blocks of terms: a task
 holds ``TILE`` sources twice and about ``BLOCK`` terms, and visits only terms that one of the
 two sources has; terms that both lack are counted and added as a product.
 
@@ -19,15 +19,18 @@ Only ``text``, ``lang`` and ``source`` are read; other columns have no influence
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatehouse.session import broadcast_if_small, materialise, scratch
 
-from .common import arrow_map
+from .common import BATCH_ROWS, arrow_map, hand_back
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 """Bytes of UTF-8 text as terms have them: A-Z lower-cased, other letters and bytes beyond ASCII as they are, the rest blanks."""
@@ -45,17 +48,62 @@ SMALL = 9_000_000_000
 TILE = 64
 BLOCK = 512
 
-def tagged_terms(rows: DataFrame) -> DataFrame:
-    """group, terms: every term of a text in order, with its language in front (in hex, so that it may hold any character)."""
+HELD = 8_000_000
+"""Bytes of terms that a task gathers by group before it hands them on."""
+
+
+def tag(lang: str) -> bytes:
+    """What stands before each term of a language; any two languages differ in it, and neither ``MARK`` nor ``NEXT`` lies within."""
+    return lang.translate({0: "\2a", 1: "\2b", 2: "\2c"}).encode() + MARK
+
+
+def _words(batch: pa.RecordBatch, at: str) -> Iterator[tuple[int | str, bytes, list[bytes]]]:
+    """The column ``at``, tag and terms of each text that has terms."""
+    tags: dict[str, bytes] = {}
+    for key, lang, text in zip(*(batch.column(c).to_pylist() for c in (at, "lang")), batch.column("text").cast(pa.binary()).to_pylist()):
+        words = text.translate(FOLD).split()
+        if words:
+            yield key, tags.setdefault(lang, tag(lang)), words
+
+
+def _listed(joined: list[bytes]) -> pa.Array:
+    return pc.split_pattern(pa.array(joined, pa.string()), NEXT.decode()).cast(pa.list_(pa.field("element", pa.string())))
+
+
+def document_terms(rows: DataFrame) -> DataFrame:
+    """terms: the distinct terms of every text that has any, each with its language in front."""
     def run(batch):
-        out = []
-        for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            words, tag = text.encode().translate(FOLD).split(), lang.encode().hex().encode() + MARK
-            out.append(tag + (NEXT + tag).join(words) if words else b"")
-        return {"group": batch.column(0), "terms": out}
+        return {"terms": _listed([mark + (NEXT + mark).join(set(words)) for _, mark, words in _words(batch, "lang")])}
+
+    return arrow_map(rows.select("lang", "text"), run, "terms array<string>")
+
+
+def group_terms(rows: DataFrame) -> DataFrame:
+    """group, terms: every term of every text, with its language in front; texts of one group that a task reads share rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        size = 0
+
+        def hand_on():
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), _listed([NEXT.join(parts) for parts in held.values()])], ["group", "terms"])
+            held.clear()
+            return out
+
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, BATCH_ROWS):
+                    for group, mark, words in _words(batch.slice(at, BATCH_ROWS), "group"):
+                        held.setdefault(group, []).append(mark + (NEXT + mark).join(words))
+                        size += len(held[group][-1])
+                        if size > HELD:
+                            yield hand_on()
+                            size = 0
+            if held:
+                yield hand_on()
+        finally:
+            hand_back()
 
-    joined = arrow_map(rows.select("group", "lang", "text"), run, "group bigint, terms string")
-    return joined.select("group", F.when(F.col("terms") == "", F.array().cast("array<string>")).otherwise(F.split("terms", NEXT.decode())).alias("terms"))
+    return rows.select("group", "lang", "text").mapInArrow(run, "group bigint, terms array<string>")
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -78,16 +126,15 @@ def cells(rows: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     ``rows`` holds (group, lang, text).  ``lead`` marks one cell of each term.
     """
     spark = rows.sparkSession
-    tagged = tagged_terms(rows)
     # A term that nobody has: the vectorizer refuses an empty vocabulary.
     spare = spark.range(min_docs).select(F.array(F.lit(MARK.decode())).alias("terms"))
-    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=LARGEST).fit(tagged.select("terms").unionByName(spare))
+    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=LARGEST).fit(document_terms(rows).unionByName(spare))
     path = scratch(spark, "vocabulary")
     model.save(path)
     vocabulary = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "tagged")).select(
         "index", F.substring_index("tagged", MARK.decode(), -1).alias("term"))
     vector = F.unwrap_udt("vector")
-    found = model.transform(tagged).select("group", F.inline(F.arrays_zip(vector["indices"].alias("index"), vector["values"].alias("n"))))
+    found = model.transform(group_terms(rows)).select("group", F.inline(F.arrays_zip(vector["indices"].alias("index"), vector["values"].alias("n"))))
     sums = found.groupBy("group", "index").agg(F.sum(F.col("n").cast("bigint")).alias("n"))
     # An index belongs to one language, so its groups are that language's sources.
     of_term = Window.partitionBy("index")

@@ -212,6 +212,23 @@ def test_audit_equals_sql(spark, monkeypatch, tile, block):
     assert {r[2] for r in got} == {"pair", "term"} and ("xx", "a", "pair", "b", 0, 1) in got
 
 
+@pytest.mark.parametrize("held", [8_000_000, 40])
+def test_audit_hands_terms_on_once(spark, monkeypatch, held):
+    """The fit gets a document's distinct terms, the sums get a group's texts together; no occurrence is lost."""
+    from collections import Counter
+    monkeypatch.setattr(source_audit, "HELD", held)
+    langs = ["en", "e", "", "\0", "\1", "\2", "\2a", "en\0"]
+    texts = [(i % 16, langs[i % 8], ("Alpha beta alpha ", "beta \u00e9t\u00c9 ", "12 ", "")[i % 4] * (i % 5)) for i in range(400)]
+    docs = spark.createDataFrame(texts, "`group` BIGINT, lang STRING, text STRING").coalesce(1)
+    want = Counter((g, source_audit.tag(n).decode() + w) for g, n, t in texts for w in t.encode().translate(source_audit.FOLD).decode().split())
+    rows = source_audit.group_terms(docs).collect()
+    assert Counter((r.group, t) for r in rows for t in r.terms) == want
+    assert len(rows) == len({g for g, _ in want}) if held > 40 else len(rows) > 16
+    assert len({source_audit.tag(n) for n in langs}) == len(langs)
+    once = source_audit.document_terms(docs).collect()
+    assert all(len(r.terms) == len(set(r.terms)) for r in once) and {t for r in once for t in r.terms} == {t for _, t in want}
+
+
 def test_audit_of_small_tables(spark):
     docs = spark.createDataFrame(audit_rows()[:3], DOCS)
     assert {r.part for r in source_audit.audit(docs).collect()} <= {"pair"}
