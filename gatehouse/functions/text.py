@@ -61,10 +61,16 @@ def shares_run(left: Column, right: Column, n: int) -> Column:
     return any_shares_run(left, F.array(right), n)
 
 
+FEW_RUNS = 64
+"""Up to so many runs are searched for in the source itself, beyond that its runs are hashed."""
+
+
 def any_shares_run(source: Column, units: Column, n: int) -> Column:
     """Does any of the word arrays in ``units`` share a run of ``n`` words with ``source``?
 
-    The source is hashed once, whatever the number of units.
+    Words hold no blanks.  The few runs of short units are looked for in the source's words
+    in a row, which takes no array per word of the source.  Many runs meet the source's by
+    hash; the source is hashed once, whatever the number of units.
     """
     def texts(w: Column) -> Column:
         return F.transform(ngrams(w, n), lambda g: F.array_join(g, " "))
@@ -72,7 +78,19 @@ def any_shares_run(source: Column, units: Column, n: int) -> Column:
     def hashes(w: Column) -> Column:
         return F.transform(ngrams(w, n), lambda g: F.xxhash64(g))
 
+    def few(u: Column) -> Column:
+        return F.aggregate(u, F.lit(0), lambda k, w: k + F.greatest(F.coalesce(F.size(w), F.lit(0)) - (n - 1), F.lit(0))) <= FEW_RUNS
+
+    def padded(text: Column) -> Column:
+        return F.concat(F.lit(" "), text, F.lit(" "))
+
+    def searched(x: Column) -> Column:
+        return bind(padded(F.array_join(x["s"], " ")), lambda row: F.exists(
+            F.flatten(F.transform(x["u"], texts)), lambda run: row.contains(padded(run))))
+
     return bind(F.struct(source.alias("s"), units.alias("u")), lambda x: F.when(
+        few(x["u"]), F.coalesce(searched(x), F.lit(False)),
+    ).when(
         F.arrays_overlap(hashes(x["s"]), F.flatten(F.transform(x["u"], hashes))),
         F.arrays_overlap(texts(x["s"]), F.flatten(F.transform(x["u"], texts))),
     ).otherwise(F.lit(False)))

@@ -88,18 +88,16 @@ def gate_summary_pivot(prompt: Column, answer: Column) -> Column:
         return F.filter(X.norm_words(t), lambda w: F.length(w) >= V.PIVOT_MIN_LETTERS)
 
     def judge(s: Column) -> Column:
-        n = F.length(s)
+        said = long_words(answer)
 
-        def place(marker: str) -> Column:
-            at = F.locate(marker, s) - 1
-            return F.when((at > F.floor(n / 5)) & (at < F.floor(n * 4 / 5)), at)
+        def place(marker: str, n: Column) -> Column:
+            return bind(F.locate(marker, s) - 1, lambda at: F.when((at > F.floor(n / 5)) & (at < F.floor(n * 4 / 5)), at))
 
-        pivot = F.coalesce(*[place(m) for m in V.PIVOT_MARKERS])
-        said = long_words(answer)
-        return first_reason(
-            (~F.arrays_overlap(long_words(F.substr(s, F.lit(1), pivot)), said), "omits_before_pivot"),
-            (~F.arrays_overlap(long_words(F.substr(s, pivot + 1)), said), "omits_after_pivot"),
-        )
+        pivot = bind(F.length(s), lambda n: F.coalesce(*[place(m, n) for m in V.PIVOT_MARKERS]))
+        return bind(pivot, lambda at: first_reason(
+            (~F.arrays_overlap(long_words(F.substr(s, F.lit(1), at)), said), "omits_before_pivot"),
+            (~F.arrays_overlap(long_words(F.substr(s, at + 1)), said), "omits_after_pivot"),
+        ))
 
     return bind(source, judge)
 

@@ -2,8 +2,10 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from gatehouse.functions import fixed as V
 from gatehouse.functions import text as X
 from gatehouse.operators import decontam, gates, routing
 
@@ -79,3 +81,22 @@ def test_first_seen_with_repeated_ids(spark):
     assert got.columns == rows.columns
     assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [
         ("1", "A"), ("2", "B"), ("2", "C"), ("3", "None"), ("3", "None"), ("None", "D")]
+
+
+@pytest.mark.parametrize("few", [-1, 3, 64])
+def test_searched_and_hashed_runs_agree(spark, monkeypatch, few):
+    """Runs of short units are looked for in the source, many by hash; both find the same, on missing and short sides too."""
+    monkeypatch.setattr(X, "FEW_RUNS", few)
+    rows = [("a b c d e", [["c", "d", "e"]], True), ("a b c d e", [["x"], ["d", "e"], ["b", "c", "d", "f"]], True), ("a b c d e", [["c", "d", "ee"]], False),
+            ("aa b c d", [["a", "b", "c"]], False), ("a b", [["a", "b"]], False), ("", [["a", "b", "c"]], False), (None, [["a", "b", "c"]], False),
+            ("a b c", [], False), ("a b c", [[]], False), ("a b c d e f g", [list("abx"), list("xyzabcdefg")], True), ("a b c d", [list("bdcaxyz")], False)]
+    table = spark.createDataFrame([(i, s if s is None else s.split(), u) for i, (s, u, _) in enumerate(rows)], "i INT, s ARRAY<STRING>, u ARRAY<ARRAY<STRING>>")
+    got = [r.found for r in table.select("i", X.any_shares_run(F.col("s"), F.col("u"), 3).alias("found")).orderBy("i").collect()]
+    assert got == [want for _, _, want in rows]
+
+
+def test_each_pivot_marker_is_located_once(spark):
+    """The place of a marker is bound; it was worked out six times for each marker."""
+    gate = gates.gate_summary_pivot(F.col("p"), F.col("a")).alias("reason")
+    plan = spark.createDataFrame([("p", "a")], "p STRING, a STRING").select(gate)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("locate(") == len(V.PIVOT_MARKERS)
