@@ -116,7 +116,10 @@ def relevance_join(queries: DataFrame, documents: DataFrame, query_id: str = "qu
         names = F.array(*[F.lit(p) for p in preferred]).cast(f"array<{documents.schema[doc_id].dataType.simpleString()}>")
         boosts = queries.select(query_id, F.explode(names).alias(doc_id)).distinct().withColumn(
             "score", F.lit(V.PREFERRED_BOOST).cast("bigint"))
-        scored = scored.unionByName(boosts).groupBy(query_id, doc_id).agg(F.sum("score").alias("score"))
+        # Only the rows of these documents, read for themselves, are added up again; all others stay where they are.
+        named = F.coalesce(F.col(doc_id).isin(list(preferred)), F.lit(False))
+        raised = scored.where(named).unionByName(boosts).groupBy(query_id, doc_id).agg(F.sum("score").alias("score"))
+        scored = scored.where(~named).unionByName(raised)
     return scored.where(F.col("score") >= min_score)
 
 

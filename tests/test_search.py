@@ -95,3 +95,13 @@ def test_scores_need_no_shuffle_of_token_rows(spark):
     docs, asked = corpus(spark)
     plan = retrieval.relevance_join(asked, docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 1
+
+
+def test_boosts_do_not_shuffle_all_scores(spark):
+    """The exchange by query and document gets rows of the preferred documents only; documents without a name keep their scores."""
+    docs = spark.createDataFrame([(3, "alpha beta"), (4, "alpha"), (None, "beta beta"), (7, "none")], "doc_id INT, text STRING")
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "query_id INT, query STRING")
+    got = retrieval.relevance_join(asked, docs, preferred=[3, 9])
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, 3, 7), (1, 4, 1), (1, None, 1), (1, 9, 5), (2, 3, 5), (2, 9, 5)]))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("\n")[0].startswith("Union") and plan.count("NOT coalesce(doc_id") >= 1
