@@ -12,6 +12,7 @@ from ..functions import fixed as V
 from ..functions.text import trim_middle
 from ..session import broadcast_if_small, materialise
 from .ordering import first_rows
+from .scan import held_tokens
 
 TOKEN = f"[a-z0-9-]{{{V.MIN_TOKEN},}}"
 
@@ -45,6 +46,16 @@ def numbered_tokens(queries: DataFrame) -> DataFrame:
     return materialise(queries.select("token").distinct().withColumn("number", F.monotonically_increasing_id()))
 
 
+TRIE_BYTES = 500_000
+"""Most bytes of tokens that one trie is made of; its nodes are no more."""
+
+
+def few_tokens(tokens: DataFrame) -> list | None:
+    """The rows (token, number) of a materialised frame, if a trie of them fits a task, counted by an aggregate."""
+    found = tokens.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token").cast("bigint")).alias("bytes")).first()
+    return tokens.collect() if found.n <= session.BROADCAST_ROWS and (found.bytes or 0) <= TRIE_BYTES else None
+
+
 def token_sets(documents: DataFrame, tokens: DataFrame, doc_id: str, text: str, name: str | None = None) -> DataFrame:
     """(doc_id, numbers): numbers of the ``tokens`` (token, number) that occur inside a document, as substring.
 
@@ -55,8 +66,15 @@ def token_sets(documents: DataFrame, tokens: DataFrame, doc_id: str, text: str,
     documents that hold the run: no nested loop over texts, and no hot piece such as the
     start of every address as a key.  A document is one row, so that what it holds is
     shuffled and stored as numbers, and its scores are summed where the row lies.
+
+    Tokens that fit one trie are searched for in the texts themselves instead, see :mod:`.scan`:
+    the vocabulary grows with the corpus and would pass every broadcast bound.
     """
     searched = F.col(text) if name is None else F.concat_ws("\n", F.col(name).cast("string"), F.col(text))
+    listed = few_tokens(tokens)
+    if listed is not None:
+        found = held_tokens(documents.select(doc_id, F.lower(searched).alias("__text")), listed)
+        return found.groupBy(doc_id).agg(F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("numbers"))
     runs = documents.select(doc_id, F.explode(F.array_distinct(query_tokens(searched))).alias("run"))
     vocabulary = materialise(runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")))
     pieces = vocabulary.select("run", "n", F.explode(grams(F.col("run"))).alias("gram"))
@@ -108,18 +126,23 @@ def relevance_join(queries: DataFrame, documents: DataFrame, query_id: str = "qu
     """
     counts = materialise(token_counts(queries, query_id, query_text))
     tokens = numbered_tokens(counts)
-    held = token_sets(documents, tokens, doc_id, text, name).select(doc_id, F.explode("numbers").alias("number"))
     points = F.sum("repeats") if count_repeats else F.count(F.lit(1))
     asked = broadcast_if_small(counts.join(tokens, "token").select(query_id, "number", "repeats"))
-    scored = held.join(asked, "number").groupBy(query_id, doc_id).agg(points.alias("score"))
+
+    def scores(rows: DataFrame) -> DataFrame:
+        held = token_sets(rows, tokens, doc_id, text, name).select(doc_id, F.explode("numbers").alias("number"))
+        return held.join(asked, "number").groupBy(query_id, doc_id).agg(points.alias("score"))
+
     if preferred:
         names = F.array(*[F.lit(p) for p in preferred]).cast(f"array<{documents.schema[doc_id].dataType.simpleString()}>")
         boosts = queries.select(query_id, F.explode(names).alias(doc_id)).distinct().withColumn(
             "score", F.lit(V.PREFERRED_BOOST).cast("bigint"))
         # Only the rows of these documents, read for themselves, are added up again; all others stay where they are.
         named = F.coalesce(F.col(doc_id).isin(list(preferred)), F.lit(False))
-        raised = scored.where(named).unionByName(boosts).groupBy(query_id, doc_id).agg(F.sum("score").alias("score"))
-        scored = scored.where(~named).unionByName(raised)
+        raised = scores(documents.where(named)).unionByName(boosts).groupBy(query_id, doc_id).agg(F.sum("score").alias("score"))
+        scored = scores(documents.where(~named)).unionByName(raised)
+    else:
+        scored = scores(documents)
     return scored.where(F.col("score") >= min_score)
 
 

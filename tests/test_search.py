@@ -2,11 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gatehouse.operators import retrieval, search
+from gatehouse.operators import retrieval, scan, search
 
 WORDS = ["http-address", "https", "table", "tables", "stable", "query", "sequence", "river", "driver", "stream", "upstream", "node", "nodes", "merge", "emerge", "plan"]
 
@@ -105,3 +106,30 @@ def test_boosts_do_not_shuffle_all_scores(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, 3, 7), (1, 4, 1), (1, None, 1), (1, 9, 5), (2, 3, 5), (2, 9, 5)]))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.split("\n")[0].startswith("Union") and plan.count("NOT coalesce(doc_id") >= 1
+
+
+def test_few_tokens_need_no_vocabulary(spark, monkeypatch):
+    """Tokens that one trie holds are looked for in the texts; the scores are those of the vocabulary."""
+    docs, asked = corpus(spark, 60)
+    odd = spark.createDataFrame([("odd", "TABLE-tableséstable Kernel sequences", 1), ("odd", "upstream", 2), (None, "merge", 3)], docs.schema)
+    docs, asked = docs.unionByName(odd), asked.unionByName(spark.createDataFrame([(60, "kernel sequences able-tables"), (61, "stable upstream")], asked.schema))
+    with monkeypatch.context() as m:
+        m.setattr(retrieval, "TRIE_BYTES", 0)
+        want = sorted(map(str, retrieval.relevance_join(asked, docs).collect()))
+    monkeypatch.setattr(retrieval, "rarest_grams", None)
+    assert sorted(map(str, retrieval.relevance_join(asked, docs).collect())) == want
+
+
+def test_trie_finds_tokens_across_spans(monkeypatch):
+    rng = random.Random(5)
+    tokens = sorted({"".join(rng.choices("ab-1", k=rng.randrange(4, 9))) for _ in range(80)})
+    texts = ["".join(rng.choices("ab-1 é", [6, 6, 2, 2, 1, 1], k=rng.randrange(0, 60))) for _ in range(50)] + ["", "ab", "abab" * 30]
+    want = [[i for i, t in enumerate(tokens) if t in x] for x in texts]
+    for span, cells in ((1 << 20, 1 << 24), (7, 1), (1, 3 * len(tokens))):
+        monkeypatch.setattr(scan, "SPAN", span)
+        monkeypatch.setattr(scan, "CELLS", cells)
+        got = []
+        for counts, places in scan.found_in(pa.array(["cut", *(x + "\n" for x in texts)]).slice(1), scan.trie(tuple(tokens)), len(tokens)):
+            ends = counts.cumsum()
+            got += [sorted(places[e - n:e].tolist()) for e, n in zip(ends, counts)]
+        assert got == want
