@@ -138,9 +138,12 @@ def skip_over(queries: DataFrame, documents: DataFrame, budget: int, limit: int
               query_text: str = "query", text: str = "text", name: str | None = None, size: str = "n_chars") -> DataFrame:
     """(query_id, doc_id, score, size, turn): best documents that still fit a budget, those that do not being skipped.
 
-    Postings are made once; each turn is a search for the one best document behind the last
-    pick that fits the room left.
+    Postings are made once, of the documents that can fit at any turn; each turn is a search for
+    the one best document behind the last pick that fits the room left.
     """
+    # Room grows only where a size is below zero.
+    least = documents.agg(F.least(F.min(size), F.lit(0)).cast("bigint").alias("least")).first()["least"]
+    documents = documents.where(F.col(size) <= budget - (limit - 1) * (least or 0))
     weights = materialise(token_counts(queries, query_id, query_text).select(query_id, "token", F.lit(1).cast("bigint").alias("weight")))
     index = build_index(documents, weights, doc_id, text, name, size)
     kind = index.documents.schema["doc"].dataType

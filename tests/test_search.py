@@ -133,3 +133,16 @@ def test_trie_finds_tokens_across_spans(monkeypatch):
             ends = counts.cumsum()
             got += [sorted(places[e - n:e].tolist()) for e, n in zip(ends, counts)]
         assert got == want
+
+
+def test_documents_beyond_the_budget_are_not_indexed(spark, monkeypatch):
+    """They can never be picked; a size below zero gives room, so that a later one may be above the budget."""
+    asked = spark.createDataFrame([(1, "river table")], "query_id INT, query STRING")
+    rows = [("a", "river table", -5), ("b", "river table", 12), ("c", "river table", 21), ("d", "river", 4), ("e", "river", 90), ("f", "table", None)]
+    docs = spark.createDataFrame(rows, "doc_id STRING, text STRING, n_chars INT")
+    given, plain = [], search.build_index
+    monkeypatch.setattr(search, "build_index", lambda documents, *a: given.append(sorted(r.doc_id for r in documents.collect())) or plain(documents, *a))
+    got = search.skip_over(asked, docs, 10, 2).collect()
+    assert sorted((r.turn, r.doc_id) for r in got) == [(1, "a"), (2, "b")]
+    assert [r.doc_id for r in search.skip_over(asked, docs.where("n_chars > 0"), 10, 2).collect()] == ["d"]
+    assert given == [["a", "b", "d"], ["d"]]
