@@ -191,13 +191,15 @@ def sentiment_label(text: Column, lenient: bool = False, window: int | None = No
 
 def keyword_category(prompt: Column) -> Column:
     """Category of the first keyword rule that fits, else factual knowledge."""
-    low = F.lower(prompt)
-    evaluates = (contains_any(low, ["code", "def "])) & contains_any(low, V.EVALUATES_MARKERS)
+    return bind(F.lower(prompt), _category_of_lower)
+
+
+def _category_of_lower(low: Column) -> Column:
     checks = []
     for category, needles in V.KEYWORD_RULES:
         hit = contains_any(low, needles)
         if category == "code_debugging":
-            hit = hit | evaluates
+            hit = hit | _evaluates(low)
         if category == "logical_deductive_reasoning":
             hit = hit | (low.contains("if all ") & low.contains("are all "))
         checks.append((hit, category))
@@ -206,7 +208,10 @@ def keyword_category(prompt: Column) -> Column:
 
 def evaluates_code(prompt: Column) -> Column:
     """Does the prompt ask what a piece of code evaluates to?"""
-    low = F.lower(prompt)
+    return bind(F.lower(prompt), _evaluates)
+
+
+def _evaluates(low: Column) -> Column:
     return contains_any(low, ["code", "def "]) & contains_any(low, V.EVALUATES_MARKERS)
 
 

@@ -11,7 +11,7 @@ from ..functions import budgets as B
 from ..functions import fixed as V
 from ..functions import numbers as N
 from ..functions import text as X
-from ..functions.core import lookup, presence
+from ..functions.core import bind, lookup, presence
 from ..session import broadcast_if_small, require_bounded
 from .gates import gate_meeting_time
 from .ordering import position
@@ -39,11 +39,22 @@ def lane(prompt: Column, top: Column, extended: Sequence[str] = (), remote: bool
     A local lane needs agreement.  Without a remote, disagreement on maths or
     logic follows the classifier to the tool lane.
     """
-    keyword = X.keyword_category(prompt)
+    return bind(prompt_facts(prompt), lambda facts: lane_of(facts, top, extended, remote))
+
+
+def prompt_facts(prompt: Column) -> Column:
+    """All that a lane needs of a prompt: its keyword category, and whether a code problem asks for a value."""
+    return bind(X.keyword_category(prompt), lambda keyword: F.struct(keyword.alias("keyword"), F.when(
+        keyword == "code_debugging", X.evaluates_code(prompt)).alias("evaluates")))
+
+
+def lane_of(facts: Column, top: Column, extended: Sequence[str] = (), remote: bool = True) -> Column:
+    """:func:`lane` from the :func:`prompt_facts` of the prompt."""
+    keyword = facts["keyword"]
     agree = F.coalesce(top == keyword, F.lit(True))
     by_keyword = (
         F.when(keyword.isin("code_generation", "named_entity_recognition", *extended), "assist")
-        .when((keyword == "code_debugging") & X.evaluates_code(prompt), "code_trace")
+        .when((keyword == "code_debugging") & facts["evaluates"], "code_trace")
         .when(keyword == "code_debugging", "assist")
         .when(keyword.isin(*TOOL_CATEGORIES), "tool")
         .otherwise("remote"))
@@ -52,11 +63,16 @@ def lane(prompt: Column, top: Column, extended: Sequence[str] = (), remote: bool
 
 
 def route(tasks: DataFrame, predictions: DataFrame, **options) -> DataFrame:
-    """Add ``keyword``, ``top`` and ``lane``; ``predictions`` holds (task_id, labels)."""
+    """Add ``top``, ``keyword`` and ``lane``; ``predictions`` holds (task_id, labels).
+
+    A prompt is read once, before the join, so that it is shuffled only for a caller that
+    asks for it.  A generator is not inlined, so filters by lane do not repeat the work.
+    """
     tops = predictions.select("task_id", F.get("labels", F.lit(0)).alias("top"))
-    return tasks.join(tops, "task_id", "left").select(
-        "*", X.keyword_category(F.col("prompt")).alias("keyword"),
-        lane(F.col("prompt"), F.col("top"), **options).alias("lane"))
+    marked = tasks.select("*", F.explode(F.array(prompt_facts(F.col("prompt")))).alias("__facts"))
+    joined = marked.join(tops, "task_id", "left")
+    return joined.select(*(F.col(f"`{c}`") for c in joined.columns if c != "__facts"), F.col("__facts.keyword").alias("keyword"),
+                         lane_of(F.col("__facts"), F.col("top"), **options).alias("lane"))
 
 
 def attach_policy(tasks: DataFrame, effort: Mapping[str, str] = V.LEAN_EFFORT,

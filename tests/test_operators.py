@@ -304,3 +304,19 @@ def test_all_pairs_in_tiles_are_the_rounds_together(spark, monkeypatch):
     got = sorted(tuple(r) for r in pairs.preference_pairs(archive).collect())
     assert got == sorted(tuple(r) for r in pairs.preference_pairs(archive, rounds=99).collect()) and len(got) == 55 + 27 + 16
     assert sorted(tuple(r) for r in pairs.preference_pairs(archive, first_round=2).collect()) == [r for r in got if r[2] >= 2]
+
+
+def test_routing_reads_a_prompt_once_before_the_join(spark):
+    """A filter by lane repeats no keyword search, and a caller that wants the lanes alone shuffles no prompt."""
+    rows = [("a", "This code contains a bug. What does it evaluate to?", ["code_debugging"]), ("b", "Find the BUG.", ["code_debugging"]),
+            ("c", "How many units remain?", ["mathematical_reasoning"]), ("d", "How many units remain?", ["factual_knowledge"]),
+            ("e", "What does the code do?", ["code_debugging"]), ("f", None, None), ("g", "Write a function.", [])]
+    given = spark.createDataFrame(rows, "task_id STRING, prompt STRING, labels ARRAY<STRING>")
+    out = routing.route(given.select("prompt", "task_id"), given.select("task_id", "labels"))
+    assert out.columns == ["task_id", "prompt", "top", "keyword", "lane"]
+    want = {"a": "code_trace", "b": "assist", "c": "tool", "d": "remote", "e": "code_trace", "f": "remote", "g": "assist"}
+    assert {r.task_id: r.lane for r in out.collect()} == want
+    alone = given.select("task_id", routing.lane(F.col("prompt"), F.get("labels", F.lit(0))).alias("lane"))
+    assert {r.task_id: r.lane for r in alone.collect()} == want
+    plan = out.where("lane <> 'remote'").select("task_id", "lane")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(prompt") == 2 and plan.index("Join") < plan.index("Generate") and "prompt" not in plan[:plan.index("Generate")]
