@@ -156,7 +156,7 @@ def split_leaks(x):
 @query("SELECT count(*) AS documents, 0::BIGINT AS leaks, true AS balanced FROM documents")
 def cluster_split(x):
     """The split by groups of near copies: its leaks, counted exactly, and whether a seventh is held out."""
-    split = materialise(N.cluster_split(x.documents).select("doc_id", "text", "split"))
+    split = N.cluster_split(x.documents).select("doc_id", "text", "split")
     n, held = F.count(F.lit(1)), F.count_if(F.col("split") == "heldout")
     balanced = F.abs(held / n - 1 / 7) <= 0.01 + 3 * F.sqrt(6 / 49 / n)
     return split.agg(n.alias("documents"), balanced.alias("balanced")).join(N.split_leaks(split).agg(F.count(F.lit(1)).alias("leaks")))

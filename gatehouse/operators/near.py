@@ -10,14 +10,16 @@ little in common meet rarely, and a group that is too large does a split no harm
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import hashing as H
-from ..functions.text import gram_hashes, norm_words
+from ..functions.core import bind
+from ..functions.text import norm_words
 from ..session import broadcast_if_small, materialise
 
 RUN = 5
@@ -31,31 +33,59 @@ def digest_of(text: Column) -> Column:
 
 
 def word_runs(text: Column, n: int = RUN) -> Column:
-    """64-bit hashes of the distinct runs of ``n`` words; a shorter text has one, of all its words, and one without words none."""
-    words = norm_words(text)
-    return F.when(F.size(words) >= n, gram_hashes(words, n)).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+    """64-bit hashes of the distinct runs of ``n`` words; a shorter text has one, of all its words, and one without words none.
+
+    Words are split once, and a run is hashed where its words stand, without an array of its own.
+    """
+    def hashes(words: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n))))
+        return F.when(F.size(words) >= n, F.array_distinct(runs)).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+
+    return bind(norm_words(text), hashes)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of a column of lists of numbers."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
+SKETCHED = 4096
+"""Sets whose cells are filled at once."""
 
 
-def _signatures(hashes: np.ndarray) -> np.ndarray:
-    cells = BANDS * ROWS
+def _signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The ``BANDS`` signatures of every set, a row each; no set is empty."""
+    cells, n, none = BANDS * ROWS, len(offsets) - 1, np.iinfo(np.uint64).max
     values = hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     values ^= values >> np.uint64(32)
-    least = np.full(cells, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, (values % np.uint64(cells)).astype(np.int64), values)
-    filled = np.flatnonzero(least != np.iinfo(np.uint64).max)
+    least = np.full(n * cells, none, np.uint64)
+    np.minimum.at(least, np.repeat(np.arange(n) * cells, np.diff(offsets)) + (values % np.uint64(cells)).astype(np.int64), values)
+    least = least.reshape(n, cells)
     # An empty cell takes the value of the next filled one, round the end.
-    nearest = filled[np.searchsorted(filled, np.arange(cells)) % len(filled)]
-    rows = least[nearest].reshape(BANDS, ROWS)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    twice = np.where(np.tile(least, 2) != none, np.arange(2 * cells), 2 * cells)
+    nearest = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :cells] % cells
+    rows = np.take_along_axis(least, nearest, axis=1).reshape(n, BANDS, ROWS)
+    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (n, 1))
     for i in range(ROWS):
-        out = (out ^ rows[:, i]) * np.uint64(0xD6E8FEB86659FD93)
+        out = (out ^ rows[:, :, i]) * np.uint64(0xD6E8FEB86659FD93)
         out ^= out >> np.uint64(29)
     return out.view(np.int64)
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _sketch(runs: pd.Series) -> pd.Series:
-    return runs.map(lambda r: _signatures(np.asarray(r, np.int64)) if len(r) else [])
+def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, signatures) of batches of (digest, runs)."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SKETCHED):
+            part = batch.slice(start, SKETCHED)
+            hashes, offsets = _flat(part.column(1))
+            filled = np.diff(offsets) > 0
+            found = _signatures(hashes, np.append(offsets[:-1][filled], offsets[-1]))
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(filled)), _lists(np.arange(len(found) + 1) * BANDS, found.ravel())], ["digest", "signatures"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -85,13 +115,19 @@ def components(edges: DataFrame) -> DataFrame:
 def near_groups(rows: DataFrame, text: str = "text") -> DataFrame:
     """(digest, root): the digest of each text that has near copies, and the smallest digest of its group.
 
-    Equal texts are one digest, and one sketch.  Texts without words are in no group.
+    Equal texts are one digest.  Texts without words are in no group.  Sketches travel, neither
+    texts nor their runs do.
     """
-    texts = rows.where(F.col(text).isNotNull()).groupBy(digest_of(F.col(text)).alias("digest")).agg(F.first(word_runs(F.col(text))).alias("runs"))
-    dealt = materialise(texts.select("digest", F.explode(F.array_distinct(_sketch("runs"))).alias("signature")))
-    centers = dealt.groupBy("signature").agg(F.min("digest").alias("center"), F.max("digest").alias("other")).where("center <> other")
-    edges = dealt.join(centers.select("signature", "center"), "signature").select(F.col("digest").alias("a"), F.col("center").alias("b"))
-    return components(edges).select(F.col("node").alias("digest"), "root")
+    runs = rows.where(F.col(text).isNotNull()).select(digest_of(F.col(text)).alias("digest"), word_runs(F.col(text)).alias("runs"))
+    sketches = runs.mapInArrow(_sketch, "digest string, signatures array<bigint>").groupBy("digest").agg(F.first("signatures").alias("signatures"))
+    # The leading digits keep the order of digests; texts that have all of them in common are one group.
+    texts = materialise(sketches.withColumn("key", F.conv(F.substr("digest", F.lit(1), F.lit(15)), 16, 10).cast("bigint")))
+    dealt = texts.select("key", F.explode(F.array_distinct("signatures")).alias("signature"))
+    centers = dealt.groupBy("signature").agg(F.min("key").alias("center"), F.max("key").alias("other")).where("center <> other").select("signature", "center")
+    groups = components(dealt.join(broadcast_if_small(centers), "signature").select(F.col("key").alias("a"), F.col("center").alias("b")))
+    named = materialise(texts.select("digest", F.col("key").alias("node")).join(broadcast_if_small(groups), "node"))
+    firsts = named.where("node = root").groupBy("root").agg(F.min("digest").alias("first"))
+    return named.join(broadcast_if_small(firsts), "root").select("digest", F.col("first").alias("root"))
 
 
 LARGE = 10_000

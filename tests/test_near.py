@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gatehouse.operators import decontam, near
@@ -121,3 +123,33 @@ def test_a_large_group_leaves_a_seventh_held_out(spark):
         side = {r.doc_id: r.split for r in near.cluster_split(docs).collect()}
         assert len(side) == 4000 and len({side[i] for i in range(int(4000 * part))}) == 1
         assert abs(sum(s == "heldout" for s in side.values()) / 4000 - 1 / 7) <= 0.01 + 3 * (6 / 49 / 4000) ** 0.5
+
+
+def test_words_are_split_once_and_sketches_are_those_of_each_set(spark):
+    rng = random.Random(12)
+    rows = [(i, t) for i, t in enumerate([None, "", "!!", "two words", "a b c d e", "a a a a a a a"] + [" ".join(rng.choices("abcdefgh", k=k)) for k in (6, 40, 900)])]
+    docs = spark.createDataFrame(rows, "doc_id INT, text STRING")
+    hashed = docs.select("doc_id", near.word_runs(F.col("text")).alias("runs"))
+    assert hashed._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    plain = docs.selectExpr("doc_id", "array_remove(split(lower(text), '[^a-z0-9]+'), '') AS w").selectExpr(
+        "doc_id", "CASE WHEN size(w) >= 5 THEN array_distinct(transform(sequence(1, size(w) - 4), i -> xxhash64(slice(w, i, 5)))) WHEN size(w) > 0 THEN array(xxhash64(w)) ELSE array() END AS runs")
+    sets = {r.doc_id: r.runs for r in hashed.collect()}
+    assert sets == {r.doc_id: r.runs for r in plain.collect()} and [len(sets[i]) for i in range(6)] == [0, 0, 0, 1, 1, 1]
+    # All sets of a batch at once, an empty one among them.
+    together = [np.array(sets[i], np.int64) for i in (6, 7, 8, 3)]
+    ends = np.cumsum([0, *map(len, together)])
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in sets]), pa.array([sets[i] for i in sets], pa.list_(pa.int64()))], ["digest", "runs"])
+    found = {k: v for b in near._sketch([batch.slice(1)]) for k, v in zip(b[0].to_pylist(), b[1].to_pylist())}
+    assert sorted(found) == [str(i) for i in range(3, 9)]
+    for i, s, alone in zip((6, 7, 8, 3), near._signatures(np.concatenate(together), ends), together):
+        cells = [min((v for v in (int(h) % 2**64 * 0x9E3779B97F4A7C15 % 2**64 for h in alone) if (v ^ v >> 32) % 200 == c), key=lambda v: v ^ v >> 32, default=None) for c in range(200)]
+        cells = [None if v is None else v ^ v >> 32 for v in cells]
+        full = [next(cells[(c + k) % 200] for k in range(200) if cells[(c + k) % 200] is not None) for c in range(200)]
+        want = []
+        for b in range(40):
+            out = b + 1
+            for v in full[5 * b:5 * b + 5]:
+                out = (out ^ v) * 0xD6E8FEB86659FD93 % 2**64
+                out ^= out >> 29
+            want.append(out - 2**64 if out >= 2**63 else out)
+        assert s.tolist() == want == found[str(i)]
