@@ -202,58 +202,105 @@ def _heads(fronts: DataFrame) -> DataFrame:
     return fronts.select("split", "id", "n", F.posexplode("front").alias("pos", "run"))
 
 
+def _behind(common: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Puts the runs of ``common`` behind the others of each set, in the order that ``common`` has, and keeps ``first`` of each.
+
+    Batches hold (split, id, n, first, runs) and, in the result, ``known``: do the runs given
+    settle which are first?
+    """
+    order = np.argsort(common)
+    ascending = common[order]
+
+    def ordered(batches):
+        for batch in batches:
+            runs, offsets = _flat(batch.column("runs"))
+            n, first = (batch.column(c).to_numpy() for c in ("n", "first"))
+            sizes = np.diff(offsets)
+            at = np.searchsorted(ascending, runs)
+            at[at == len(ascending)] = 0
+            late = ascending[at] == runs
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            rare = sizes - np.bincount(owner[late], minlength=len(sizes))
+            # Only sets with a late run among them are dealt anew.
+            moved = np.flatnonzero((rare < sizes)[owner])
+            place = np.where(late[moved], 1 + order[at[moved]], 0)
+            runs = runs.copy()
+            runs[moved] = runs[moved][np.lexsort((place, owner[moved]))]
+            head = np.arange(len(runs)) - np.repeat(offsets[:-1], sizes) < np.repeat(first, sizes)
+            ends = np.concatenate([[0], np.cumsum(np.minimum(sizes, first))])
+            known = pa.array((sizes == n) | (rare >= first))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("split", "id", "n")), _lists(ends, runs[head]), known], ["split", "id", "n", "front", "known"])
+
+    return ordered
+
+
+def _sets(texts: DataFrame, percent: int) -> DataFrame:
+    """(split, id, runs, n, first): the runs of each text that has any, their number and how many of them come first."""
+    n_first = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    # A generator is not inlined, so that the filter does not make the runs again.
+    runs = F.explode(F.array(F.sort_array(word_runs(F.col("text"))))).alias("runs")
+    return texts.select("split", "id", runs).withColumn("n", F.size("runs")).where("n > 0").withColumn("first", n_first)
+
+
 def _rarest_first(texts: DataFrame, percent: int) -> DataFrame:
-    """(split, id, n, front): the first runs of each set, of which alike sets share one.
+    return _fronts(texts, percent)[0]
+
+
+def _fronts(texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(split, id, n, front): the first runs of each set, of which alike sets share one, and (run) those that both sides have.
 
     All sets keep one order: by hash, but runs that many texts share behind all others, the
     most frequent last.  Such runs are looked for where they would be joined on, among the
     first in hash order; a set with none of them there keeps its first.  Which runs these are
-    changes the work, not the result.
+    changes the work, not the result.  They are a bounded array that every task searches in,
+    so that a set costs the same however many there are.
     """
-    n_first = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    sets = texts.select("split", "id", F.array_sort(word_runs(F.col("text"))).alias("runs")).withColumn("n", F.size("runs")).where("n > 0").withColumn("first", n_first)
-    plain = materialise(sets.select("split", "id", "n", "first", F.slice("runs", F.lit(1), F.col("first") + SPARE).alias("runs")))
+    plain = materialise(_sets(texts, percent).select("split", "id", "n", "first", F.slice("runs", F.lit(1), F.col("first") + SPARE).alias("runs")))
     fronts = plain.select("split", "id", "n", F.slice("runs", F.lit(1), F.col("first")).alias("front"))
-    found, rare = None, F.array_except("runs", "last")
-
-    def ordered(rows: DataFrame) -> DataFrame:
-        return rows.select("split", "id", "n", F.slice(F.concat(rare, F.array_intersect("last", "runs")), F.lit(1), F.col("first")).alias("front"))
-
-    for _ in range(ROUNDS):
-        heavy = _heads(fronts).groupBy("run").agg(F.count(F.lit(1)).alias("texts"), F.min("split").alias("x"), F.max("split").alias("y")).where(
-            (F.col("texts") > FREQUENT) & (F.col("x") != F.col("y"))).select("texts", "run")
-        if found is not None:
-            heavy = heavy.join(F.broadcast(found), "run", "left_anti").select("texts", "run")
-        heavy = materialise(heavy.orderBy(F.desc("texts"), "run").limit(FREQUENT_RUNS))
-        if heavy.isEmpty():
+    schema = fronts.withColumn("known", F.lit(True)).schema
+    found, heads = {}, plain.agg(F.sum(F.least("n", "first"))).first()[0] or 0
+    for turn in range(ROUNDS + 1):
+        held = F.col("split") == "heldout"
+        counts = _heads(fronts).groupBy("run").agg(F.count(F.lit(1)).alias("texts"), F.bool_or(held).alias("x"), F.bool_or(~held).alias("y"))
+        both = materialise(counts.where("x AND y").select("texts", "run"))
+        if turn == ROUNDS:
+            break
+        # Where a set has nothing else, a frequent run is among its first again.
+        heavy = both.where(F.col("texts") > FREQUENT).orderBy(F.desc("texts"), "run").limit(FREQUENT_RUNS + len(found)).collect()
+        new = [r for r in heavy if r.run not in found][:FREQUENT_RUNS]
+        # A round reads every head; a few frequent runs make fewer pairs than that.
+        if sum(r.texts ** 2 for r in new) <= heads:
             break
-        found = heavy if found is None else materialise(found.unionByName(heavy))
-        last = F.broadcast(found.agg(F.array_sort(F.collect_list(F.struct("texts", "run")))["run"].alias("last")))
+        found |= {r.run: r.texts for r in new}
+        ordered = _behind(np.array(sorted(found, key=lambda run: (found[run], run)), np.int64))
         # What is stored will do where the whole set is, or enough rare runs are.
-        known = plain.join(last).withColumn("known", (F.size("runs") == F.col("n")) | (F.size(rare) >= F.col("first")))
-        lacking = broadcast_if_small(known.where("NOT known").select("split", "id"))
-        fronts = ordered(known.where("known")).unionByName(ordered(sets.join(lacking, ["split", "id"], "left_semi").join(last)))
-    return fronts
+        tried = plain.mapInArrow(ordered, schema)
+        lacking = broadcast_if_small(tried.where("NOT known").select("split", "id"))
+        again = _sets(texts.join(lacking, ["split", "id"], "left_semi"), percent).select(plain.columns).mapInArrow(ordered, schema)
+        fronts = tried.where("known").unionByName(again).drop("known")
+    return fronts, both.select("run")
 
 
 def split_leaks(rows: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """(heldout, train, shared, total): pairs across a ``split`` whose runs are at least ``percent`` alike, exactly.
 
     Alike sets share a run among the first of each, rare runs before those of many texts, so
-    only such pairs are counted, and of these only those whose runs from there on are enough;
-    only the two sides meet, not a side with itself.  Runs are stored for the first of each
+    only such pairs are counted, and of these only those that share enough of the first, with
+    what the others can give; only the two sides meet, not a side with itself.  Runs are stored for the first of each
     set only; those of the few texts in pairs are made again.  Of equal texts of a side one
     stands for all, with its smallest id.
     """
     texts = _one_of_equal(rows, id_col, text)
-    fronts = materialise(_rarest_first(texts, percent))
-    sides = _heads(fronts).groupBy("run").agg(F.bool_or(F.col("split") == "heldout").alias("x"), F.bool_or(F.col("split") != "heldout").alias("y"))
-    heads = materialise(_heads(fronts).join(broadcast_if_small(sides.where("x AND y").select("run")), "run", "left_semi"))
-    # At the first run that two sets share, what either has from there on bounds what they share.
-    rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    enough = (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (rest * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
-    pairs = materialise(heads.where("split = 'heldout'").alias("a").join(heads.where("split <> 'heldout'").alias("b"), (F.col("a.run") == F.col("b.run")) & enough).select(
-        F.col("a.id").alias("heldout"), F.col("b.id").alias("train")).distinct())
+    fronts, both = _fronts(texts, percent)
+    heads = materialise(_heads(fronts).join(broadcast_if_small(both), "run", "left_semi"))
+    alike = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
+    met = heads.where("split = 'heldout'").alias("a").join(heads.where("split <> 'heldout'").alias("b"), (F.col("a.run") == F.col("b.run")) & alike).groupBy(
+        F.col("a.id").alias("heldout"), F.col("b.id").alias("train"), F.col("a.n").alias("x"), F.col("b.n").alias("y")).agg(
+        F.count(F.lit(1)).alias("met"), F.min(F.col("a.pos")).alias("i"), F.min(F.col("b.pos")).alias("j"))
+    # Of what two sets share, all that either has up to where the first runs of one end is met; the rest is among the others of that one.
+    # And from the first run that they share on, neither has more than is left of it.
+    most = F.least(F.col("met") + F.ceil(F.greatest("x", "y") * percent / 100) - 1, F.col("x") - F.col("i"), F.col("y") - F.col("j"))
+    pairs = materialise(met.where(most * (100 + percent) >= (F.col("x") + F.col("y")) * percent).select("heldout", "train").distinct())
     held, train = (texts.where(c).withColumnRenamed("id", n).join(broadcast_if_small(pairs.select(n).distinct()), n, "left_semi").select(
         n, word_runs(F.col("text")).alias(f"{n}_runs")) for c, n in (("split = 'heldout'", "heldout"), ("split <> 'heldout'", "train")))
     shared = F.size(F.array_intersect("heldout_runs", "train_runs")).cast("bigint")

@@ -153,3 +153,21 @@ def test_words_are_split_once_and_sketches_are_those_of_each_set(spark):
                 out ^= out >> 29
             want.append(out - 2**64 if out >= 2**63 else out)
         assert s.tolist() == want == found[str(i)]
+
+
+def test_pairs_that_share_too_few_of_the_first_runs_are_not_compared(spark, monkeypatch):
+    """Texts that have three tenths in common share runs, but their whole sets are not made again."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(60):
+        base = rng.choices(words, k=300)
+        rows += [(2 * i, "heldout", " ".join(base)), (2 * i + 1, "train", " ".join(base[:90] + rng.choices(words, k=210)))]
+    rows += [(1000, "heldout", " ".join(base + ["x"])), (1001, "train", " ".join(base))]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, split STRING, text STRING")
+    stored = []
+    monkeypatch.setattr(near, "materialise", lambda df, f=near.materialise: stored.append(f(df)) or stored[-1])
+    want = leaks([(i, t) for i, _, t in rows], {i: s for i, s, _ in rows})
+    assert {tuple(r) for r in near.split_leaks(docs).collect()} == want and {r[:2] for r in want} == {(1000, 1001), (118, 1001)}
+    candidates = [s for s in stored if s.columns == ["heldout", "train"]]
+    assert len(candidates) == 1 and candidates[0].count() <= 12
