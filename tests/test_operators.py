@@ -320,3 +320,20 @@ def test_routing_reads_a_prompt_once_before_the_join(spark):
     assert {r.task_id: r.lane for r in alone.collect()} == want
     plan = out.where("lane <> 'remote'").select("task_id", "lane")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(prompt") == 2 and plan.index("Join") < plan.index("Generate") and "prompt" not in plan[:plan.index("Generate")]
+
+
+def test_pieces_of_hot_tasks_are_the_rounds_together(spark, monkeypatch, tmp_path):
+    """Each piece is a file of its own, which holds an answer once and not once a pair."""
+    monkeypatch.setattr(pairs, "TILE", 50)
+    monkeypatch.setattr(pairs, "TILE_BYTES", 90_000)
+    rng = random.Random(5)
+    long = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=rng.randrange(1500, 2500))).strip()
+    rows = [("hot", "f", long(), i < 90, "x", i) for i in range(160)] + [("cold", "f", f"c{i}", i < 3, "x", i) for i in range(8)]
+    rows += [("hot", f, "said twice", v, "x", i) for f, v, i in ((None, True, 1), ("g", True, 2), ("g", True, 3), ("g", False, 4))]
+    given = spark.createDataFrame(rows, "task_id STRING, family STRING, answer STRING, pass BOOLEAN, file STRING, pos INT")
+    want = sorted(map(str, pairs.preference_pairs(given, rounds=999).collect()))
+    assert sorted(map(str, pairs.preference_pairs(given).collect())) == want and len(want) == 92 * 71 - 2 + 15
+    assert sorted(map(str, pairs.preference_pairs(given, first_round=7).collect())) == sorted(map(str, pairs.preference_pairs(given, rounds=999, first_round=7).collect()))
+    pairs.preference_pairs(given).write.parquet(str(tmp_path / "out"))
+    written = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert written < 20 * sum(len(r[2]) for r in rows)
